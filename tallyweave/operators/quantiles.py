@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .joins import null_safe_join
+
 _SPLITS = 64
 
 
@@ -24,8 +26,8 @@ def group_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequenc
     cuts = (counted.groupBy(*by)
             .agg(F.percentile_approx("_v", [i / _SPLITS for i in range(1, _SPLITS)], 1000)
                  .alias("_cuts"), F.sum("_n").alias("_total")))
-    keyed = counted.join(cuts, _null_safe(counted, cuts, by)).select(
-        *[counted[b] for b in by], "_v", "_n", "_total",
+    keyed = null_safe_join(counted, cuts, by).select(
+        *by, "_v", "_n", "_total",
         F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_slice"))
     slices = keyed.groupBy(*by, "_slice").agg(F.sum("_n").alias("_sn"),
                                               F.max("_total").alias("_total"))
@@ -42,8 +44,7 @@ def group_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequenc
             & (w["rank"] < F.col("_base") + F.col("_sn"))))
            .where(F.size("_w") > 0)
            .select(*by, "_slice", "_base", "_w"))
-    sliced = keyed.join(hit, _null_safe(keyed, hit, [*by, "_slice"])).select(
-        *[keyed[b] for b in by], keyed["_slice"], "_v", "_n", "_total", "_base", "_w")
+    sliced = null_safe_join(keyed, hit, [*by, "_slice"])
     within = Window.partitionBy(*by, "_slice").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     ranked = (sliced.withColumn("_start", F.sum("_n").over(within) - F.col("_n") + F.col("_base"))
@@ -70,8 +71,7 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     counted = (df.where(F.col(value).isNotNull())
                .groupBy(*by, F.col(value).cast("double").alias("_v"))
                .agg(F.count(F.lit(1)).alias("_n")))
-    j = counted.join(q, _null_safe(counted, q, by)).select(
-        *[counted[b] for b in by], "_v", "_n", "q1", "median", "q3")
+    j = null_safe_join(counted, q, by)
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     inside = (F.col("_v") >= lo) & (F.col("_v") <= hi)
@@ -83,9 +83,3 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
         F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
         F.sum(F.when(inside, F.lit(0)).otherwise(F.col("_n"))).alias("n_outliers"))
 
-
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]):
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 _SLICES = 4096
 
@@ -36,7 +37,8 @@ def scramble(key: Column, seed: int) -> Column:
     """
     # Odd multipliers near 2^32 / golden ratio, applied in two rounds.
     mod = F.lit(2 ** 32)
-    once = F.pmod(F.pmod(key + F.lit(seed), F.lit(2 ** 31)) * F.lit(2654435761), mod)
+    start = F.pmod(F.pmod(key, F.lit(2 ** 31)) + F.lit(seed), F.lit(2 ** 31))
+    once = F.pmod(start * F.lit(2654435761), mod)
     return F.pmod(F.floor(once / 65536) * F.lit(40503) + once * F.lit(31), mod)
 
 
@@ -54,14 +56,16 @@ def bottom_n(df: DataFrame, rank: Column, n: int, tie: Sequence[Column] = ()) ->
         Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         - F.col("_n"))
     cut = upto.where(F.col("_before") < n).agg(F.max("_slice").alias("_cut"))
-    near = ranked.join(F.broadcast(cut), F.col("_slice") <= F.col("_cut"))
+    near = ranked.where(F.col("_slice") <= cut.scalar())
     return near.orderBy("_rank", *tie).limit(n).select(*df.columns)
 
 
-def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int) -> DataFrame:
-    """Fixed-size repeatable row sample; ``keys`` tell rows apart."""
-    mixed = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(2 ** 32))
-    return bottom_n(df, mixed, n, [F.col(k) for k in keys])
+def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """Fixed-size repeatable row sample; ``key`` (whole number or text) tells rows apart."""
+    k = F.col(key)
+    if isinstance(df.schema[key].dataType, StringType):
+        k = F.xxhash64(k)
+    return bottom_n(df, scramble(k, seed), n, [F.col(key)])
 
 
 def sample_entities(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numeric import FIXED_SCALE, fixed_point, normalize_amount
+from .joins import null_safe_join
 
 # Transaction types that count as contributions.
 CONTRIBUTION_TYPES = ("15", "15E", "15J", "15S", "15L", "24E", "24P")
@@ -110,7 +111,7 @@ def local_means(df: DataFrame, means: dict[str, tuple[str, Sequence[str]]],
         x = fixed_point(F.col(v))
         aggs += [F.sum(x).alias(f"_s{i}"), F.count(x).alias(f"_c{i}")]
     cells = src.groupBy(*keys).agg(*aggs)
-    out = [F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)]
+    out = list(keys)
     for name, (v, ks) in means.items():
         i = values.index(v)
         w = Window.partitionBy(*ks)
@@ -121,11 +122,7 @@ def local_means(df: DataFrame, means: dict[str, tuple[str, Sequence[str]]],
             known = known & F.col(k).isNotNull()
         out.append(F.when(known & (count > 0), total / count / F.lit(float(FIXED_SCALE)))
                    .alias(name))
-    cells = cells.select(*out)
-    cond = F.lit(True)
-    for j, k in enumerate(keys):
-        cond = cond & df[k].eqNullSafe(cells[f"_k{j}"])
-    return df.join(cells, cond, "left").select(*df.columns, *means)
+    return null_safe_join(df, cells.select(*out), keys, "left")
 
 
 def densify(scores: DataFrame, entity: str, cycles: Sequence[int],
