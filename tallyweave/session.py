@@ -29,19 +29,24 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return b.getOrCreate()
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, for written tables and stream checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may fall back to a
-    temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session without that setting
+    gets a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tallyweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if sc.applicationId not in _local_dirs:
+        _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="tallyweave-")
+    return _local_dirs[sc.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
