@@ -101,7 +101,8 @@ def local_means(df: DataFrame, means: dict[str, tuple[str, Sequence[str]]],
     One pass sums every value per cell (all keys together); each mean is a window over those
     cells; one null-safe join brings all of them back. A place that holds a third of the rows is
     a few cells by then. A NULL key gives a NULL mean. ``base`` computes the means from other
-    rows than the ones they are attached to.
+    rows than the ones they are attached to. ``df`` is read twice: pass a written table where
+    computing it is expensive.
     """
     keys = list(dict.fromkeys(k for _, ks in means.values() for k in ks))
     values = list(dict.fromkeys(v for v, _ in means.values()))

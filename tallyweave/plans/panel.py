@@ -38,8 +38,9 @@ def build_panel(contributions: DataFrame, register: DataFrame, crosswalk: DataFr
     """Individuals' donations with accepted employer, industry, occupation, scores, local means.
 
     ``register`` comes from ``build_register``. ``grain="donor_cycle"`` keeps distinct rows.
-    Means by place use the same place and cycle a row has; the linked donations are written once
-    to the shared folder, because scores, means and the panel all read them.
+    Means by place use the same place and cycle a row has. Linked and scored donations (accepted
+    employers only, a small part of the source) are written to the shared folder, because scores,
+    means and the panel read them again.
     """
     c = contributions.where(F.col("cycle").isin(cycles_needed(targets)))
     if sample:
@@ -60,8 +61,8 @@ def build_panel(contributions: DataFrame, register: DataFrame, crosswalk: DataFr
     linked = written(linked, "linked")
     scores = dynamic_score(linked, types, donor="bonica_cid", score="candidate_cfscore").select(
         "bonica_cid", "cycle", F.col("dynamic_score").alias("cfscore_dyn_cycle"))
-    panel = linked.join(scores, ["bonica_cid", "cycle"])
-    panel = local_means(panel, {
+    scored = written(linked.join(scores, ["bonica_cid", "cycle"]), "scored")
+    panel = local_means(scored, {
         "mean_cfscore_per_city": ("contributor_cfscore", ["contributor_city"]),
         "mean_cfscore_per_zipcode": ("contributor_cfscore", ["contributor_zipcode"]),
         "mean_dyn_cfscore_city_cycle": ("cfscore_dyn_cycle", ["contributor_city", "cycle"]),

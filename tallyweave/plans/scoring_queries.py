@@ -8,6 +8,7 @@ from ..functions.numeric import normalize_amount, round_half_up
 from ..operators.scoring import (carry_forward, cycle_totals, densify, dynamic_score,
                                  dynamic_score_framed, group_means, interpolate, local_means,
                                  multiplicity)
+from ..session import written
 from .bindings import TYPES, donations, donors, table
 from .oracle_parts import BUCKET, DON, DONORS, DYN, fx, r6
 
@@ -97,7 +98,7 @@ _MEANS = {"mean_static_city": ("static_score", ["city"]),
 def local_means_query(spark, sf):
     """The four local means at donor-cycle grain, joined on place and cycle."""
     s = dynamic_score(donations(spark, sf), TYPES).select("donor_id", "cycle", "dynamic_score")
-    rows = s.join(donors(spark, sf), "donor_id")
+    rows = written(s.join(donors(spark, sf), "donor_id"), "scored")
     out = local_means(rows, _MEANS)
     return out.select("donor_id", "cycle", "city", "zip",
                       *[round_half_up(F.col(c)).alias(c) for c in _MEANS])
@@ -137,7 +138,7 @@ from dyn join donors using (donor_id) group by all"""
 def interpolate_scores(spark, sf):
     """Every donor with a score in every cycle, gaps filled."""
     s = dynamic_score(donations(spark, sf), TYPES).select("donor_id", "cycle", "dynamic_score")
-    dense = densify(s, "donor_id", _CYCLES)
+    dense = densify(written(s, "scores"), "donor_id", _CYCLES)
     out = interpolate(dense, "donor_id", "dynamic_score")
     return out.select("donor_id", "cycle",
                       round_half_up(F.col("interpolated")).alias("interpolated"))

@@ -145,7 +145,7 @@ def contributor_ingest(spark, sf):
     header = ["bonica.cid", "contributor.type", "name", "contributor.cfscore"]
     root = scratch_path(spark, "contributors")
     c.select(F.encode(line, "ISO-8859-1").cast("string")).write.text(root)
-    lines = repair_lines(read_lines(spark, root), always_latin1=True)
+    lines = repair_lines(read_lines(spark, root))
     parsed = parse_records(logical_records(lines, len(header)), header)
     return typed_projection(parsed, schema, empty_is_null=True)
 

@@ -8,8 +8,8 @@ from pyspark.sql.types import StructType
 
 from ..operators.quality import schema_problems
 from ..session import written
-from .delimited import (cycle_of_file, logical_records, parse_records, read_header, read_lines,
-                        repair_lines, typed_projection)
+from .delimited import (cycle_of_file, file_facts, logical_records, parse_records, read_header,
+                        read_lines, repair_lines, typed_projection)
 from .schemas import (CONTRIBUTIONS, CONTRIBUTORS, FIRST_CYCLE, LAST_CYCLE, REGISTER_JSON)
 
 LEDGER = ("file string, cycle bigint, n_lines bigint, transcoded boolean, n_written bigint, "
@@ -88,16 +88,22 @@ def new_files(spark: SparkSession, pattern: str, ledger_path: str) -> list[str]:
 
 
 def read_contributions(spark: SparkSession, paths: list[str] | str,
-                       schema: StructType = CONTRIBUTIONS) -> DataFrame:
-    """Typed rows with bookkeeping columns: file, file_cycle, row_cycle, n_lines, transcoded flag,
-    bad, torn and open_quote."""
+                       schema: StructType = CONTRIBUTIONS) -> tuple[DataFrame, DataFrame]:
+    """Typed rows with bookkeeping columns, and facts per file (see ``file_facts``).
+
+    Bookkeeping: file, file_cycle, row_cycle, n_lines, and the flags bad, torn, open_quote.
+    Compressed text is read twice, for the facts and to stage repaired lines as a table; records
+    are put together from the staged lines.
+    """
     first = paths if isinstance(paths, str) else paths[0]
     header = read_header(spark, first)
     missing = [f.metadata["source_name"] for f in schema
                if f.metadata["source_name"] not in header]
     if missing or "cycle" not in header:
         raise ValueError(f"columns missing in {first}: {missing or ['cycle']}")
-    lines = repair_lines(read_lines(spark, paths))
+    raw = read_lines(spark, paths)
+    facts = written(file_facts(raw, header), "files")
+    lines = written(repair_lines(raw, facts), "lines")
     records = logical_records(lines, len(header))
     parsed = parse_records(records, header)
     marked = (parsed.withColumn("file_cycle", cycle_of_file(F.col("file")))
@@ -105,10 +111,10 @@ def read_contributions(spark: SparkSession, paths: list[str] | str,
               .withColumn("bad", F.col("n_fields") > len(header))
               .withColumn("torn", F.col("row_cycle").isNull()))
     return typed_projection(marked, schema, ("file", "file_cycle", "row_cycle", "n_lines", "bad",
-                                             "torn", "open_quote"))
+                                             "torn", "open_quote")), facts
 
 
-def ledger_rows(rows: DataFrame, encodings: DataFrame) -> DataFrame:
+def ledger_rows(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """One ledger row per file."""
     good = ~F.col("bad") & ~F.col("torn")
     per = rows.groupBy("file").agg(
@@ -117,7 +123,7 @@ def ledger_rows(rows: DataFrame, encodings: DataFrame) -> DataFrame:
         F.count_if("torn").alias("n_torn"), F.count_if("open_quote").alias("n_open_quote"),
         F.count_if(good & ~F.col("row_cycle").eqNullSafe(F.col("file_cycle")))
         .alias("n_wrong_cycle"))
-    return per.join(encodings, "file").select(
+    return per.join(facts, "file").select(
         "file", "cycle", "n_lines", F.col("transcode").alias("transcoded"), "n_written", "n_bad",
         "n_torn", "n_open_quote", "n_wrong_cycle", F.lit("converted").alias("status"))
 
@@ -126,18 +132,18 @@ def ingest_contributions(spark: SparkSession, pattern: str, root: str, ledger_pa
                          schema: StructType = CONTRIBUTIONS) -> DataFrame:
     """Convert new files to the partitioned table and return the whole ledger.
 
-    Rows are staged once; the checks (one cycle per file, cycle in range) run on the staged rows,
-    before anything is published.
+    Rows are staged once; the checks (same header, one cycle per file, cycle in range) run on the
+    staged rows, before anything is published.
     """
     todo = new_files(spark, pattern, ledger_path)
     if todo:
-        rows = written(read_contributions(spark, todo, schema), "staged")
-        ledger = written(ledger_rows(rows, _encodings(spark, todo)), "ledger")
-        wrong = ledger.where((F.col("n_wrong_cycle") > 0) | F.col("cycle").isNull()
-                             | ~F.col("cycle").between(FIRST_CYCLE, LAST_CYCLE))
-        if not wrong.isEmpty():
-            names = [r["file"] for r in wrong.select("file").limit(5).collect()]
-            raise ValueError(f"rows with another cycle than the file name says: {names}")
+        rows, facts = read_contributions(spark, todo, schema)
+        _refuse(facts.where(F.col("n_headers") == 0), "files with another header")
+        rows = written(rows, "staged")
+        ledger = written(ledger_rows(rows, facts), "ledger")
+        _refuse(ledger.where((F.col("n_wrong_cycle") > 0) | F.col("cycle").isNull()
+                             | ~F.col("cycle").between(FIRST_CYCLE, LAST_CYCLE)),
+                "rows with another cycle than the file name says")
         good = rows.where(~F.col("bad") & ~F.col("torn")).select(
             *schema.names, F.col("file_cycle").alias("cycle"))
         write_by_cycle(good, root)
@@ -145,16 +151,17 @@ def ingest_contributions(spark: SparkSession, pattern: str, root: str, ledger_pa
     return spark.read.schema(LEDGER).parquet(ledger_path)
 
 
-def _encodings(spark: SparkSession, paths: list[str]) -> DataFrame:
-    from .delimited import file_encodings
-    return file_encodings(read_lines(spark, paths))
+def _refuse(bad_files: DataFrame, why: str) -> None:
+    names = [r["file"] for r in bad_files.select("file").limit(5).collect()]
+    if names:
+        raise ValueError(f"{why}: {names}")
 
 
 def read_contributors(spark: SparkSession, path: str,
                       schema: StructType = CONTRIBUTORS) -> DataFrame:
     """Typed contributor rows; the source is always Latin-1, null mark and empty are both NULL."""
     header = read_header(spark, path)
-    lines = repair_lines(read_lines(spark, path), always_latin1=True)
+    lines = written(repair_lines(read_lines(spark, path)), "lines")
     records = logical_records(lines, len(header))
     parsed = parse_records(records, header).where(F.col("n_fields") <= len(header))
     return typed_projection(parsed, schema, empty_is_null=True)

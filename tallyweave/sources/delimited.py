@@ -29,21 +29,26 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
                     .alias("chunk"), "seq", "value"))
 
 
-def file_encodings(lines: DataFrame) -> DataFrame:
-    """(file, transcode): a file with any invalid UTF-8 is taken as Latin-1 throughout."""
+def file_facts(lines: DataFrame, header: list[str]) -> DataFrame:
+    """(file, transcode, n_headers): a file with any invalid UTF-8 is Latin-1 throughout;
+    ``n_headers`` counts lines equal to the header."""
     return lines.groupBy("file").agg(
-        (~F.bool_and(F.is_valid_utf8("value"))).alias("transcode"))
+        (~F.bool_and(F.is_valid_utf8("value"))).alias("transcode"),
+        F.count_if(F.regexp_replace("value", '"', "") == ",".join(header)).alias("n_headers"))
 
 
-def repair_lines(lines: DataFrame, always_latin1: bool = False) -> DataFrame:
-    """Decode Latin-1 files and strip backslashes at line ends; adds ``transcoded``."""
+def repair_lines(lines: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Decode Latin-1 files and strip backslashes at line ends; adds ``transcoded``.
+
+    ``facts`` tells which files are Latin-1; without it all are.
+    """
     latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    if always_latin1:
+    if facts is None:
         out = lines.withColumn("transcoded", F.lit(True)).withColumn("value", latin)
     else:
-        out = (lines.join(file_encodings(lines), "file")
-               .withColumn("value", F.when(F.col("transcode"), latin).otherwise(F.col("value")))
-               .withColumnRenamed("transcode", "transcoded"))
+        out = (lines.join(facts.select("file", F.col("transcode").alias("transcoded")), "file")
+               .withColumn("value", F.when(F.col("transcoded"), latin)
+                           .otherwise(F.col("value"))))
     return out.withColumn("value", F.regexp_replace("value", r"\\$", ""))
 
 

@@ -6,8 +6,8 @@ from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, St
 
 from tallyweave.operators.quality import schema_problems
 from tallyweave.sources import datasets, schemas
-from tallyweave.sources.delimited import (logical_records, parse_records, read_lines,
-                                          repair_lines, typed_projection)
+from tallyweave.sources.delimited import (file_facts, logical_records, parse_records,
+                                          read_lines, repair_lines, typed_projection)
 
 BODY = r'''transaction.id,memo,amount,cycle
 1,"ends in backslash\",5,2016
@@ -36,9 +36,13 @@ def gz(path, text, encoding="utf-8"):
 def test_repair_and_types(spark, tmp_path):
     gz(tmp_path / "c_2016.csv.gz", BODY)
     gz(tmp_path / "d_2016.csv.gz", BODY, "latin-1")
-    lines = repair_lines(read_lines(spark, str(tmp_path / "*.gz")))
+    header = ["transaction.id", "memo", "amount", "cycle"]
+    raw = read_lines(spark, str(tmp_path / "*.gz"))
+    facts = file_facts(raw, header)
+    assert {r["n_headers"] for r in facts.collect()} == {1}
+    lines = repair_lines(raw, facts)
     assert {r["transcoded"] for r in lines.where("file like '%c_2016%'").collect()} == {False}
-    recs = parse_records(logical_records(lines, 4), ["transaction.id", "memo", "amount", "cycle"])
+    recs = parse_records(logical_records(lines, 4), header)
     rows = typed_projection(recs, SCHEMA, ("file", "open_quote", "cycle"))
     for name in ("c_2016", "d_2016"):
         got = {r["transaction_id"]: r for r in rows.where(f"file like '%{name}%'").collect()}
@@ -93,6 +97,14 @@ def test_wrong_cycle_is_reported_before_the_write(spark, tmp_path):
     assert not (tmp_path / "out").exists()
 
 
+def test_other_header_is_refused(spark, tmp_path):
+    gz(tmp_path / "a_2016.csv.gz", "transaction.id,memo,amount,cycle\n1,a,5,2016\n")
+    gz(tmp_path / "b_2016.csv.gz", "memo,transaction.id,amount,cycle\na,1,5,2016\n")
+    with pytest.raises(ValueError, match="another header"):
+        datasets.ingest_contributions(spark, str(tmp_path / "*.gz"), str(tmp_path / "out"),
+                                      str(tmp_path / "ledger"), SCHEMA)
+
+
 def test_missing_column_is_refused(spark, tmp_path):
     gz(tmp_path / "c_2016.csv.gz", "transaction.id,amount,cycle\n1,5,2016\n")
     with pytest.raises(ValueError, match="memo"):
