@@ -26,10 +26,10 @@ def normalize_name(text: Column, drop: Sequence[str] = LEGAL_FORMS) -> Column:
 
     Words are compared as whole tokens, so the result does not hang on an engine's idea of ``\\b``.
     """
-    spaced = squish(F.regexp_replace(F.lower(text), r"\p{P}", " "))
-    # Padded with spaces every token has its own pair, so one literal pattern finds all of them.
-    pattern = r"(?<= )(?:" + "|".join(re.escape(w) for w in drop) + r")(?= )"
-    return squish(F.regexp_replace(F.concat(F.lit(" "), spaced, F.lit(" ")), pattern, ""))
+    spaced = F.regexp_replace(F.lower(text), r"[\p{P}\s]+", " ")
+    # Every token now stands between single spaces; a dropped one takes its left space along.
+    pattern = " (?:" + "|".join(re.escape(w) for w in drop) + ")(?= )"
+    return F.trim(F.regexp_replace(F.concat(F.lit(" "), spaced, F.lit(" ")), pattern, ""))
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
