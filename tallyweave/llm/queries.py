@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyweave.llm.decontamination import contamination
 from tallyweave.llm.packing import pack
 from tallyweave.llm.sharding import shard_records
 
@@ -26,6 +27,16 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset")
 
 
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that occur in 13-word windows of the benchmark."""
+    judged = contamination(_table(spark, sf_dir, "documents"), "doc_id", "text",
+                           _table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return judged.select(F.col("id").alias("doc_id"), "n_words", "n_hit",
+                         F.size("items").cast("long").alias("n_items"),
+                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                         "contaminated")
+
+
 def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document among 40 equal shards, and its shard among 41."""
     return shard_records(_table(spark, sf_dir, "documents"), "doc_id", "text", [1.0] * SHARDS)
@@ -33,5 +44,6 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": (packing, None),
+    "op8_decontamination": (decontamination, None),
     "op9_sharding": (sharding, None),
 }

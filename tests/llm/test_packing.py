@@ -10,20 +10,22 @@ from tallyweave.llm.packing import WordEncoder, difference, pack
 from tallyweave.llm.queries import END_ID, TOKENIZER, packing
 
 PATH = public_tokenizers.path(TOKENIZER)
-ODD = ["", " \n\t ", "a\x1cb c\x85d e\xa0f", "Don't STOṔ café café ́x",
+ODD = ["", " \n\t ", "a\x1cb c\x85d e\xa0f", "Don't STOṔ café Café, (x) É!! ÿ|a´ ́x",
        "<|endoftext|>x <|startoftext|>", "x" * 5000, "12 345,6!? 中文　\U0001f600",
        "İstanbul ΣΣ ẞ", "a\r\nb c​d"]
 
 
+PLAIN = Tokenizer.from_file(PATH)
+
+
 def ids(text):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [END_ID]
+    return PLAIN.encode(text or "", add_special_tokens=False).ids + [END_ID]
 
 
 def test_words_encode_like_whole_texts(tiny):
     texts = ODD + [t for _, t in tiny]
-    plain = Tokenizer.from_file(PATH)
     for text, got in zip(texts, WordEncoder(PATH).encode(texts)):
-        assert np.frombuffer(got, "<u4").tolist() == plain.encode(
+        assert np.frombuffer(got, "<u4").tolist() == PLAIN.encode(
             text, add_special_tokens=False).ids
 
 
