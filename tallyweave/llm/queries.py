@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyweave.llm.decontamination import contamination
 from tallyweave.llm.packing import pack
 from tallyweave.llm.sharding import shard_records
+from tallyweave.llm.substrings import remove_repeats
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -27,6 +28,13 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset")
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document left when runs of 13 words from smaller ids are removed."""
+    cleaned = remove_repeats(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return cleaned.select(F.col("id").alias("doc_id"), "n_words", "n_removed",
+                          F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that occur in 13-word windows of the benchmark."""
     judged = contamination(_table(spark, sf_dir, "documents"), "doc_id", "text",
@@ -44,6 +52,7 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": (packing, None),
+    "op2_substring_dedup": (substring_dedup, None),
     "op8_decontamination": (decontamination, None),
     "op9_sharding": (sharding, None),
 }
