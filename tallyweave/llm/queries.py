@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyweave.llm.decontamination import contamination
+from tallyweave.llm.near_duplicates import near_duplicates
 from tallyweave.llm.packing import pack
 from tallyweave.llm.sharding import shard_records
 from tallyweave.llm.substrings import remove_repeats
@@ -50,9 +51,16 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(_table(spark, sf_dir, "documents"), "doc_id", "text", [1.0] * SHARDS)
 
 
+def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document: 3-word shingles, similarity 0.85."""
+    return near_duplicates(_table(spark, sf_dir, "documents"), "doc_id",
+                           "text").withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_packing": (packing, None),
     "op2_substring_dedup": (substring_dedup, None),
     "op8_decontamination": (decontamination, None),
     "op9_sharding": (sharding, None),
+    "op10_minhash_dedup": (minhash_dedup, None),
 }
