@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,10 @@ from tallyweave.llm.common import documents, texts_of
 
 #: Windows in the largest set of documents that is balanced at once.
 CELL_WINDOWS = 256
-_KEPT_WORDS = 400_000
+#: Words whose ids a worker remembers (about 200 bytes each).
+_KEPT_WORDS = 1_500_000
+_LETTERS_AND_MARKS = re.compile(
+    r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|%&*$#\"()\[\]-]*)").fullmatch
 SCHEMA = ("id long, start long, length long, token_ids binary, doc_tokens long, "
           "sequence_id long, offset long")
 
@@ -22,29 +27,63 @@ SCHEMA = ("id long, start long, length long, token_ids binary, doc_tokens long,
 class WordEncoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    For tokenizers that drop white space and never merge across it: a text's ids are those of its
-    blank-separated words, and words are looked up once.
+    For byte-level tokenizers that lower-case, drop white space, never merge across it, and split
+    marks off letters: a text's ids are those of its blank-separated words, and each word is
+    encoded once. Plain letters need no normalisation beyond lower case and go to the merges
+    directly; everything else takes the tokenizer's whole path.
     """
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
+        self._model = self._tokenizer.model
         self._ids: dict[str, bytes] = {"": b""}
+        bytes_as_letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._letters = {ord(c): bytes_as_letters.pre_tokenize_str(c)[0][0]
+                         for c in map(chr, range(0xE0, 0x100)) if c.isalpha()}
+        self._letters[0xDF] = bytes_as_letters.pre_tokenize_str("\u00df")[0][0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self._ids
-        new = list(set().union(*split) - known.keys())
+        words, known = set().union(*split), self._ids
+        new = [w for w in words if w not in known]
         if len(known) + len(new) > _KEPT_WORDS:
-            self._ids = known = {"": b""}
-            new = list(set().union(*split) - known.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
+            known = self._ids = {"": b""}
+            new = list(words)
+        self._learn(new)
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+    def _learn(self, new: list[str]) -> None:
+        known = self._ids
+        whole, parts = set(), []  # "Word," has the ids of "word" and of ","
+        for word in new:
+            if m := _LETTERS_AND_MARKS(word):
+                letters, marks = m[1].lower(), m[2]
+                if letters not in known:  # the normal form already: only the merges are left
+                    known[letters] = np.array(
+                        [t.id for t in self._model.tokenize(letters.translate(self._letters))],
+                        "<u4").tobytes()
+                if marks not in known:
+                    whole.add(marks)
+                if word not in known:
+                    parts.append((word, letters, marks))
+            else:
+                whole.add(word)
+        whole = list(whole)
+        for at in range(0, len(whole), 20_000):
+            part = whole[at:at + 20_000]
             for word, got in zip(part, self._tokenizer.encode_batch_fast(
                     part, add_special_tokens=False)):
                 known[word] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        for word, letters, marks in parts:
+            known[word] = known[letters] + known[marks]
+
+
+@lru_cache(1)
+def encoder(tokenizer_path: str) -> WordEncoder:
+    """One encoder for all tasks that a Python worker runs."""
+    return WordEncoder(tokenizer_path)
 
 
 def difference(lengths: list[int], windows: int) -> list[list[int]]:
@@ -193,13 +232,12 @@ def pack(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = WordEncoder(tokenizer_path)
         packer = _Packer(capacity, TaskContext.get().partitionId() << 36)
         for batch in batches:
             ids, column = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 500):
                 texts = texts_of(column.slice(at, 500))
-                for key, tokens in zip(ids[at:at + 500], encoder.encode(texts)):
+                for key, tokens in zip(ids[at:at + 500], encoder(tokenizer_path).encode(texts)):
                     packer.add((key, tokens + end, len(tokens) // 4 + 1))
                     if packer.total >= cell_windows * capacity:
                         packer.balance(False)
