@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyweave.llm.decontamination import contamination
 from tallyweave.llm.near_duplicates import near_duplicates
 from tallyweave.llm.packing import pack
+from tallyweave.llm.quality import VoteModel, fit_votes, quality_scores
 from tallyweave.llm.sharding import shard_records
 from tallyweave.llm.substrings import remove_repeats
 
@@ -36,6 +37,26 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _fold(column: str, n: int):
+    """Remainder of the CRC-32 of the id as text."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> VoteModel:
+    """Votes learnt from the labelled documents outside the held-out fifth."""
+    train = labels.where(_fold("doc_id", 5) != 0).select(F.col("doc_id").alias("id"),
+                                                         F.col("quality").alias("label"))
+    return fit_votes(docs, "doc_id", "text", train)
+
+
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a fifth is held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_model(docs, _table(spark, sf_dir, "labels"))
+    return quality_scores(docs, "doc_id", "text", model).select(
+        F.col("id").alias("doc_id"), (_fold("id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that occur in 13-word windows of the benchmark."""
     judged = contamination(_table(spark, sf_dir, "documents"), "doc_id", "text",
@@ -60,6 +81,7 @@ def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": (packing, None),
     "op2_substring_dedup": (substring_dedup, None),
+    "op7_quality_classifier": (quality_classifier, None),
     "op8_decontamination": (decontamination, None),
     "op9_sharding": (sharding, None),
     "op10_minhash_dedup": (minhash_dedup, None),
