@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyweave.llm.decontamination import contamination
+from tallyweave.llm.language import Dictionaries, identify, sample_texts
 from tallyweave.llm.near_duplicates import near_duplicates
 from tallyweave.llm.packing import pack
 from tallyweave.llm.quality import VoteModel, fit_votes, quality_scores
@@ -57,6 +58,16 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), (_fold("id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a third is held out."""
+    docs = _table(spark, sf_dir, "documents")
+    learnt = Dictionaries(sample_texts(docs.where(_fold("doc_id", 3) != 1), "text", "lang",
+                                       "doc_id"))
+    return identify(docs, "doc_id", "text", learnt).select(
+        F.col("id").alias("doc_id"), (_fold("id", 3) == 1).alias("held_out"), "lang_pred", "score",
+        "confident")
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that occur in 13-word windows of the benchmark."""
     judged = contamination(_table(spark, sf_dir, "documents"), "doc_id", "text",
@@ -81,6 +92,7 @@ def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": (packing, None),
     "op2_substring_dedup": (substring_dedup, None),
+    "op5_language_id": (language_id, None),
     "op7_quality_classifier": (quality_classifier, None),
     "op8_decontamination": (decontamination, None),
     "op9_sharding": (sharding, None),
