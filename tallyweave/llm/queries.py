@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyweave.llm.decontamination import contamination
 from tallyweave.llm.language import Dictionaries, identify, sample_texts
+from tallyweave.llm.lines import dedup_lines
 from tallyweave.llm.near_duplicates import near_duplicates
 from tallyweave.llm.packing import pack
 from tallyweave.llm.quality import VoteModel, fit_votes, quality_scores
@@ -68,6 +69,12 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "confident")
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat an earlier line up to one edit."""
+    cleaned = dedup_lines(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return cleaned.select(F.col("id").alias("doc_id"), "text", "n_lines", "n_removed")
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that occur in 13-word windows of the benchmark."""
     judged = contamination(_table(spark, sf_dir, "documents"), "doc_id", "text",
@@ -92,6 +99,7 @@ def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": (packing, None),
     "op2_substring_dedup": (substring_dedup, None),
+    "op3_line_dedup": (line_dedup, None),
     "op5_language_id": (language_id, None),
     "op7_quality_classifier": (quality_classifier, None),
     "op8_decontamination": (decontamination, None),
