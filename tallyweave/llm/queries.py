@@ -9,6 +9,7 @@ from tallyweave.llm.decontamination import contamination
 from tallyweave.llm.language import Dictionaries, identify, sample_texts
 from tallyweave.llm.lines import dedup_lines
 from tallyweave.llm.near_duplicates import near_duplicates
+from tallyweave.llm.neighbours import nearest
 from tallyweave.llm.packing import pack
 from tallyweave.llm.quality import VoteModel, fit_votes, quality_scores
 from tallyweave.llm.sharding import shard_records
@@ -75,6 +76,12 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select(F.col("id").alias("doc_id"), "text", "n_lines", "n_removed")
 
 
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every vector whose id is divisible by 20."""
+    return nearest(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding",
+                   lambda i: i % 20 == 0).withColumnRenamed("id", "vec_id")
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that occur in 13-word windows of the benchmark."""
     judged = contamination(_table(spark, sf_dir, "documents"), "doc_id", "text",
@@ -101,6 +108,7 @@ QUERIES = {
     "op2_substring_dedup": (substring_dedup, None),
     "op3_line_dedup": (line_dedup, None),
     "op5_language_id": (language_id, None),
+    "op6_nearest_neighbours": (nearest_neighbours, None),
     "op7_quality_classifier": (quality_classifier, None),
     "op8_decontamination": (decontamination, None),
     "op9_sharding": (sharding, None),
