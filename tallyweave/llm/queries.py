@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyweave.llm.decontamination import contamination
+from tallyweave.llm.html_text import extract_text, page_weights
 from tallyweave.llm.language import Dictionaries, identify, sample_texts
 from tallyweave.llm.lines import dedup_lines
 from tallyweave.llm.near_duplicates import near_duplicates
@@ -82,6 +83,13 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
                    lambda i: i % 20 == 0).withColumnRenamed("id", "vec_id")
 
 
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = _table(spark, sf_dir, "pages")
+    found = extract_text(pages, "page_id", "html", page_weights(pages, "page_id", "html"))
+    return found.select("row.page_id", "row.url", "text", "n_chars")
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that occur in 13-word windows of the benchmark."""
     judged = contamination(_table(spark, sf_dir, "documents"), "doc_id", "text",
@@ -107,6 +115,7 @@ QUERIES = {
     "op1_packing": (packing, None),
     "op2_substring_dedup": (substring_dedup, None),
     "op3_line_dedup": (line_dedup, None),
+    "op4_html_extraction": (html_extraction, None),
     "op5_language_id": (language_id, None),
     "op6_nearest_neighbours": (nearest_neighbours, None),
     "op7_quality_classifier": (quality_classifier, None),
