@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -14,15 +15,26 @@ from tallyweave.llm.common import (SPACED_LOWER, HashFilter, WordBatch, arrays_b
 from tallyweave.llm.components import components
 from tallyweave.session import written
 
-#: Signature: SYMBOLS least hashes, 16 bits of each. Two signatures may differ in DISTANCE
-#: symbols; at similarity 0.85 more differ with probability 8e-6. Of CHUNKS = (DISTANCE + 1) / 2
-#: chunks one then differs in at most one symbol (pigeonhole).
-SYMBOLS, DISTANCE = 48, 19
-CHUNKS = (DISTANCE + 1) // 2
+#: Least hashes in a signature (16 bits of each), and the chance that a pair just at the similarity
+#: threshold may be farther apart than the join's distance.
+SYMBOLS, MISS = 48, 1e-5
 _MULT = mixed(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mixed(np.arange(1001, SYMBOLS + 1001, dtype=np.uint64))
 
 
+def distance_bound(percent: int) -> int:
+    """Signature distance that pairs of this similarity exceed with a chance below MISS: 19 for
+    0.85 and 23 for 0.8. It is odd, so that (distance + 1) / 2 chunks use it fully."""
+    differ = 1 - percent / 100
+    chance, bound = 1.0, -1
+    while chance >= MISS or bound % 2 == 0:
+        bound += 1
+        chance -= comb(SYMBOLS, bound) * differ ** bound * (1 - differ) ** (SYMBOLS - bound)
+    if bound > 2 * SYMBOLS // 3:
+        raise ValueError(f"similarity of {percent} percent is too low for {SYMBOLS} symbols")
+    return bound
+
+
 def shingle_sets(words: WordBatch, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text of fewer words is one shingle."""
     b, grams = words.bounds, gram_hashes(words.hashes, size)
@@ -70,14 +82,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
 
 
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
+def chunk_keys(sig: np.ndarray, distance: int) -> np.ndarray:
     """(rows, SYMBOLS) keys: each chunk with each one of its symbols left out.
 
-    Chunks of two signatures that differ in one symbol at most share such a key.
+    Signatures that differ in ``distance`` symbols or fewer have, of (distance + 1) / 2 chunks,
+    one that differs in a single symbol at most (pigeonhole); there they share a key.
     """
     keys = np.empty(sig.shape, np.uint64)
     column = 0
-    for c, part in enumerate(np.array_split(np.arange(SYMBOLS), CHUNKS)):
+    for c, part in enumerate(np.array_split(np.arange(SYMBOLS), (distance + 1) // 2)):
         for hole in part:
             h = np.full(len(sig), (c << 8 | int(hole - part[0])) + 1, np.uint64)
             for j in part:
@@ -88,7 +101,7 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _key_rows(classes: DataFrame, only: HashFilter | None) -> DataFrame:
+def _key_rows(classes: DataFrame, distance: int, only: HashFilter | None) -> DataFrame:
     """(key, rep) for every class, or only where the key is in the filter."""
     shared = classes.sparkSession.sparkContext.broadcast(only) if only else None
 
@@ -96,7 +109,7 @@ def _key_rows(classes: DataFrame, only: HashFilter | None) -> DataFrame:
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for at in range(0, batch.num_rows, 4000):
                 part = batch.slice(at, 4000)
-                keys = chunk_keys(_matrix(part.column(1))).ravel()
+                keys = chunk_keys(_matrix(part.column(1)), distance).ravel()
                 reps = np.repeat(part.column(0).to_numpy(), SYMBOLS)
                 if shared:
                     keep = shared.value.test(keys)
@@ -117,10 +130,12 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, table: DataFrame, size: int
             .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
             .select("a", "b", "sa", "sb"))
 
+    bound = distance_bound(percent)
+
     def distance():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             differ = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(axis=1)
-            yield batch.filter(pa.array(differ <= DISTANCE)).select([0, 1])
+            yield batch.filter(pa.array(differ <= bound)).select([0, 1])
         return work
     near = written(arrow_map(near, "a long, b long", distance), "near-pairs")
     nodes = written(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
@@ -171,8 +186,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 3,
     every class is compared with the least class of each key it shares; that joins nearly all of
     a group. Then, only under keys where several components are left, all members outside the
     key's largest component are compared with all members of other components. So no link
-    between components is missed among signatures within DISTANCE, and links inside one component
-    are not written out. Every link is confirmed on whole sets.
+    between components is missed among signatures within :func:`distance_bound`, and links inside
+    one component are not written out. Every link is confirmed on whole sets.
 
     Cases: texts that are null or without words are linked with nothing; a row with a null id has
     a null component and is kept; rows with equal ids and different texts are judged each; an
@@ -183,11 +198,11 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 3,
     classes = written(rows.where("n > 0 and id is not null").groupBy("set_hash")
                       .agg(F.min("id").alias("rep"), F.first("sig").alias("sig"),
                            F.first("n").alias("n")), "classes")
-    shared = written(_key_rows(classes, None).groupBy("key")
+    shared = written(_key_rows(classes, distance_bound(percent), None).groupBy("key")
                      .agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
                      .where("lo < hi").select("key", "lo"), "shared-keys")
-    members = written(_key_rows(classes, HashFilter.build(shared, "key")).join(shared, "key"),
-                      "key-members")
+    members = written(_key_rows(classes, distance_bound(percent), HashFilter.build(shared, "key"))
+                      .join(shared, "key"), "key-members")
     star = members.where("lo < rep").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
     links = written(_confirmed(star.distinct(), classes, table, size, percent), "links")
     labels = components(links)

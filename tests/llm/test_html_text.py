@@ -80,7 +80,7 @@ def test_weights_and_odd_rows(spark):
                                    (None, "<p>" + "long " * 100_000, "u", 5)]
     df = spark.createDataFrame(rows, "page_id long, html string, text string, n_chars int")
     weights = ht.page_weights(df, "page_id", "html")
-    assert weights["p"] > 0 > weights["a"] and weights["<nav"] < 0
+    assert weights["p"] > 0 > weights["nav"] and weights["<nav"] < 0
     got = ht.extract_text(df, "page_id", "html", weights).collect()
     assert sorted((r.row.n_chars, r.text, r.n_chars) for r in got if r.row.n_chars in (2, 3, 4)) == [
         (2, "", 0), (3, "", 0), (4, "again", 5)]

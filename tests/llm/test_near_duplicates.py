@@ -66,12 +66,12 @@ def chains(seed):
     return list(enumerate(rows, 5))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_drifting_groups(spark, docs_of, seed):
+@pytest.mark.parametrize("seed, size, percent", [(1, 3, 85), (2, 5, 80)])
+def test_drifting_groups(spark, docs_of, seed, size, percent):
     rows = chains(seed) + [(900, None), (901, " \n"), (902, "One  two"), (903, "one TWO"),
                            (904, "one"), (905, ""), (906, "x y z " * 3000), (907, "x y z " * 2000)]
-    got = nd.near_duplicates(docs_of(rows).repartition(3), "doc_id", "text").collect()
-    assert sorted(map(tuple, got)) == brute(rows)
+    got = nd.near_duplicates(docs_of(rows).repartition(3), "doc_id", "text", size, percent)
+    assert sorted(map(tuple, got.collect())) == brute(rows, size, percent)
 
 
 def test_odd_rows(spark, docs_of):
@@ -88,10 +88,11 @@ def test_near_signatures_share_a_key():
     rng = np.random.default_rng(3)
     sig = rng.integers(0, 1 << 16, (200, nd.SYMBOLS), dtype=np.uint16)
     other = sig.copy()
+    assert (nd.distance_bound(85), nd.distance_bound(80)) == (19, 23)
     for row in other:
-        at = rng.permutation(nd.SYMBOLS)[:nd.DISTANCE]
+        at = rng.permutation(nd.SYMBOLS)[:19]
         row[at] ^= 1
-    a, b = nd.chunk_keys(sig), nd.chunk_keys(other)
+    a, b = nd.chunk_keys(sig, 19), nd.chunk_keys(other, 19)
     assert all(np.intersect1d(x, y).size for x, y in zip(a, b))
     assert len(np.unique(a)) == a.size
 
