@@ -134,7 +134,7 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, window: int = WIND
     table = documents(df, id_col, text_col)
     known = table.where("id is not null")
     anchors = HashFilter.build(written(shared_anchors(known, window), "shared-anchors"), "hash")
-    windows = written(extended_windows(known, anchors, window), "windows")
+    windows = extended_windows(known, anchors, window)  # read twice: cheaper than a stored copy
     first = (windows.groupBy("hash").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
              .where("lo < hi").select("hash", "lo"))
     hits = windows.join(first, "hash").where("id > lo").select("id", "place")
