@@ -7,12 +7,17 @@ from pyspark.sql import Column, functions as F
 FIXED_SCALE = 1_000_000
 
 
+def finite(x: Column) -> Column:
+    """``x`` where it is a finite number, else NULL: NaN and infinities count as missing."""
+    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+
+
 def fixed_point(x: Column, scale: int = FIXED_SCALE) -> Column:
-    """``x`` as a whole number of 1/scale units (half up).
+    """``x`` as a whole number of 1/scale units (half up); NULL where ``x`` is not finite.
 
     Sums of these are exact, so they do not depend on the order in which partitions arrive.
     """
-    return F.floor(x * F.lit(float(scale)) + F.lit(0.5)).cast("bigint")
+    return F.floor(finite(x.cast("double")) * F.lit(float(scale)) + F.lit(0.5)).cast("bigint")
 
 
 def round_half_up(x: Column, digits: int = 6) -> Column:

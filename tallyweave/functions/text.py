@@ -17,16 +17,16 @@ MANAGER_WORDS = ("manager", "ceo", "cfo", "president", "director")
 
 
 def squish(text: Column) -> Column:
-    """Trim and collapse runs of white space."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Trim and collapse runs of white space, no-break and other Unicode spaces included."""
+    return F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
 
 
 def normalize_name(text: Column, drop: Sequence[str] = LEGAL_FORMS) -> Column:
-    """Lower-case, punctuation to space, legal-form words out, white space squished.
+    """Lower-case, punctuation and any white space to one space, legal-form words out.
 
     Words are compared as whole tokens, so the result does not hang on an engine's idea of ``\\b``.
     """
-    spaced = F.regexp_replace(F.lower(text), r"[\p{P}\s]+", " ")
+    spaced = F.regexp_replace(F.lower(text), r"[\p{P}\p{Z}\s]+", " ")
     # Every token now stands between single spaces; a dropped one takes its left space along.
     pattern = " (?:" + "|".join(re.escape(w) for w in drop) + ")(?= )"
     return F.trim(F.regexp_replace(F.concat(F.lit(" "), spaced, F.lit(" ")), pattern, ""))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.numeric import FIXED_SCALE, fixed_point, normalize_amount
+from ..functions.numeric import FIXED_SCALE, finite, fixed_point, normalize_amount
 from .joins import null_safe_join
 
 # Transaction types that count as contributions.
@@ -28,10 +28,11 @@ def cycle_totals(donations: DataFrame, types: Sequence[str] = CONTRIBUTION_TYPES
                  score: str = "candidate_score", kind: str = "transaction_type") -> DataFrame:
     """Weighted score sum and weight per donor and cycle, for donors' own cycles.
 
-    A donation that does not qualify adds weight 0, so its cycle is still known as an own one.
+    A donation that does not qualify adds weight 0, so its cycle is still known as an own one; a
+    score or amount that is no finite number is missing.
     """
-    weight = normalize_amount(F.col(amount))
-    ok = F.col(score).isNotNull() & weight.isNotNull() & F.col(kind).isin(*types)
+    weight = normalize_amount(finite(F.col(amount).cast("double")))
+    ok = finite(F.col(score).cast("double")).isNotNull() & weight.isNotNull() & F.col(kind).isin(*types)
     w = F.when(ok, weight).otherwise(F.lit(0)).cast("bigint")
     return (donations.where(F.col(donor).isNotNull() & F.col(cycle).isNotNull())
             .select(donor, cycle, w.alias("_w"),

@@ -62,7 +62,7 @@ companies as (
 def norm_sql(x: str) -> str:
     """Normalised name: tokens of the lower-cased, punctuation-free text, legal forms left out."""
     return (f"array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower({x})"
-            f", '\\p{{P}}', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda t: t not in ("
+            f", '\\p{{P}}', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g')), ' '), lambda t: t not in ("
             "'inc', 'incorporated', 'corp', 'corporation', 'co', 'company', 'llc', 'llp', 'ltd',"
             " 'limited', 'plc', 'lp')), ' ')")
 

@@ -80,6 +80,16 @@ def ingest_repair(spark, sf):
     return datasets.read_by_cycle(spark, root, stored)
 
 
+def ingest_late_files(spark, sf):
+    """The same files in two runs: later files of a cycle add to the earlier ones' rows."""
+    pattern = write_dirty_orders(spark, sf)
+    root, ledger = scratch_path(spark, "contributions"), scratch_path(spark, "ledger")
+    for files in (pattern.replace("file=*", "file=*-0"), pattern):
+        datasets.ingest_contributions(spark, files, root, ledger, ORDERS_SCHEMA)
+    stored = StructType([*ORDERS_SCHEMA.fields, StructField("cycle", LongType())])
+    return datasets.read_by_cycle(spark, root, stored)
+
+
 _DIRTY = """o as (select *, o_orderkey as k, cast(year(o_orderdate) + year(o_orderdate) % 2
   as bigint) as c from orders)"""
 
@@ -414,6 +424,7 @@ from o where k % 19 <> 0"""
 
 QUERIES = {
     "ingest_repair": (ingest_repair, _INGEST_SQL),
+    "ingest_late_files": (ingest_late_files, _INGEST_SQL),
     "ingest_ledger": (ingest_ledger, _LEDGER_SQL),
     "reconcile": (reconcile_query, _RECONCILE_SQL),
     "contributor_ingest": (contributor_ingest, _CONTRIBUTOR_SQL),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.quality import schema_problems
@@ -13,23 +13,26 @@ from .delimited import (cycle_of_file, file_facts, logical_records, parse_record
 from .schemas import (CONTRIBUTIONS, CONTRIBUTORS, FIRST_CYCLE, LAST_CYCLE, REGISTER_JSON)
 
 LEDGER = ("file string, cycle bigint, n_lines bigint, transcoded boolean, n_written bigint, "
-          "n_bad bigint, n_torn bigint, n_open_quote bigint, n_wrong_cycle bigint, status string")
+          "n_bad bigint, n_torn bigint, n_open_quote bigint, n_wrong_cycle bigint, status string, "
+          "bytes bigint, modified timestamp, at timestamp")
 
 
-def write_by_cycle(df: DataFrame, root: str, records_per_file: int = 5_000_000) -> None:
-    """Hive layout by cycle; only the cycles present are replaced.
+def write_by_cycle(df: DataFrame, root: str, records_per_file: int = 5_000_000,
+                   parts: tuple[str, ...] = ("cycle",)) -> None:
+    """Hive layout by cycle (and further columns); only the partitions present are replaced.
 
     The rebalance hint lets AQE cut a cycle that holds most rows into several files and merge
     small pieces.
     """
-    (df.hint("rebalance", "cycle").write.mode("overwrite")
+    (df.hint("rebalance", *parts).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-     .option("maxRecordsPerFile", records_per_file).partitionBy("cycle").parquet(root))
+     .option("maxRecordsPerFile", records_per_file).partitionBy(*parts).parquet(root))
 
 
 def read_by_cycle(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
-    """Partitioned table with ``cycle`` pinned to bigint (``schema`` names it)."""
-    return spark.read.schema(schema).parquet(root)
+    """Partitioned table with ``cycle`` pinned to bigint (``schema`` names it); partition columns
+    that ``schema`` does not name stay out."""
+    return spark.read.schema(schema).parquet(root).select(*schema.names)
 
 
 def write_table(df: DataFrame, path: str, records_per_file: int | None = None,
@@ -76,15 +79,39 @@ def _table_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | N
         return None
 
 
-def new_files(spark: SparkSession, pattern: str, ledger_path: str) -> list[str]:
-    """Files not yet converted according to the ledger."""
-    files = (spark.read.format("binaryFile").load(pattern)
-             .select(F.col("path").alias("file")))
+def source_name(file: Column) -> Column:
+    """Name of a source file's part of the table: its base name and a hash of its path."""
+    return F.concat(F.regexp_extract(file, r"([^/]*)$", 1), F.lit("-"), F.hex(F.xxhash64(file)))
+
+
+def last_runs(spark: SparkSession, ledger_path: str) -> DataFrame | None:
+    """The latest ledger row of every file."""
     ledger = _table_or_none(spark, ledger_path, LEDGER)
-    if ledger is not None:
-        done = ledger.where(F.col("status") == "converted").select("file").distinct()
-        files = files.join(done, "file", "left_anti")
-    return sorted(r["file"] for r in files.collect())
+    if ledger is None:
+        return None
+    return (ledger.groupBy("file").agg(F.max_by(F.struct("*"), "at").alias("r")).select("r.*"))
+
+
+def new_files(spark: SparkSession, pattern: str, ledger_path: str, root: str | None = None,
+              force: bool = False) -> DataFrame:
+    """(file, bytes, modified) of the files to convert: those that are new, changed since, failed
+    before, or whose part of the table at ``root`` is gone; with ``force`` all."""
+    files = (spark.read.format("binaryFile").load(pattern)
+             .select(F.col("path").alias("file"), F.col("length").alias("bytes"),
+                     F.col("modificationTime").alias("modified")))
+    ledger = last_runs(spark, ledger_path)
+    if ledger is None or force:
+        return files
+    done = ledger.where("status = 'converted'")
+    if root is not None:
+        there = _table_or_none(spark, root, "cycle bigint, source string")
+        if there is None:
+            return files
+        there = there.select("cycle", "source").distinct()
+        done = done.withColumn("source", source_name(F.col("file"))).join(
+            there, ["cycle", "source"], "left_semi")
+    return files.join(done.select("file", "bytes", "modified"), ["file", "bytes", "modified"],
+                      "left_anti")
 
 
 def read_contributions(spark: SparkSession, paths: list[str] | str,
@@ -115,7 +142,8 @@ def read_contributions(spark: SparkSession, paths: list[str] | str,
 
 
 def ledger_rows(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """One ledger row per file."""
+    """One ledger row per file; a file fails if a row has another cycle than its name says, if
+    that is no known cycle, or if no row is left."""
     good = ~F.col("bad") & ~F.col("torn")
     per = rows.groupBy("file").agg(
         F.max("file_cycle").alias("cycle"), F.sum("n_lines").cast("bigint").alias("n_lines"),
@@ -123,38 +151,64 @@ def ledger_rows(rows: DataFrame, facts: DataFrame) -> DataFrame:
         F.count_if("torn").alias("n_torn"), F.count_if("open_quote").alias("n_open_quote"),
         F.count_if(good & ~F.col("row_cycle").eqNullSafe(F.col("file_cycle")))
         .alias("n_wrong_cycle"))
+    fine = ((F.col("n_wrong_cycle") == 0) & (F.col("n_written") > 0)
+            & F.coalesce(F.col("cycle").between(FIRST_CYCLE, LAST_CYCLE), F.lit(False)))
     return per.join(facts, "file").select(
         "file", "cycle", "n_lines", F.col("transcode").alias("transcoded"), "n_written", "n_bad",
-        "n_torn", "n_open_quote", "n_wrong_cycle", F.lit("converted").alias("status"))
+        "n_torn", "n_open_quote", "n_wrong_cycle",
+        F.when(fine, "converted").otherwise("failed").alias("status"))
 
 
-def ingest_contributions(spark: SparkSession, pattern: str, root: str, ledger_path: str,
-                         schema: StructType = CONTRIBUTIONS) -> DataFrame:
-    """Convert new files to the partitioned table and return the whole ledger.
+def _by_header(spark: SparkSession, files: list[str],
+               schema: StructType) -> dict[tuple[str, ...], list[str]]:
+    """Files with all columns of ``schema`` and a cycle, grouped by their own header."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    needed = {f.metadata["source_name"] for f in schema} | {"cycle"}
+    for file in files:
+        header = tuple(read_header(spark, file))
+        if needed <= set(header):
+            groups.setdefault(header, []).append(file)
+    return groups
 
-    Rows are staged once; the checks (same header, one cycle per file, cycle in range) run on the
-    staged rows, before anything is published.
+
+def ingest_contributions(spark: SparkSession, pattern: str, root: str, ledger_path: str,
+                         schema: StructType = CONTRIBUTIONS, force: bool = False) -> DataFrame:
+    """Convert new and changed files to the table at ``root``; returns the ledger's latest row per
+    file.
+
+    Each file is parsed by its own header and has a part of the table for itself, below its cycle:
+    a later file of a cycle adds rows, the same file again replaces its own. Rows are staged and
+    checked before anything is published; files that fail a check are marked ``failed`` in the
+    ledger, the others are published.
     """
-    todo = new_files(spark, pattern, ledger_path)
-    if todo:
-        rows, facts = read_contributions(spark, todo, schema)
-        _refuse(facts.where(F.col("n_headers") == 0), "files with another header")
-        rows = written(rows, "staged")
-        ledger = written(ledger_rows(rows, facts), "ledger")
-        _refuse(ledger.where((F.col("n_wrong_cycle") > 0) | F.col("cycle").isNull()
-                             | ~F.col("cycle").between(FIRST_CYCLE, LAST_CYCLE)),
-                "rows with another cycle than the file name says")
-        good = rows.where(~F.col("bad") & ~F.col("torn")).select(
-            *schema.names, F.col("file_cycle").alias("cycle"))
-        write_by_cycle(good, root)
-        ledger.write.mode("append").parquet(ledger_path)
-    return spark.read.schema(LEDGER).parquet(ledger_path)
-
-
-def _refuse(bad_files: DataFrame, why: str) -> None:
-    names = [r["file"] for r in bad_files.select("file").limit(5).collect()]
+    todo = written(new_files(spark, pattern, ledger_path, root, force), "todo")
+    names = sorted(r["file"] for r in todo.select("file").collect())  # file names, not rows
     if names:
-        raise ValueError(f"{why}: {names}")
+        rows = ledger = None
+        for header, files in _by_header(spark, names, schema).items():
+            part, facts = read_contributions(spark, files, schema)
+            part = written(part, "staged")
+            entries = ledger_rows(part, facts)
+            rows = part if rows is None else rows.unionByName(part)
+            ledger = entries if ledger is None else ledger.unionByName(entries)
+        known = todo.withColumn("at", F.current_timestamp())
+        if ledger is None:
+            entries = known.select("file", F.lit("failed").alias("status"), "bytes", "modified", "at")
+        else:
+            entries = known.join(ledger, "file", "left").withColumn(
+                "status", F.coalesce("status", F.lit("failed")))
+        kinds = spark.createDataFrame([], LEDGER).schema
+        entries = written(entries.select(*[
+            (F.col(f.name) if f.name in entries.columns else F.lit(None)).cast(f.dataType)
+            .alias(f.name) for f in kinds]), "ledger")
+        if rows is not None:
+            fine = entries.where("status = 'converted'").select("file")
+            good = (rows.where(~F.col("bad") & ~F.col("torn")).join(fine, "file", "left_semi")
+                    .select(*schema.names, F.col("file_cycle").alias("cycle"),
+                            source_name(F.col("file")).alias("source")))
+            write_by_cycle(good, root, parts=("cycle", "source"))
+        entries.write.mode("append").parquet(ledger_path)
+    return last_runs(spark, ledger_path)
 
 
 def read_contributors(spark: SparkSession, path: str,

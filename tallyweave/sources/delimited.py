@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DateType, DoubleType, LongType, StructType
 
-from ..functions.numeric import lenient_bigint
+from ..functions.numeric import finite, lenient_bigint
 from .schemas import plain
 
 NULL_MARK = r"\N"
@@ -137,7 +137,7 @@ def typed(name: str, kind, empty_is_null: bool) -> Column:
     if isinstance(kind, LongType):
         return lenient_bigint(F.trim(raw)).alias(name)
     if isinstance(kind, DoubleType):
-        return raw.try_cast("double").alias(name)
+        return finite(raw.try_cast("double")).alias(name)
     if isinstance(kind, DateType):
         return raw.try_cast("date").alias(name)
     return (F.nullif(raw, F.lit("")) if empty_is_null else raw).alias(name)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.numeric import FIXED_SCALE, fixed_point, normalize_amount
+from ..functions.numeric import FIXED_SCALE, finite, fixed_point, normalize_amount
 from ..operators.scoring import CONTRIBUTION_TYPES
 from ..sources.delimited import typed_projection
 
@@ -38,8 +38,8 @@ def running_scores(donations: DataFrame, types: Sequence[str] = CONTRIBUTION_TYP
 
     State is one row per donor and cycle. Cycles close by calendar, so there is no watermark.
     """
-    weight = normalize_amount(F.col(amount))
-    ok = F.col(score).isNotNull() & weight.isNotNull() & F.col(kind).isin(*types)
+    weight = normalize_amount(finite(F.col(amount).cast("double")))
+    ok = finite(F.col(score).cast("double")).isNotNull() & weight.isNotNull() & F.col(kind).isin(*types)
     w = F.when(ok, weight).otherwise(F.lit(0)).cast("bigint")
     s = F.when(ok, fixed_point(F.col(score))).otherwise(F.lit(0))
     rows = (donations.where(F.col(donor).isNotNull() & F.col(cycle).isNotNull())

@@ -5,10 +5,10 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tallyweave.functions.jaro import jaro_batch, jaro_distance
-from tallyweave.functions.numeric import (cycle_of_year, digits_to_int, lenient_bigint,
-                                          normalize_amount, zero_pad)
+from tallyweave.functions.numeric import (cycle_of_year, digits_to_int, finite, fixed_point,
+                                          lenient_bigint, normalize_amount, zero_pad)
 from tallyweave.functions.tails import chi2_upper, f_upper, t_two_sided
-from tallyweave.functions.text import normalize_name, occupation_class
+from tallyweave.functions.text import normalize_name, occupation_class, squish
 
 
 def column(df, expr):
@@ -24,6 +24,18 @@ def test_amount_buckets(spark):
     assert column(df, normalize_amount(F.col("v"))) == [None, 0, 0, 1, 1, 2, 50, 50, 50]
 
 
+def test_values_that_are_no_finite_number_are_missing(spark):
+    df = one(spark, [0.5, float("nan"), float("inf"), None], "double")
+    assert column(df, fixed_point(F.col("v"))) == [500000, None, None, None]
+    assert column(df, finite(F.col("v"))) == [0.5, None, None, None]
+
+
+def test_unicode_spaces(spark):
+    df = one(spark, ["ACME\u00a0INC", "\u2003Acme\u3000Co. ", "acme"], "string")
+    assert column(df, normalize_name(F.col("v"))) == ["acme"] * 3
+    assert column(df, squish(F.col("v"))) == ["ACME INC", "Acme Co.", "acme"]
+
+
 def test_lenient_bigint(spark):
     df = one(spark, ["12.5", "1e3", " 7 ", "x", "", "-2.5", "NaN", "1e30", None], "string")
     assert column(df, lenient_bigint(F.col("v"))) == [13, 1000, 7, None, None, -3, None, None,

@@ -89,20 +89,52 @@ def test_ingest_skips_what_is_done(spark, tmp_path):
     assert not datasets.table_is_complete(spark, str(tmp_path / "nothing"), stored)
 
 
-def test_wrong_cycle_is_reported_before_the_write(spark, tmp_path):
-    gz(tmp_path / "c_2016.csv.gz", "transaction.id,memo,amount,cycle\n1,a,5,2018\n")
-    with pytest.raises(ValueError, match="another cycle"):
-        datasets.ingest_contributions(spark, str(tmp_path / "*.gz"), str(tmp_path / "out"),
-                                      str(tmp_path / "ledger"), SCHEMA)
-    assert not (tmp_path / "out").exists()
-
-
-def test_other_header_is_refused(spark, tmp_path):
-    gz(tmp_path / "a_2016.csv.gz", "transaction.id,memo,amount,cycle\n1,a,5,2016\n")
-    gz(tmp_path / "b_2016.csv.gz", "memo,transaction.id,amount,cycle\na,1,5,2016\n")
-    with pytest.raises(ValueError, match="another header"):
-        datasets.ingest_contributions(spark, str(tmp_path / "*.gz"), str(tmp_path / "out"),
-                                      str(tmp_path / "ledger"), SCHEMA)
+STORED = StructType([*SCHEMA.fields, StructField("cycle", LongType())])
+
+
+def ingest(spark, tmp_path, **more):
+    args = (str(tmp_path / "*.gz"), str(tmp_path / "out"), str(tmp_path / "ledger"), SCHEMA)
+    ledger = datasets.ingest_contributions(spark, *args, **more)
+    return {r["file"].rsplit("/", 1)[1]: r["status"] for r in ledger.collect()}
+
+
+def stored(spark, tmp_path):
+    return sorted((r["transaction_id"], r["cycle"]) for r in datasets.read_by_cycle(
+        spark, str(tmp_path / "out"), STORED).collect())
+
+
+HEAD = "transaction.id,memo,amount,cycle\n"
+
+
+def test_a_failed_file_does_not_hold_up_others(spark, tmp_path):
+    gz(tmp_path / "a_2016.csv.gz", HEAD + "1,a,5,2018\n")
+    gz(tmp_path / "b_2016.csv.gz", "transaction.id,amount,cycle\n2,5,2016\n")
+    gz(tmp_path / "c_2016.csv.gz", HEAD + "3,a,5,2016\n")
+    assert ingest(spark, tmp_path) == {"a_2016.csv.gz": "failed", "b_2016.csv.gz": "failed",
+                                       "c_2016.csv.gz": "converted"}
+    assert stored(spark, tmp_path) == [("3", 2016)]
+
+
+def test_files_have_their_own_headers(spark, tmp_path):
+    gz(tmp_path / "a_2016.csv.gz", HEAD + "1,a,5,2016\n")
+    gz(tmp_path / "b_2016.csv.gz", "memo,transaction.id,amount,cycle,more\na,2,5,2016,x\n")
+    assert set(ingest(spark, tmp_path).values()) == {"converted"}
+    assert stored(spark, tmp_path) == [("1", 2016), ("2", 2016)]
+
+
+def test_late_and_changed_files(spark, tmp_path):
+    import shutil
+    gz(tmp_path / "a_2016.csv.gz", HEAD + "1,a,5,2016\n2,b,5,2016\n")
+    ingest(spark, tmp_path)
+    gz(tmp_path / "b_2016.csv.gz", HEAD + "3,a,5,2016\n")
+    ingest(spark, tmp_path)
+    assert stored(spark, tmp_path) == [("1", 2016), ("2", 2016), ("3", 2016)]
+    gz(tmp_path / "a_2016.csv.gz", HEAD + "1,a,5,2016\n4,changed row,5,2016\n")
+    ingest(spark, tmp_path)
+    assert stored(spark, tmp_path) == [("1", 2016), ("3", 2016), ("4", 2016)]
+    shutil.rmtree(tmp_path / "out")  # lost output is built again
+    ingest(spark, tmp_path)
+    assert stored(spark, tmp_path) == [("1", 2016), ("3", 2016), ("4", 2016)]
 
 
 def test_missing_column_is_refused(spark, tmp_path):
