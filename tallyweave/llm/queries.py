@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyweave.llm import oracles
 from tallyweave.llm.decontamination import contamination
 from tallyweave.llm.html_text import extract_text, page_weights
 from tallyweave.llm.language import Dictionaries, identify, sample_texts
@@ -113,13 +114,13 @@ def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": (packing, None),
-    "op2_substring_dedup": (substring_dedup, None),
-    "op3_line_dedup": (line_dedup, None),
+    "op2_substring_dedup": (substring_dedup, oracles.SUBSTRINGS),
+    "op3_line_dedup": (line_dedup, oracles.LINES),
     "op4_html_extraction": (html_extraction, None),
     "op5_language_id": (language_id, None),
     "op6_nearest_neighbours": (nearest_neighbours, None),
     "op7_quality_classifier": (quality_classifier, None),
-    "op8_decontamination": (decontamination, None),
+    "op8_decontamination": (decontamination, oracles.BENCHMARK),
     "op9_sharding": (sharding, None),
-    "op10_minhash_dedup": (minhash_dedup, None),
+    "op10_minhash_dedup": (minhash_dedup, oracles.NEAR_COPIES),
 }
