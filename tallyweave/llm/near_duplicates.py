@@ -119,6 +119,29 @@ def _key_rows(classes: DataFrame, distance: int, only: HashFilter | None) -> Dat
     return arrow_map(classes.select("rep", "sig"), "key long, rep long", make)
 
 
+def _sets(nodes: DataFrame, classes: DataFrame, table: DataFrame, size: int) -> DataFrame:
+    """(rep, shingles) of the classes in ``nodes`` (node), read from the documents again."""
+    wanted = table.sparkSession.sparkContext.broadcast(
+        HashFilter.build(nodes.select(F.xxhash64("node").alias("h")), "h"))
+
+    def make():
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            ids = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            part = batch.filter(pa.array(wanted.value.test(ids)))
+            for row, words in word_batches(part.column(1), SPACED_LOWER):
+                sets = shingle_sets(words, size)
+                yield arrays_batch(
+                    rep=part.column(0).slice(row, len(sets)),
+                    set_hash=pa.array([_fingerprint(s) for s in sets], pa.binary()),
+                    shingles=pa.array([s.tobytes() for s in sets], pa.binary()))
+        return work
+    found = arrow_map(table.withColumn("h", F.xxhash64("id")),
+                      "rep long, set_hash binary, shingles binary", make)
+    own = classes.join(nodes, classes["rep"] == nodes["node"], "left_semi")
+    return written(found.join(own.select("rep", "set_hash"), ["rep", "set_hash"], "left_semi")
+                   .dropDuplicates(["rep", "set_hash"]).select("rep", "shingles"), "sets")
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, table: DataFrame, size: int,
                percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures are near enough and whose whole sets are similar."""
@@ -129,7 +152,6 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, table: DataFrame, size: int
                              F.col("n").alias("nb")), "b")
             .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
             .select("a", "b", "sa", "sb"))
-
     bound = distance_bound(percent)
 
     def distance():
@@ -139,24 +161,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, table: DataFrame, size: int
         return work
     near = written(arrow_map(near, "a long, b long", distance), "near-pairs")
     nodes = written(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    wanted = table.sparkSession.sparkContext.broadcast(
-        HashFilter.build(nodes.select(F.xxhash64("node").alias("h")), "h"))
-
-    def whole():
-        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            ids = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            part = batch.filter(pa.array(wanted.value.test(ids)))
-            for row, words in word_batches(part.column(1), SPACED_LOWER):
-                sets = shingle_sets(words, size)
-                yield arrays_batch(
-                    rep=part.column(0).slice(row, len(sets)),
-                    set_hash=pa.array([_fingerprint(s) for s in sets], pa.binary()),
-                    shingles=pa.array([s.tobytes() for s in sets], pa.binary()))
-        return work
-    found = arrow_map(table.withColumn("h", F.xxhash64("id")),
-                      "rep long, set_hash binary, shingles binary", whole)
-    sets = written(found.join(classes.select("rep", "set_hash"), ["rep", "set_hash"], "left_semi")
-                   .dropDuplicates(["rep", "set_hash"]).select("rep", "shingles"), "sets")
+    sets = _sets(nodes, classes, table, size)
     both = (near.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
             .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
             .select("a", "b", "x", "y"))
@@ -183,11 +188,11 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 3,
     reachable, and the document with that id is kept.
 
     Documents with one set are one class. Classes meet under the keys of :func:`chunk_keys`. First
-    every class is compared with the least class of each key it shares; that joins nearly all of
-    a group. Then, only under keys where several components are left, all members outside the
-    key's largest component are compared with all members of other components. So no link
-    between components is missed among signatures within :func:`distance_bound`, and links inside
-    one component are not written out. Every link is confirmed on whole sets.
+    every class is compared with the least class of each key it shares; that joins most of a
+    group. Then the classes under keys where several components are left are compared across
+    components (:func:`_across`). So no link between components is missed among signatures within
+    :func:`distance_bound`, and links inside one component are not written out. Every link is
+    confirmed on whole sets.
 
     Cases: texts that are null or without words are linked with nothing; a row with a null id has
     a null component and is kept; rows with equal ids and different texts are judged each; an
@@ -206,7 +211,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 3,
     star = members.where("lo < rep").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
     links = written(_confirmed(star.distinct(), classes, table, size, percent), "links")
     labels = components(links)
-    rest = _across(members, labels)
+    rest = _across(members, labels, classes, table, size, percent)
     more = written(_confirmed(rest, classes, table, size, percent), "links")
     if more.limit(1).count():
         labels = components(links.union(more))
@@ -219,18 +224,48 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 3,
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of different components under a key, without those of the first
-    comparison (which failed, or the components were one)."""
+def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, table: DataFrame,
+            size: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of different components that may be similar, among the classes that
+    share a key with another component.
+
+    Comparing all of them would square a group of texts that have a passage in common. Of two
+    similar sets, though, the rarest shingles already agree: with shingles in one order, rarest
+    first, the first one in common stands so early in both that the rest can still hold the
+    overlap. Only pairs with a common shingle at such places are made.
+    """
     own = (members.join(labels, members["rep"] == labels["node"], "left")
-           .select("key", "lo", "rep", F.coalesce("label", "rep").alias("comp")))
-    sizes = own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    major = (sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"),
-                                      F.count(F.lit(1)).alias("parts"))
-             .where("parts > 1").select("key", F.col("top.comp").alias("major")))
-    mixed_keys = written(own.join(major, "key"), "mixed-keys")
-    minor = mixed_keys.where("comp <> major").select(
-        "key", F.col("rep").alias("x"), F.col("comp").alias("x_comp"))
-    other = mixed_keys.select("key", "lo", F.col("rep").alias("y"), F.col("comp").alias("y_comp"))
-    return (minor.join(other, "key").where("x_comp <> y_comp and lo <> x and lo <> y")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+           .select("key", "rep", F.coalesce("label", "rep").alias("comp")))
+    mixed_keys = (own.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+                  .where("x < y").select("key"))
+    rest = written(own.join(mixed_keys, "key", "left_semi").select("rep", "comp").distinct(),
+                   "unjoined")
+    sets = _sets(rest.select(F.col("rep").alias("node")), classes, table, size)
+
+    def shingles():
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for at in range(0, batch.num_rows, 500):
+                own = [np.frombuffer(b, np.int64) for b in batch.column(1)[at:at + 500].to_pylist()]
+                sizes = [len(x) for x in own]
+                yield arrays_batch(rep=np.repeat(batch.column(0)[at:at + 500].to_numpy(), sizes),
+                                   n=np.repeat(np.array(sizes, np.int64), sizes),
+                                   shingle=np.concatenate(own))
+        return work
+    all_shingles = arrow_map(sets, "rep long, n long, shingle long", shingles)
+    common = (all_shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    lists = (all_shingles.join(common, "shingle").groupBy("rep", "n")
+             .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("list"))
+             .join(rest, "rep"))
+    # shingles that no other set has come first
+    early = written(lists.select("rep", "comp", "n", F.size("list").alias("m"),
+                                 F.posexplode("list").alias("pos", "entry"))
+                    .select("rep", "comp", "n", F.col("entry.shingle").alias("shingle"),
+                            (F.col("n") - F.col("m") + F.col("pos")).alias("place"))
+                    .where(F.lit(100) * (F.col("n") - F.col("place")) >= percent * F.col("n")),
+                    "early-shingles")
+    x, y = early.alias("x"), early.alias("y")
+    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    return (x.join(y, F.col("x.shingle") == F.col("y.shingle"))
+            .where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
+                   & (left * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))))
+            .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
