@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
 from ..functions.text import non_empty, normalize_name, occupation_class
-from ..operators.linkage import (build_register, coverage_share, match_coverage, match_names,
-                                 attach_matches, keep_accepted, review_queue, similar_pairs,
+from ..operators.linkage import (build_register, coverage_by_name, coverage_share, match_names,
+                                 keep_accepted, review_queue, similar_pairs,
                                  threshold_sweep)
 from .bindings import (ENGINEER, MANAGER, company_names, register_rows, table)
 from .oracle_parts import COMPANIES, NAMES_TO_PARTS, REGISTER, matches_sql, norm_sql, r6
@@ -65,7 +65,7 @@ where 1 - jaro_similarity(b.norm, a.norm) <= 0.04"""
 
 def match_coverage_query(spark, sf):
     names, m = _matches(spark, sf)
-    return match_coverage(attach_matches(names, m, "employer"))
+    return coverage_by_name(names, m, "employer")
 
 
 _COVERAGE_SQL = f"""{_MATCH}

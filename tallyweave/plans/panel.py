@@ -87,7 +87,7 @@ def process_contributors(contributors: DataFrame, register: DataFrame, crosswalk
     """
     emp, occ = "most_recent_contributor_employer", "most_recent_contributor_occupation"
     city, zip_ = "most_recent_contributor_city", "most_recent_contributor_zipcode"
-    c = contributors.where(F.col("contributor_type") == "I")
+    c = contributors.where((F.col("contributor_type") == "I") & F.col(emp).isNotNull())
     matches = written(match_names(c, register, emp, strict, loose), "matches")
     linked = attach_matches(c, matches, emp).where(
         (F.col("status") != "no_match") & (F.col("status") != "needs_review"))

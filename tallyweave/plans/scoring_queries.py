@@ -12,7 +12,6 @@ from ..session import written
 from .bindings import TYPES, donations, donors, table
 from .oracle_parts import BUCKET, DON, DONORS, DYN, fx, r6
 
-_CYCLES = (1996, 1998, 2000, 2002)
 _SCORE_COLUMNS = ("donor_id", "cycle", "weighted_sum", "weight")
 
 _SCORE_SQL = f"""with {DON}, {DYN}
@@ -138,7 +137,9 @@ from dyn join donors using (donor_id) group by all"""
 def interpolate_scores(spark, sf):
     """Every donor with a score in every cycle, gaps filled."""
     s = dynamic_score(donations(spark, sf), TYPES).select("donor_id", "cycle", "dynamic_score")
-    dense = densify(written(s, "scores"), "donor_id", _CYCLES)
+    s = written(s, "scores")
+    cycles = sorted(r["cycle"] for r in s.select("cycle").distinct().collect())
+    dense = densify(s, "donor_id", cycles)
     out = interpolate(dense, "donor_id", "dynamic_score")
     return out.select("donor_id", "cycle",
                       round_half_up(F.col("interpolated")).alias("interpolated"))
@@ -146,7 +147,7 @@ def interpolate_scores(spark, sf):
 
 _INTERPOLATE_SQL = f"""with {DON}, {DYN},
 grid as (select donor_id, cycle from (select distinct donor_id from dyn)
-         cross join (values (1996), (1998), (2000), (2002)) v(cycle)),
+         cross join (select distinct cycle from dyn) v),
 f as (select g.donor_id, cast(g.cycle as bigint) as cycle, d.dynamic_score as v,
         case when d.dynamic_score is not null then g.cycle end as c
       from grid g left join dyn d on g.donor_id = d.donor_id and g.cycle = d.cycle),

@@ -24,7 +24,7 @@ from .bindings import (TYPES, company_names, contributions, crosswalk, donations
 from ..operators.linkage import build_register
 from .oracle_parts import (COMPANIES, CROSSWALK, DEFS, DON, DONORS, DYN, REGISTER, fx,
                            matches_sql, r6)
-from .panel import PANEL_COLUMNS, build_panel, process_contributors
+from .panel import PANEL_COLUMNS, build_panel, process_contributors, write_panel
 
 _FIELDS = (("transaction.id", StringType()), ("amount", DoubleType()), ("date", DateType()),
            ("bonica.cid", LongType()), ("contributor.employer", StringType()),
@@ -138,6 +138,14 @@ _RECONCILE_SQL = f"""with {_DIRTY} select c as cycle, count(*) as n_source,
   as complete from o group by c"""
 
 
+_CONTRIBUTOR_COLUMNS = StructType([
+    StructField("bonica_cid", LongType(), True, {"source_name": "bonica.cid"}),
+    StructField("contributor_type", StringType(), True, {"source_name": "contributor.type"}),
+    StructField("name", StringType(), True, {"source_name": "name"}),
+    StructField("contributor_cfscore", DoubleType(), True,
+                {"source_name": "contributor.cfscore"})])
+
+
 def contributor_ingest(spark, sf):
     """Latin-1 donors file: null mark and empty text are both NULL."""
     c = table(spark, sf, "customer")
@@ -146,18 +154,12 @@ def contributor_ingest(spark, sf):
         ",", k.cast("string"), F.when(k % 4 == 0, F.lit("")).otherwise(F.lit("I")),
         F.concat(F.lit('"é '), F.col("c_name"), F.lit('"')),
         F.when(k % 6 == 0, F.lit(r"\N")).otherwise(F.col("c_acctbal").cast("string")))
-    schema = StructType([
-        StructField("bonica_cid", LongType(), True, {"source_name": "bonica.cid"}),
-        StructField("contributor_type", StringType(), True, {"source_name": "contributor.type"}),
-        StructField("name", StringType(), True, {"source_name": "name"}),
-        StructField("contributor_cfscore", DoubleType(), True,
-                    {"source_name": "contributor.cfscore"})])
     header = ["bonica.cid", "contributor.type", "name", "contributor.cfscore"]
     root = scratch_path(spark, "contributors")
     c.select(F.encode(line, "ISO-8859-1").cast("string")).write.text(root)
     lines = repair_lines(read_lines(spark, root))
     parsed = parse_records(logical_records(lines, len(header)), header)
-    return typed_projection(parsed, schema, empty_is_null=True)
+    return typed_projection(parsed, _CONTRIBUTOR_COLUMNS, empty_is_null=True)
 
 
 _CONTRIBUTOR_SQL = """select c_custkey as bonica_cid,
@@ -165,6 +167,21 @@ _CONTRIBUTOR_SQL = """select c_custkey as bonica_cid,
   case when c_custkey % 6 <> 0 then c_acctbal end as contributor_cfscore from customer"""
 
 
+def contributors_read(spark, sf):
+    """A compressed Latin-1 donors file with its header, read by the library's reader."""
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    root = scratch_path(spark, "contributors")
+    (c.select(k.cast("string").alias("bonica.cid"),
+              F.when(k % 4 == 0, F.lit("")).otherwise(F.lit("I")).alias("contributor.type"),
+              F.concat(F.lit("é "), F.col("c_name")).alias("name"),
+              F.when(k % 6 == 0, F.lit(r"\N")).otherwise(F.col("c_acctbal").cast("string"))
+              .alias("contributor.cfscore"))
+     .write.option("header", True).option("encoding", "ISO-8859-1")
+     .option("compression", "gzip").csv(root))
+    return datasets.read_contributors(spark, root, _CONTRIBUTOR_COLUMNS)
+
+
 def typed_casts(spark, sf):
     """Text to numbers and dates, NULL where the text does not fit."""
     k = F.col("o_orderkey")
@@ -293,6 +310,25 @@ def panel(spark, sf):
                         for c in PANEL_COLUMNS])
 
 
+def panel_written(spark, sf):
+    """The panel written by cycle and read back."""
+    out, root = panel(spark, sf), scratch_path(spark, "panel")
+    write_panel(out, root)
+    return datasets.read_by_cycle(spark, root, out.schema)
+
+
+def part_files(spark, sf):
+    """Orders written in files of bounded length and row groups; stray files are not read."""
+    root = scratch_path(spark, "parts")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    datasets.write_table(o, root, records_per_file=5000, block_bytes=1 << 20)
+    o.limit(1).write.mode("append").option("header", True).csv(root)
+    return datasets.read_parts(spark, root).select(o.columns)
+
+
+_PARTS_SQL = "select o_orderkey, o_orderstatus, o_totalprice from orders"
+
+
 def _mean(value, keys):
     return r6(f"case when {keys[0]} is not null then cast(sum({fx(value)}) over (partition by "
               f"{', '.join(keys)}) as double) / cast(count({value}) over (partition by "
@@ -428,6 +464,9 @@ QUERIES = {
     "ingest_ledger": (ingest_ledger, _LEDGER_SQL),
     "reconcile": (reconcile_query, _RECONCILE_SQL),
     "contributor_ingest": (contributor_ingest, _CONTRIBUTOR_SQL),
+    "contributors_read": (contributors_read, _CONTRIBUTOR_SQL),
+    "part_files": (part_files, _PARTS_SQL),
+    "panel_written": (panel_written, _PANEL_SQL),
     "typed_casts": (typed_casts, _CASTS_SQL),
     "partition_roundtrip": (partition_roundtrip, _ROUNDTRIP_SQL),
     "register_json": (register_json, _JSON_SQL),
