@@ -37,12 +37,31 @@ def half_keys(line: str) -> list[int]:
     """
     n = len(line)
     out = []
-    for h in {n // 2, (n - 1) // 2}:
+    for h in _halves(n):
         out.append(xxhash.xxh3_64_intdigest(line[:h], 2 * h))
         out.append(xxhash.xxh3_64_intdigest(line[n - h:], 2 * h + 1))
     return out
 
 
+def _halves(n: int) -> tuple[int, ...]:
+    return (n // 2, (n - 1) // 2) if n % 2 == 0 else (n // 2,)
+
+
+def open_part(n: int, shared: list[bool]) -> tuple[int, int]:
+    """First and last position at which a line may differ from its partners, by which of its
+    :func:`half_keys` are shared: behind a shared first half, or before a shared last half.
+
+    If several positions give the same variant, one of them lies there.
+    """
+    first, last = n, -1
+    for i, h in enumerate(_halves(n)):
+        if shared[2 * i]:
+            first, last = min(first, h), n - 1
+        if shared[2 * i + 1]:
+            first, last = 0, max(last, n - 1 - h)
+    return first, last
+
+
 _tables: list[np.ndarray] = []
 
 
@@ -72,9 +91,19 @@ def deletion_variants(line: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _line_rows(table: DataFrame, min_chars: int, only: HashFilter | None) -> DataFrame:
     """One row per line that counts: h1, h2 (128-bit hash), ord (its place in the corpus), and
-    the half keys, or, for lines with a half key in ``only``, the line itself."""
+    the half keys, or, for lines with a half key in ``only``, the line and its open part."""
     shared = table.sparkSession.sparkContext.broadcast(only) if only else None
-    last = "keys array<bigint>" if only is None else "text string"
+    last = "keys array<bigint>" if only is None else "part struct<text: string, a: int, b: int>"
+
+    def candidates(rows: list[tuple]) -> list[tuple]:
+        found = shared.value.test(np.array([k for r in rows for k in r[2]], np.uint64)).tolist()
+        out, at = [], 0
+        for line, order, keys in rows:
+            own = found[at:at + len(keys)]
+            at += len(keys)
+            if any(own):
+                out.append((line, order, open_part(len(line), own)))
+        return out
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -87,26 +116,26 @@ def _line_rows(table: DataFrame, min_chars: int, only: HashFilter | None) -> Dat
                         line = plain_line(line)
                         if len(line) < min_chars:
                             continue
-                        extra = half_keys(line)
-                        if shared:
-                            if not shared.value.test(np.array(extra, np.uint64)).any():
-                                continue
-                            extra = line
                         if check is None:
                             check = zlib.crc32(text.encode())
-                        digest = xxhash.xxh3_128_intdigest(line)
-                        rows.append((digest >> 64, digest & (1 << 64) - 1,
-                                     (key is None, 0 if key is None else key, number, check),
-                                     extra))
+                        rows.append((line, (key is None, 0 if key is None else key, number, check),
+                                     half_keys(line)))
+                if shared and rows:
+                    rows = candidates(rows)
                 if rows:
-                    h1, h2, order, extra = zip(*rows)
+                    lines, order, extra = zip(*rows)
+                    digests = [xxhash.xxh3_128_intdigest(line) for line in lines]
+                    h1, h2 = [d >> 64 for d in digests], [d & (1 << 64) - 1 for d in digests]
                     late, key, number, check = zip(*order)
                     if only is None:
                         flat = pa.array(signed(np.array([k for e in extra for k in e], np.uint64)))
                         edges = np.cumsum([0, *map(len, extra)]).astype(np.int32)
                         column = pa.ListArray.from_arrays(pa.array(edges), flat)
                     else:
-                        column = pa.array(extra, pa.string())
+                        first, end = zip(*extra)
+                        column = pa.StructArray.from_arrays(
+                            [pa.array(lines, pa.string()), pa.array(first, pa.int32()),
+                             pa.array(end, pa.int32())], ["text", "a", "b"])
                     yield pa.RecordBatch.from_arrays([
                         pa.array(signed(np.array(h1, np.uint64))),
                         pa.array(signed(np.array(h2, np.uint64))),
@@ -119,31 +148,48 @@ def _line_rows(table: DataFrame, min_chars: int, only: HashFilter | None) -> Dat
     return arrow_map(table.select("id", "text"), f"h1 bigint, h2 bigint, ord {_ORDER}, {last}", make)
 
 
-def _variants(lines: DataFrame) -> DataFrame:
-    """(variant, hole, ord): every line as it is and without each character."""
+def _variants(lines: DataFrame, only: HashFilter | None) -> DataFrame:
+    """(variant, hole, line, ord): every line as it is and without each character of its open
+    part, or only the variants in the filter; ``line`` is a hash of the line."""
+    shared = lines.sparkSession.sparkContext.broadcast(only) if only else None
+
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            text = batch.column(1).to_pylist()
-            for at in range(0, len(text), 100):
-                got = [deletion_variants(t) for t in text[at:at + 100]]
-                rows = np.repeat(np.arange(at, at + len(got)), [len(h) for h, _ in got])
+            parts = batch.column(2).to_pylist()
+            for at in range(0, len(parts), 100):
+                hashes, holes, rows = [], [], []
+                for i, part in enumerate(parts[at:at + 100], at):
+                    h, p = deletion_variants(part["text"])
+                    keep = np.r_[0, part["a"] + 1:part["b"] + 2]
+                    if shared:
+                        keep = keep[shared.value.test(h[keep])]
+                    hashes.append(h[keep])
+                    holes.append(p[keep])
+                    rows.append(np.full(len(keep), i))
+                rows = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.concatenate([h for h, _ in got]))),
-                     pa.array(np.concatenate([p for _, p in got])),
-                     batch.column(0).take(pa.array(rows))], ["variant", "hole", "ord"])
+                    [pa.array(signed(np.concatenate(hashes))), pa.array(np.concatenate(holes)),
+                     batch.column(0).take(rows), batch.column(1).take(rows)],
+                    ["variant", "hole", "line", "ord"])
         return work
-    return arrow_map(lines.select("ord", "text"), f"variant bigint, hole int, ord {_ORDER}", make)
+    return arrow_map(lines.select("h1", "ord", "part"),
+                     f"variant bigint, hole int, line bigint, ord {_ORDER}", make)
 
 
 def near_repeats(lines: DataFrame) -> DataFrame:
-    """``ord`` of every distinct line (ord, text) that is within one edit of an earlier one.
+    """``ord`` of every distinct line (h1, ord, part) that is within one edit of an earlier one.
 
-    Equal variants are joined without pairing all lines of a group. Lines that agree without the
-    character at one position are all within one edit of each other, so the earliest suffices;
-    a whole line and the lines of which it is a variant are compared through their earliest too.
-    The edit distance of each deciding pair is verified on the lines.
+    Variants of one line alone drop out first. The rest is joined without pairing all lines of a
+    group. Lines that agree without the character at one position are all within one edit of each
+    other, so the earliest suffices; a whole line and the lines of which it is a variant are
+    compared through their earliest too. The edit distance of each deciding pair is verified on
+    the lines.
     """
-    variants = written(_variants(lines), "variants")
+    several = (_variants(lines, None).groupBy("variant")
+               .agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
+               .where("lo < hi").select("variant"))
+    shared = HashFilter.build(written(several, "shared-variants"), "variant")
+    variants = written(_variants(lines, shared).drop("line"), "variants")
     holes, whole = variants.where("hole >= 0"), variants.where("hole < 0")
     same = (holes.groupBy("variant", "hole")
             .agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
@@ -155,8 +201,8 @@ def near_repeats(lines: DataFrame) -> DataFrame:
     cut = holes.groupBy("variant").agg(F.min("ord").alias("short"))
     pairs = pairs.union(whole.join(cut, "variant").where("ord > short").select("ord", "short"))
     pairs = pairs.distinct()
-    left = lines.select("ord", F.col("text").alias("a"))
-    right = lines.select(F.col("ord").alias("first"), F.col("text").alias("b"))
+    left = lines.select("ord", F.col("part.text").alias("a"))
+    right = lines.select(F.col("ord").alias("first"), F.col("part.text").alias("b"))
     return (pairs.join(left, "ord").join(right, "first")
             .where(F.levenshtein("a", "b", 1) >= 0).select("ord").distinct())
 
@@ -169,7 +215,7 @@ def _decisions(table: DataFrame, min_chars: int) -> DataFrame:
               .agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi"))
     shared = HashFilter.build(written(halves.select("key"), "half-keys"), "key")
     lines = written(_line_rows(table, min_chars, shared).groupBy("h1", "h2")
-                    .agg(F.min("ord").alias("ord"), F.first("text").alias("text")), "lines")
+                    .agg(F.min("ord").alias("ord"), F.first("part").alias("part")), "lines")
     kept = first.select("ord").join(written(near_repeats(lines), "near-lines"), "ord", "left_anti")
     return (kept.groupBy("ord.late", "ord.id", "ord.check")
             .agg(F.collect_list("ord.line").alias("kept")))
@@ -184,10 +230,10 @@ def dedup_lines(df: DataFrame, id_col: str, text_col: str,
     substitution of it, runs of blanks and tabs counting as one blank. Earlier means a smaller id,
     then a smaller line number; every line is judged on the input. Shorter lines stay.
 
-    Exact repeats are aggregated first. All single deletions of a line are emitted as hashed keys
-    and joined (:func:`near_repeats`), but only for lines that share their first or last half with
-    another line, without which no edit leads to one; these halves travel in a filter of bounded
-    size that loses none.
+    Exact repeats are aggregated first. Single deletions of a line are emitted as hashed keys and
+    joined (:func:`near_repeats`), but only for lines that share their first or last half with
+    another line, without which no edit leads to one, and only outside that half. Shared halves
+    and variants travel in filters of bounded size that lose none.
 
     Cases: a null text stays null and an empty one empty, with no and one line; null ids count as
     the latest; repeated rows with equal ids and texts are one document and keep the same lines;
