@@ -27,15 +27,26 @@ class Terms:
     factors: list[str] = field(default_factory=list)
     numerics: list[str] = field(default_factory=list)
     crossed: list[tuple[str, str]] = field(default_factory=list)
+    levels: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     @property
     def columns(self) -> list[str]:
         return [*self.factors, *self.numerics]
 
+    def level_names(self, factor: str, names: set[str]) -> list[str]:
+        """Dummies of a factor among ``names``: in the order given for it, the rest as text."""
+        rank = {f"{factor}[{level}]": i for i, level in enumerate(self.levels.get(factor, ()))}
+        own = [n for n in names if n.startswith(f"{factor}[") and "]:" not in n]
+        return sorted(own, key=lambda n: (rank.get(n, len(rank)), n))
 
-def read_terms(df: DataFrame, terms: Sequence[str]) -> Terms:
-    """``["a", "x", "a*b"]``: text and boolean columns are factors, ``*`` adds the interaction."""
-    out = Terms()
+
+def read_terms(df: DataFrame, terms: Sequence[str],
+               levels: dict[str, Sequence[str]] | None = None) -> Terms:
+    """``["a", "x", "a*b"]``: text and boolean columns are factors, ``*`` adds the interaction.
+
+    ``levels`` orders the levels of a factor; the first that occurs is the base.
+    """
+    out = Terms(levels={f: tuple(map(str, own)) for f, own in (levels or {}).items()})
     for term in terms:
         names = [t.strip() for t in term.split("*")]
         for n in names:
@@ -100,7 +111,7 @@ def ordered_terms(names: set[str], terms: Terms) -> list[str]:
     base = {}
     out = [INTERCEPT]
     for f in terms.factors:
-        levels = sorted(n for n in names if n.startswith(f"{f}[") and "]:" not in n)
+        levels = terms.level_names(f, names)
         base[f] = levels[0] if levels else None
         out += levels[1:]
     out += [c for c in terms.numerics]

@@ -127,16 +127,17 @@ def fit_from_entries(entries: dict[tuple[str, str], float], terms: Terms,
     rank += 1
     rss = max(rss, 0.0)
     sigma2 = rss / (n - rank) if n > rank else math.nan
-    levels = {f: sorted(x for x in names if x.startswith(f"{f}[") and "]:" not in x)
-              for f in terms.factors}
+    levels = {f: terms.level_names(f, names) for f in terms.factors}
     means = {c: g[0, order.index(c)] / n for c in terms.numerics}
     return OlsFit(terms, order, coef, cov * sigma2, means, int(round(n)), rank, float(rss),
                   float(tss), stratum, levels)
 
 
-def fit_ols(df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str] = ()) -> list[OlsFit]:
-    """One fit per stratum of ``by``, all from the same aggregation."""
-    parsed = read_terms(df, terms)
+def fit_ols(df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str] = (),
+            levels: dict[str, Sequence[str]] | None = None) -> list[OlsFit]:
+    """One fit per stratum of ``by``, all from the same aggregation; ``levels`` as in
+    ``read_terms``."""
+    parsed = read_terms(df, terms, levels)
     rows = collect_bounded(cross_products(df, y, parsed, by), "cross products")
     strata: dict[tuple, dict] = {}
     for r in rows:
@@ -158,8 +159,9 @@ def coefficient_table(spark: SparkSession, fits: Sequence[OlsFit],
     return spark.createDataFrame(data, head + _COEF_SCHEMA)
 
 
-def ols(df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    return coefficient_table(df.sparkSession, fit_ols(df, y, terms, by), by)
+def ols(df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str] = (),
+        levels: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    return coefficient_table(df.sparkSession, fit_ols(df, y, terms, by, levels), by)
 
 
 def compare_models(spark: SparkSession, fits: dict[str, OlsFit]) -> DataFrame:

@@ -211,6 +211,11 @@ def ols_factor(spark, sf):
     return _coefs(reg.ols(_model(spark, sf), "y", ["flag"]))
 
 
+def ols_ordered(spark, sf):
+    """The same factor with its levels in a given order; the first is the base."""
+    return _coefs(reg.ols(_model(spark, sf), "y", ["flag"], levels={"flag": ("R", "N", "A")}))
+
+
 _FACTOR_SQL = f"""with {_MODEL}, g as (
   select flag, count(*) as n, avg(y) as mu, sum(y) as s, sum(y * y) as ss from m group by flag),
 t as (select sum(n) as n, count(*) as k, sum(ss) - sum(s * s / n) as rss,
@@ -228,6 +233,9 @@ select term, {_r('estimate', 5)} as estimate, {_r('std_error', 5)} as std_error,
   {_r('1 - rss / tss * (n - 1) / (n - k)', 5)} as adj_r2 from c, t"""
 
 
+_ORDERED_SQL = _FACTOR_SQL.replace("order by flag limit 1", "where flag = 'R'")
+
+
 def ols_multi(spark, sf):
     """A factor and a numeric column."""
     return _coefs(reg.ols(_model(spark, sf), "y", ["flag", "qty"]))
@@ -502,6 +510,7 @@ QUERIES = {
     "density_grid": (density_query, _DENSITY_SQL),
     "ols_numeric": (ols_numeric, _NUMERIC_SQL),
     "ols_factor": (ols_factor, _FACTOR_SQL),
+    "ols_ordered": (ols_ordered, _ORDERED_SQL),
     "ols_multi": (ols_multi, _MULTI_SQL),
     "ols_interaction": (ols_interaction, _INTERACTION_SQL),
     "ols_by_group": (ols_by_group, _BY_GROUP_SQL),

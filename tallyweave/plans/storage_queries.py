@@ -408,9 +408,14 @@ from k"""
 
 
 def stream_scores(spark, sf):
-    """Line items as a stream against static orders and suppliers; latest score per donor."""
-    li = table(spark, sf, "lineitem")
-    stream = (spark.readStream.schema(li.schema).parquet(f"{sf}/lineitem*.parquet"))
+    """Line items arriving in four batches, against static orders and suppliers; the latest
+    score per donor after updates from every batch."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice",
+                                             "l_returnflag")
+    arriving = scratch_path(spark, "arriving")
+    li.repartition(4, "l_suppkey").write.parquet(arriving)
+    stream = (spark.readStream.schema(li.schema).option("maxFilesPerTrigger", 1)
+              .parquet(arriving))
     o, s = table(spark, sf, "orders"), table(spark, sf, "supplier")
     year = F.year("o_orderdate").cast("bigint")
     d = (stream.join(o, stream.l_orderkey == o.o_orderkey)
