@@ -31,7 +31,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier one up to an edit; those of which no text
     is left go, and ``n_chars`` follows the text."""
     cleaned = dedup_lines(docs, "doc_id", "text").where(
-        "n_removed = 0 or length(trim(text)) > 0")
+        "n_removed = 0 or text rlike '[^\\\\s]'")
     cut = F.col("n_removed") > 0
     columns = {"text": F.when(cut, F.col("text")).otherwise(F.col("row.text")),
                "n_chars": F.when(cut, F.length("text")).otherwise(F.col("row.n_chars"))}
