@@ -168,10 +168,28 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """``make()``, remembered by a Python worker for later tasks with the same ``key`` only: one
+    value at a time, dropped as soon as the worker turns to other work (:func:`arrow_map`)."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def drop_kept() -> None:
+    """Free what the worker remembers."""
+    _kept.clear()
+
+
 def arrow_map(df: DataFrame, schema: str,
               make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
     """``mapInArrow`` with a fresh worker per task: ``make()`` gives the function for batches."""
     def run(batches):
+        drop_kept()
         work = make()
         for batch in batches:
             if batch.num_rows:

@@ -5,14 +5,13 @@ from __future__ import annotations
 import heapq
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tallyweave.llm.common import documents, texts_of
+from tallyweave.llm.common import documents, kept, texts_of
 
 #: Windows in the largest set of documents that is balanced at once.
 CELL_WINDOWS = 256
@@ -80,10 +79,9 @@ class WordEncoder:
             known[word] = known[letters] + known[marks]
 
 
-@lru_cache(1)
 def encoder(tokenizer_path: str) -> WordEncoder:
-    """One encoder for all tasks that a Python worker runs."""
-    return WordEncoder(tokenizer_path)
+    """One encoder for the packing tasks that a Python worker runs in a row."""
+    return kept(("encoder", tokenizer_path), lambda: WordEncoder(tokenizer_path))
 
 
 def difference(lengths: list[int], windows: int) -> list[list[int]]:

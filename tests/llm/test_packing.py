@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from tallyweave.llm import common
 from tallyweave.llm.packing import WordEncoder, difference, pack
 from tallyweave.llm.queries import END_ID, TOKENIZER, packing
 
@@ -83,3 +84,13 @@ def test_differencing_is_near_equal():
     sums = [sum(lengths[i] for i in w) for w in windows]
     assert max(sums) - min(sums) < 200
     assert difference([], 2) == [[], []] and difference([5], 1) == [[0]]
+
+
+def test_worker_keeps_one_value_until_other_work():
+    first = common.kept("encoder", object)
+    assert common.kept("encoder", object) is first
+    other = common.kept("other", object)
+    assert other is not first and common.kept("other", object) is other
+    common.drop_kept()
+    assert common.kept("other", object) is not other
+    common.drop_kept()
