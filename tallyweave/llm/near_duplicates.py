@@ -64,7 +64,10 @@ def _fingerprint(shingles: np.ndarray) -> bytes:
 
 
 def signatures(table: DataFrame, size: int) -> DataFrame:
-    """(id, n, set_hash, sig): set size, 128-bit hash of the set, signature (null if empty)."""
+    """(id, n, set_hash, sig): set size, 128-bit hash of the set, signature (null if empty); then
+    whatever longs ``table`` has behind id and text."""
+    more = table.columns[2:]
+
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for row, words in word_batches(batch.column(1), SPACED_LOWER):
@@ -73,9 +76,11 @@ def signatures(table: DataFrame, size: int) -> DataFrame:
                     id=batch.column(0).slice(row, len(sets)),
                     n=pa.array([len(s) for s in sets], pa.int64()),
                     set_hash=pa.array([_fingerprint(s) for s in sets], pa.binary()),
-                    sig=pa.array([signature(s) if len(s) else None for s in sets], pa.binary()))
+                    sig=pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
+                    **{c: batch.column(i).slice(row, len(sets)) for i, c in enumerate(more, 2)})
         return work
-    return arrow_map(table, "id long, n long, set_hash binary, sig binary", make)
+    return arrow_map(table, "id long, n long, set_hash binary, sig binary"
+                     + "".join(f", {c} long" for c in more), make)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -102,7 +107,7 @@ def chunk_keys(sig: np.ndarray, distance: int) -> np.ndarray:
 
 
 def _key_rows(classes: DataFrame, distance: int, only: HashFilter | None) -> DataFrame:
-    """(key, rep) for every class, or only where the key is in the filter."""
+    """(key, node) for every class, or only where the key is in the filter."""
     shared = classes.sparkSession.sparkContext.broadcast(only) if only else None
 
     def make():
@@ -110,19 +115,20 @@ def _key_rows(classes: DataFrame, distance: int, only: HashFilter | None) -> Dat
             for at in range(0, batch.num_rows, 4000):
                 part = batch.slice(at, 4000)
                 keys = chunk_keys(_matrix(part.column(1)), distance).ravel()
-                reps = np.repeat(part.column(0).to_numpy(), SYMBOLS)
+                nodes = np.repeat(part.column(0).to_numpy(), SYMBOLS)
                 if shared:
                     keep = shared.value.test(keys)
-                    keys, reps = keys[keep], reps[keep]
-                yield arrays_batch(key=signed(keys), rep=reps)
+                    keys, nodes = keys[keep], nodes[keep]
+                yield arrays_batch(key=signed(keys), node=nodes)
         return work
-    return arrow_map(classes.select("rep", "sig"), "key long, rep long", make)
+    return arrow_map(classes.select("node", "sig"), "key long, node long", make)
 
 
 def _sets(nodes: DataFrame, classes: DataFrame, table: DataFrame, size: int) -> DataFrame:
-    """(rep, shingles) of the classes in ``nodes`` (node), read from the documents again."""
-    wanted = table.sparkSession.sparkContext.broadcast(
-        HashFilter.build(nodes.select(F.xxhash64("node").alias("h")), "h"))
+    """(node, shingles) of the classes in ``nodes`` (node), read from the documents again."""
+    own = written(classes.join(nodes, "node", "left_semi")
+                  .select("node", "set_hash", F.xxhash64("rep").alias("h")), "wanted-sets")
+    wanted = table.sparkSession.sparkContext.broadcast(HashFilter.build(own, "h"))
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -131,24 +137,23 @@ def _sets(nodes: DataFrame, classes: DataFrame, table: DataFrame, size: int) ->
             for row, words in word_batches(part.column(1), SPACED_LOWER):
                 sets = shingle_sets(words, size)
                 yield arrays_batch(
-                    rep=part.column(0).slice(row, len(sets)),
+                    h=part.column(2).slice(row, len(sets)),
                     set_hash=pa.array([_fingerprint(s) for s in sets], pa.binary()),
                     shingles=pa.array([s.tobytes() for s in sets], pa.binary()))
         return work
-    found = arrow_map(table.withColumn("h", F.xxhash64("id")),
-                      "rep long, set_hash binary, shingles binary", make)
-    own = classes.join(nodes, classes["rep"] == nodes["node"], "left_semi")
-    return written(found.join(own.select("rep", "set_hash"), ["rep", "set_hash"], "left_semi")
-                   .dropDuplicates(["rep", "set_hash"]).select("rep", "shingles"), "sets")
+    found = arrow_map(table.select("id", "text", F.xxhash64("id").alias("h")),
+                      "h long, set_hash binary, shingles binary", make)
+    return written(found.join(own, ["h", "set_hash"]).dropDuplicates(["h", "set_hash"])
+                   .select("node", "shingles"), "sets")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, table: DataFrame, size: int,
                percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures are near enough and whose whole sets are similar."""
-    own = classes.select("rep", "sig", "n")
-    near = (pairs.join(own.select(F.col("rep").alias("a"), F.col("sig").alias("sa"),
+    own = classes.select("node", "sig", "n")
+    near = (pairs.join(own.select(F.col("node").alias("a"), F.col("sig").alias("sa"),
                                   F.col("n").alias("na")), "a")
-            .join(own.select(F.col("rep").alias("b"), F.col("sig").alias("sb"),
+            .join(own.select(F.col("node").alias("b"), F.col("sig").alias("sb"),
                              F.col("n").alias("nb")), "b")
             .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
             .select("a", "b", "sa", "sb"))
@@ -162,8 +167,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, table: DataFrame, size: int
     near = written(arrow_map(near, "a long, b long", distance), "near-pairs")
     nodes = written(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     sets = _sets(nodes, classes, table, size)
-    both = (near.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+    both = (near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
             .select("a", "b", "x", "y"))
 
     def similar():
@@ -178,6 +183,43 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, table: DataFrame, size: int
     return arrow_map(both, "a long, b long", similar)
 
 
+def _judged(table: DataFrame, size: int, percent: int,
+            with_null: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows of :func:`signatures`, and (set_hash, component, leads) for every set of words:
+    the least id of the set's component, and whether the component's first set is this one.
+
+    An id may stand at several sets, so sets are linked under numbers of their own (``node``),
+    which follow the order of least id (null last) and set hash; ids come back at the end. Rows
+    with a null id are left out unless ``with_null``.
+    """
+    rows = written(signatures(table, size), "signatures")
+    counted = rows.where("n > 0" if with_null else "n > 0 and id is not null")
+    classes = written(counted.groupBy("set_hash")
+                      .agg(F.min("id").alias("rep"), F.first("sig").alias("sig"),
+                           F.first("n").alias("n"))
+                      .orderBy(F.asc_nulls_last("rep"), "set_hash")
+                      .withColumn("node", F.monotonically_increasing_id()), "classes")
+    shared = written(_key_rows(classes, distance_bound(percent), None).groupBy("key")
+                     .agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+                     .where("lo < hi").select("key", "lo"), "shared-keys")
+    members = written(_key_rows(classes, distance_bound(percent), HashFilter.build(shared, "key"))
+                      .join(shared, "key"), "key-members")
+    star = members.where("lo < node").select(F.col("lo").alias("a"), F.col("node").alias("b"))
+    links = written(_confirmed(star.distinct(), classes, table, size, percent), "links")
+    labels = components(links)
+    rest = _across(members, labels, classes, table, size, percent)
+    more = written(_confirmed(rest, classes, table, size, percent), "links")
+    if more.limit(1).count():
+        labels = components(links.union(more))
+    first = labels.join(classes.select(F.col("node").alias("label"), F.col("rep").alias("least")),
+                        "label")
+    reach = (classes.select("set_hash", "rep", "node").join(first, "node", "left")
+             .select("set_hash", F.when(F.col("label").isNull(), F.col("rep"))
+                     .otherwise(F.col("least")).alias("component"),
+                     F.coalesce(F.col("label") == F.col("node"), F.lit(True)).alias("leads")))
+    return rows, reach
+
+
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 3,
                     percent: int = 85) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
@@ -195,33 +237,17 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 3,
     confirmed on whole sets.
 
     Cases: texts that are null or without words are linked with nothing; a row with a null id has
-    a null component and is kept; rows with equal ids and different texts are judged each; an
-    empty table gives an empty result; further columns are not looked at.
+    a null component and is kept; rows with equal ids and different texts are judged each, and of
+    such rows in one component those with the component's first set are kept; an empty table gives
+    an empty result; further columns are not looked at.
     """
-    table = documents(df, id_col, text_col)
-    rows = written(signatures(table, size), "signatures")
-    classes = written(rows.where("n > 0 and id is not null").groupBy("set_hash")
-                      .agg(F.min("id").alias("rep"), F.first("sig").alias("sig"),
-                           F.first("n").alias("n")), "classes")
-    shared = written(_key_rows(classes, distance_bound(percent), None).groupBy("key")
-                     .agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-                     .where("lo < hi").select("key", "lo"), "shared-keys")
-    members = written(_key_rows(classes, distance_bound(percent), HashFilter.build(shared, "key"))
-                      .join(shared, "key"), "key-members")
-    star = members.where("lo < rep").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
-    links = written(_confirmed(star.distinct(), classes, table, size, percent), "links")
-    labels = components(links)
-    rest = _across(members, labels, classes, table, size, percent)
-    more = written(_confirmed(rest, classes, table, size, percent), "links")
-    if more.limit(1).count():
-        labels = components(links.union(more))
-    reach = (classes.join(labels, classes["rep"] == labels["node"], "left")
-             .select("set_hash", F.coalesce("label", "rep").alias("least")))
+    rows, reach = _judged(documents(df, id_col, text_col), size, percent, False)
     out = rows.join(reach, "set_hash", "left")
     component = F.when(F.col("id").isNull(), None).otherwise(
-        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")))
+        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+                      (F.col("id").isNull() | (F.col("n") == 0)
+                       | ((F.col("id") == component) & F.col("leads"))).alias("kept"))
 
 
 def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, table: DataFrame,
@@ -234,38 +260,38 @@ def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, table: Da
     first, the first one in common stands so early in both that the rest can still hold the
     overlap. Only pairs with a common shingle at such places are made.
     """
-    own = (members.join(labels, members["rep"] == labels["node"], "left")
-           .select("key", "rep", F.coalesce("label", "rep").alias("comp")))
+    own = (members.join(labels, "node", "left")
+           .select("key", "node", F.coalesce("label", "node").alias("comp")))
     mixed_keys = (own.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
                   .where("x < y").select("key"))
-    rest = written(own.join(mixed_keys, "key", "left_semi").select("rep", "comp").distinct(),
+    rest = written(own.join(mixed_keys, "key", "left_semi").select("node", "comp").distinct(),
                    "unjoined")
-    sets = _sets(rest.select(F.col("rep").alias("node")), classes, table, size)
+    sets = _sets(rest.select("node"), classes, table, size)
 
     def shingles():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for at in range(0, batch.num_rows, 500):
                 own = [np.frombuffer(b, np.int64) for b in batch.column(1)[at:at + 500].to_pylist()]
                 sizes = [len(x) for x in own]
-                yield arrays_batch(rep=np.repeat(batch.column(0)[at:at + 500].to_numpy(), sizes),
+                yield arrays_batch(node=np.repeat(batch.column(0)[at:at + 500].to_numpy(), sizes),
                                    n=np.repeat(np.array(sizes, np.int64), sizes),
                                    shingle=np.concatenate(own))
         return work
-    all_shingles = arrow_map(sets, "rep long, n long, shingle long", shingles)
+    all_shingles = arrow_map(sets, "node long, n long, shingle long", shingles)
     common = (all_shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    lists = (all_shingles.join(common, "shingle").groupBy("rep", "n")
+    lists = (all_shingles.join(common, "shingle").groupBy("node", "n")
              .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("list"))
-             .join(rest, "rep"))
+             .join(rest, "node"))
     # shingles that no other set has come first
-    early = written(lists.select("rep", "comp", "n", F.size("list").alias("m"),
+    early = written(lists.select("node", "comp", "n", F.size("list").alias("m"),
                                  F.posexplode("list").alias("pos", "entry"))
-                    .select("rep", "comp", "n", F.col("entry.shingle").alias("shingle"),
+                    .select("node", "comp", "n", F.col("entry.shingle").alias("shingle"),
                             (F.col("n") - F.col("m") + F.col("pos")).alias("place"))
                     .where(F.lit(100) * (F.col("n") - F.col("place")) >= percent * F.col("n")),
                     "early-shingles")
     x, y = early.alias("x"), early.alias("y")
     left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     return (x.join(y, F.col("x.shingle") == F.col("y.shingle"))
-            .where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
+            .where((F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
                    & (left * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))))
-            .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())

@@ -102,3 +102,17 @@ def test_components_of_a_path(spark):
     got = dict(map(tuple, components(links).collect()))
     assert got == {**{i: 1 for i in range(1, 41)}, 99: 99, 100: 99}
     assert components(links.limit(0)).count() == 0
+
+
+def test_one_id_on_two_texts(spark, docs_of):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "other"])
+    alone = " ".join(f"v{i}" for i in range(40))
+    rows = [(5, alone), (5, near), (3, " ".join(base)), (8, alone + " end"), (9, near + " x"),
+            (9, near), (None, near)]
+    got = nd.near_duplicates(docs_of(rows).repartition(3), "doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [
+        (None, 58, None, True), (5, 38, 5, True), (5, 58, 3, False), (3, 58, 3, True), (8, 39, 5, False),
+        (9, 59, 3, False), (9, 58, 3, False)]))
+    own = nd.near_duplicates(docs_of([(1, " ".join(base)), (1, near)]), "doc_id", "text").collect()
+    assert [r.component_id for r in own] == [1, 1] and sum(r.kept for r in own) == 1
