@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyweave.llm import queries
 from tallyweave.llm.decontamination import decontaminate
 from tallyweave.llm.lines import dedup_lines
-from tallyweave.llm.near_duplicates import near_duplicates
+from tallyweave.llm.near_duplicates import one_of_each
 from tallyweave.llm.packing import pack
 from tallyweave.llm.quality import keep_quality
 from tallyweave.session import written
@@ -40,12 +40,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the least id."""
-    kept = (near_duplicates(docs, "doc_id", "text", SHINGLE_WORDS, SIMILAR_PERCENT)
-            .where("kept and id is not null").select(F.col("id").alias("doc_id")).distinct())
-    ids = written(kept, "kept-ids")
-    known = docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
-    return known.unionByName(docs.where("doc_id is null"))
+    """One document of each group of near duplicates: that with the least id. Rows without an id
+    are grouped like any other, and of repeated rows one stays."""
+    return one_of_each(docs, "doc_id", "text", SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -250,6 +250,38 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 3,
                        | ((F.col("id") == component) & F.col("leads"))).alias("kept"))
 
 
+def one_of_each(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """The rows of ``df`` without near duplicates: one row per component of
+    :func:`near_duplicates`, and of rows without words one per id and text.
+
+    Null ids count as the latest, and rows with one are linked like any other. Of the rows with
+    the component's first set, the one with the least id stays, then by a hash of the text, then
+    by a hash of all columns; rows equal in all columns are one.
+    """
+    keys = {"h": F.xxhash64(F.col(f"`{text_col}`")),
+            "r": F.xxhash64(F.lit(1), *[F.col(f"`{c}`") for c in df.columns])}
+    table = df.select(F.col(f"`{id_col}`").cast("long").alias("id"),
+                      F.col(f"`{text_col}`").alias("text"),
+                      *[v.alias(k) for k, v in keys.items()])
+    rows, reach = _judged(table, size, percent, True)
+    place = F.struct(F.col("id").isNull().alias("late"), "id", "h", "r").alias("place")
+    least = (rows.where("n > 0").join(reach.where("leads").select("set_hash"), "set_hash",
+                                      "left_semi")
+             .select("set_hash", place).groupBy("set_hash").agg(F.min("place").alias("place")))
+    wordless = (rows.where("n = 0").select("id", "h", place).groupBy("id", "h")
+                .agg(F.min("place").alias("place")))
+    chosen = written(least.select("place.*").union(wordless.select("place.*"))
+                     .select("h", "r", "late", F.coalesce("id", F.lit(0)).alias("i")).distinct(),
+                     "chosen-rows")
+    own = F.col(f"`{id_col}`").cast("long")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    keyed = df.select(row, keys["h"].alias("h"), keys["r"].alias("r"),
+                      own.isNull().alias("late"), F.coalesce(own, F.lit(0)).alias("i"))
+    on = ["h", "r", "late", "i"]
+    return (keyed.join(chosen, on, "left_semi").groupBy(*on).agg(F.first("row").alias("row"))
+            .select("row.*"))
+
+
 def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, table: DataFrame,
             size: int, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of different components that may be similar, among the classes that

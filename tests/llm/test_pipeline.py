@@ -98,3 +98,21 @@ def test_odd_documents(spark):
     cleaned = {r.doc_id: r.text for r in cp.lines(spark, docs, SF).collect()}
     assert cleaned == {1: None, 2: "", None: "some words", 3: rows[3][1]}
     assert cp.near_copies(spark, docs, SF).count() == 5
+
+
+def test_one_row_of_each_group(spark):
+    """Repeated rows, copies without an id, and one id on two texts, one of them a near copy."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    base = [f"w{i}" for i in range(80)]
+    text, near = " ".join(base), " ".join([*base[:-1], "other"])
+    alone, late = " ".join(f"v{i}" for i in range(40)), " ".join(f"u{i}" for i in range(40))
+    rows = [(3, text), (3, text), (5, alone), (5, text), (5, near), (None, near), (None, late),
+            (None, late), (None, late + " end"), (7, None), (7, None), (None, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows] + [
+        (3, text, "de", "s", 1)], schema).repartition(3)
+    got = [(r.doc_id, r.text) for r in cp.near_copies(spark, docs, SF).collect()]
+    ends = [t for k, t in got if t and t.startswith(late)]
+    assert len(ends) == 1 and sorted(map(str, got)) == sorted(map(str, [
+        (3, text), (5, alone), (None, ends[0]), (7, None), (None, "")]))
+    twice = [(r.doc_id, r.text) for r in cp.near_copies(spark, docs.union(docs), SF).collect()]
+    assert sorted(map(str, twice)) == sorted(map(str, got))
