@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, functions as F
 from tallyweave.llm.common import arrow_map, documents, texts_of
 
 #: Bounds of what is learnt: languages, documents per language, characters of each, dictionary
-#: bytes. LEVEL and BLOCK: compression level, characters encoded at once.
+#: bytes. Of a longer document, characters come from PIECES places spread over all of it.
+#: LEVEL and BLOCK: compression level, characters encoded at once.
 MAX_LANGUAGES, DOCS_PER_LANGUAGE, CHARS_PER_DOC, DICTIONARY_BYTES = 200, 400, 1500, 200_000
+PIECES = 5
+PIECE_CHARS = (CHARS_PER_DOC - PIECES + 1) // PIECES
 LEVEL, BLOCK = 6, 8000
 SCHEMA = "id long, lang_pred string, score double, confident boolean"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -26,8 +29,21 @@ def letters_only(text: str) -> str:
     return f" {words} " if words else ""
 
 
+def spread_pieces(text, key):
+    """Column: a text up to CHARS_PER_DOC, or one piece of each PIECES-th part of a longer one, at
+    a place set by the hash of its key, with a blank between pieces."""
+    part = F.floor(F.length(text) / PIECES).cast("int")
+    pieces = []
+    for i in range(PIECES):
+        free = part - F.lit(PIECE_CHARS) + 1
+        at = F.pmod(F.xxhash64(key, F.lit(i)), F.greatest(free, F.lit(1)).cast("long"))
+        pieces.append(F.substring(text, (part * i + at).cast("int") + 1, F.lit(PIECE_CHARS)))
+    return F.when(F.length(text) <= CHARS_PER_DOC, text).otherwise(F.concat_ws(" ", *pieces))
+
+
 def sample_texts(df: DataFrame, text_col: str, lang_col: str, key_col: str) -> dict[str, list[str]]:
-    """Openings of a bounded number of documents per language: those with the least key hashes.
+    """Texts of a bounded number of documents per language, those with the least key hashes; of
+    longer ones, pieces from all over the text (:func:`spread_pieces`).
 
     One pass: each language's share of all hash values is set from its count, a third above the
     need, and the rest is cut on the driver.
@@ -44,7 +60,7 @@ def sample_texts(df: DataFrame, text_col: str, lang_col: str, key_col: str) -> d
     limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
     # rows with one key share a hash: a first aggregate keeps one text per key and language
     rows = (known.where(F.col("h") <= F.element_at(limit, F.col("lang")))
-            .groupBy("lang", "h").agg(F.min(F.substring("text", 1, CHARS_PER_DOC)).alias("text"))
+            .groupBy("lang", "h").agg(F.min(spread_pieces(F.col("text"), F.col("h"))).alias("text"))
             .orderBy("h", "lang").limit(2 * DOCS_PER_LANGUAGE * len(counts)).collect())
     out: dict[str, list[str]] = {lang: [] for lang in sorted(counts)}
     for r in rows:
@@ -53,6 +69,25 @@ def sample_texts(df: DataFrame, text_col: str, lang_col: str, key_col: str) -> d
     return {lang: texts for lang, texts in out.items() if texts}
 
 
+def fill_evenly(texts: list[str], budget: int) -> bytes:
+    """Content of at most ``budget`` bytes from all texts in turn: a piece of each, then the next
+    piece of each. Where a text's turns begin goes round its pieces from text to text, so that
+    openings have no precedence."""
+    cut = []
+    for i, text in enumerate(texts):
+        own = [letters_only(text[at:at + PIECE_CHARS + 1]).encode()
+               for at in range(0, len(text), PIECE_CHARS + 1)]
+        first = i % max(1, len(own))
+        cut.append([p for p in own[first:] + own[:first] if p])
+    content, size = [], 0
+    for turn in range(max(map(len, cut), default=0)):
+        for own in cut:
+            if turn < len(own) and size + len(own[turn]) <= budget:
+                content.append(own[turn])
+                size += len(own[turn])
+    return b"".join(content)
+
+
 class Dictionaries:
     """Raw-content dictionaries per language and the bytes a text needs with each."""
 
@@ -60,14 +95,7 @@ class Dictionaries:
         self.languages, self.level = sorted(texts), level
         self.contents = []
         for lang in self.languages:
-            content, size = [], 0
-            for text in texts[lang]:
-                part = letters_only(text).encode()
-                if size + len(part) > DICTIONARY_BYTES:
-                    break
-                content.append(part)
-                size += len(part)
-            self.contents.append(b"".join(content) or b" ")
+            self.contents.append(fill_evenly(texts[lang], DICTIONARY_BYTES) or b" ")
 
     def compressors(self) -> list:
         out = []

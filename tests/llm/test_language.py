@@ -61,3 +61,15 @@ def test_sample_is_bounded(spark):
     assert len(got["aa"]) == lg.DOCS_PER_LANGUAGE and len(got["bb"]) == 100 and got["dd"] == ["y"]
     assert "cc" not in got and max(map(len, got["aa"])) <= lg.CHARS_PER_DOC
     assert lg.sample_texts(df.limit(0), "text", "lang", "k") == {}
+
+
+def test_bodies_are_learnt_behind_a_common_opening(spark):
+    menu = "licence menu terms " * 90  # longer than CHARS_PER_DOC
+    words = [f"b{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(400)]
+    rows = [(i, menu + f"{words[i]} " * 600, "aa") for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, text string, lang string")
+    got = lg.sample_texts(df, "text", "lang", "k")
+    assert len(got["aa"]) == 400 and max(map(len, got["aa"])) <= lg.CHARS_PER_DOC
+    (content,) = lg.Dictionaries(got).contents
+    assert len(content) <= lg.DICTIONARY_BYTES
+    assert sum(w.encode() in content for w in words) >= 240  # three of five pieces are body
