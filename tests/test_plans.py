@@ -3,8 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from check_oracle import compare, connect
-from conftest import SF
+from check_oracle import SMALLEST as SF, compare, connect
 from tallyweave.operators.quality import CheckFailed, enforce, report, row_checks
 from tallyweave.plans.bindings import donations
 from tallyweave.plans.panel import cycles_needed
