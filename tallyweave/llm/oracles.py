@@ -80,3 +80,43 @@ reach as (select doc_id, doc_id as node from d
 least as (select doc_id, min(node) as component_id from reach group by doc_id)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
 from d left join n on d.doc_id = n.doc_id join least on d.doc_id = least.doc_id"""
+
+
+# CRC-32 by its byte table: a fold over the hexadecimal pairs of a word's bytes
+_CRC = """tab as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+    case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as t)"""
+
+
+def _bucket(word: str) -> str:
+    byte = f"cast('0x' || substr(hex({word}), 2 * p - 1, 2) as bigint)"
+    fold = (f"list_reduce(list_transform(range(1, strlen({word}) + 1), lambda p: {byte}), "
+            "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)")
+    return f"xor({fold}, 4294967295) % 10000"
+
+
+RESAMPLING = f"""with {_CRC},
+d as (select doc_id, regexp_extract_all({_lower('text')}, {_LETTERS}) as w from documents),
+dw as (select doc_id, unnest(w) as word from d),
+bw as (select unnest(regexp_extract_all({_lower('text')}, {_LETTERS})) as word from benchmark),
+b as (select word, {_bucket('word')} as bucket
+      from (select distinct word from dw union select distinct word from bw), tab),
+s as (select bucket, count(*) as n from dw join b using (word) group by bucket),
+t as (select bucket, count(*) as n from bw join b using (word) group by bucket),
+n as (select (select count(*) from dw) as s_all, (select count(*) from bw) as t_all),
+gain as (select bucket, cast(floor(1000 * ln(
+           cast((coalesce(t.n, 0) + 1) * (s_all + 10000) as double)
+           / cast((coalesce(s.n, 0) + 1) * (t_all + 10000) as double))) as bigint) as gain
+         from s full join t using (bucket), n),
+weight as (select doc_id, count(*) as n_features, sum(gain) as weight
+           from dw join b using (word) join gain using (bucket) group by doc_id),
+scored as (select doc_id, cast(coalesce(n_features, 0) as bigint) as n_features,
+             cast(coalesce(weight, 0) as bigint) as weight,
+             cast(coalesce(weight, 0) + floor(-1000 * ln(-ln((cast(
+               '0x' || substr(sha256('2024:' || doc_id), 1, 8) as bigint) + 0.5::double)
+               / 4294967296::double))) as bigint) as score
+           from d left join weight using (doc_id)),
+drawn as (select doc_id, row_number() over (order by score desc, doc_id) as rank
+          from scored where n_features >= 20)
+select doc_id, n_features, weight, score,
+  case when rank <= 10 * (select count(*) from drawn) // 100 then rank end as rank
+from scored left join drawn using (doc_id)"""

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyweave.llm import oracles
+from tallyweave.llm.alignment import align
 from tallyweave.llm.decontamination import contamination
 from tallyweave.llm.html_text import extract_text, page_weights
 from tallyweave.llm.language import Dictionaries, identify, sample_texts
@@ -14,11 +15,14 @@ from tallyweave.llm.near_duplicates import near_duplicates
 from tallyweave.llm.neighbours import nearest
 from tallyweave.llm.packing import pack
 from tallyweave.llm.quality import VoteModel, fit_votes, quality_scores
+from tallyweave.llm.resampling import resample
 from tallyweave.llm.sharding import shard_records
 from tallyweave.llm.substrings import remove_repeats
+from tallyweave.llm.suffix_tree import fit_tree, score_texts
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
+ALIGNED_A, ALIGNED_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHARDS = 40
 
 
@@ -112,6 +116,30 @@ def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                            "text").withColumnRenamed("id", "doc_id")
 
 
+def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, links and pair counts of every document's tokens by two tokenizers."""
+    return align(_table(spark, sf_dir, "documents"), "doc_id", "text",
+                 public_tokenizers.path(ALIGNED_A),
+                 public_tokenizers.path(ALIGNED_B)).withColumnRenamed("id", "doc_id")
+
+
+def resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight towards the benchmark and score of every document; a tenth is drawn."""
+    return resample(_table(spark, sf_dir, "documents"), "doc_id", "text",
+                    _table(spark, sf_dir, "benchmark"), "text", seed=2024, percent=10,
+                    least_words=20).withColumnRenamed("id", "doc_id")
+
+
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document; a seventh is held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_fold("doc_id", 7) == 2, F.lit(False))
+    tree = fit_tree(docs.where(~held_out), "text")
+    return score_texts(docs, "doc_id", "text", tree).withColumnRenamed("id", "doc_id").select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score")
+
+
 QUERIES = {
     "op1_packing": (packing, None),
     "op2_substring_dedup": (substring_dedup, oracles.SUBSTRINGS),
@@ -123,4 +151,7 @@ QUERIES = {
     "op8_decontamination": (decontamination, oracles.BENCHMARK),
     "op9_sharding": (sharding, None),
     "op10_minhash_dedup": (minhash_dedup, oracles.NEAR_COPIES),
+    "op11_tokenizer_alignment": (alignment, None),
+    "op12_importance_resampling": (resampling, oracles.RESAMPLING),
+    "op13_lm_scoring": (lm_scoring, None),
 }
