@@ -14,7 +14,7 @@ from ..functions.numeric import lenient_bigint, round_half_up
 from ..operators import quality
 from ..operators.scoring import carry_forward, dynamic_score
 from ..operators.summaries import cell_stats, small_cells
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources import datasets
 from ..sources.delimited import (cycle_of_file, logical_records, parse_records, read_lines,
                                  repair_lines, typed_projection)
@@ -31,6 +31,8 @@ _FIELDS = (("transaction.id", StringType()), ("amount", DoubleType()), ("date",
            ("contributor.memo", StringType()))
 ORDERS_SCHEMA = StructType([StructField(n.replace(".", "_"), t, True, {"source_name": n})
                             for n, t in _FIELDS])
+#: A line of text inside a memo that has the shape of a record.
+_LIKE_A_RECORD = "1,2.5,1996-01-01,3,1996,someone,plain"
 _HEADER = "transaction.id,amount,date,bonica.cid,cycle,contributor.employer,contributor.memo"
 
 
@@ -38,7 +40,8 @@ def write_dirty_orders(spark, sf):
     """Orders as damaged gzip CSV files, one folder per cycle and key range; returns a pattern.
 
     Null marks, text in number columns, decimal ids, torn cycles, short rows, doubled quotes,
-    quoted line breaks, backslashes at line ends, and Latin-1 bytes in one cycle.
+    quoted line breaks, quoted lines that look like records, backslashes at line ends, and Latin-1
+    bytes in one cycle.
     """
     k = F.col("o_orderkey")
     o = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
@@ -54,7 +57,8 @@ def write_dirty_orders(spark, sf):
     cycle = F.when(every(19), F.lit("x")).otherwise(F.col("c").cast("string"))
     employer = F.when(every(17), F.lit("")).otherwise(
         F.concat(F.lit('"Café, '), F.col("o_orderpriority"), F.lit('"')))
-    memo = (F.when(every(5), F.lit('"first line\nsecond, line"')).when(
+    memo = (F.when(every(31), F.lit(f'"before\n{_LIKE_A_RECORD}\nafter"'))
+            .when(every(5), F.lit('"first line\nsecond, line"')).when(
         every(3), F.lit('"says ""hi"""\\')).otherwise(F.lit("plain\\")))
     line = F.concat_ws(",", k.cast("string"), amount, F.date_format("o_orderdate", "yyyy-MM-dd"),
                        donor, cycle, employer)
@@ -99,7 +103,9 @@ select cast(k as varchar) as transaction_id,
   cast(o_orderdate as date) as date,
   case when k % 7 = 0 then o_custkey + 1 else o_custkey end as bonica_cid,
   case when k % 17 = 0 then '' else 'Café, ' || o_orderpriority end as contributor_employer,
-  case when k % 23 = 0 then null when k % 5 = 0 then 'first line' || chr(10) || 'second, line'
+  case when k % 23 = 0 then null
+       when k % 31 = 0 then concat_ws(chr(10), 'before', '{_LIKE_A_RECORD}', 'after')
+       when k % 5 = 0 then 'first line' || chr(10) || 'second, line'
        when k % 3 = 0 then 'says "hi"' else 'plain' end as contributor_memo,
   c as cycle
 from o where k % 19 <> 0"""
@@ -118,7 +124,8 @@ def ingest_ledger(spark, sf):
 
 _LEDGER_SQL = f"""with {_DIRTY}
 select c as cycle, c = 1998 as transcoded, 'converted' as status,
-  cast(sum(case when k % 23 <> 0 and k % 5 = 0 then 2 else 1 end) as bigint) as n_lines,
+  cast(sum(case when k % 23 = 0 then 1 when k % 31 = 0 then 3 when k % 5 = 0 then 2 else 1 end)
+    as bigint) as n_lines,
   count(*) filter (where k % 19 <> 0) as n_written,
   count(*) filter (where k % 19 = 0) as n_torn, cast(0 as bigint) as n_wrong_cycle
 from o group by c"""
@@ -157,7 +164,7 @@ def contributor_ingest(spark, sf):
     header = ["bonica.cid", "contributor.type", "name", "contributor.cfscore"]
     root = scratch_path(spark, "contributors")
     c.select(F.encode(line, "ISO-8859-1").cast("string")).write.text(root)
-    lines = repair_lines(read_lines(spark, root))
+    lines = written(repair_lines(read_lines(spark, root)), "lines")
     parsed = parse_records(logical_records(lines, len(header)), header)
     return typed_projection(parsed, _CONTRIBUTOR_COLUMNS, empty_is_null=True)
 

@@ -8,8 +8,8 @@ from pyspark.sql.types import StructType
 
 from ..operators.quality import schema_problems
 from ..session import written
-from .delimited import (cycle_of_file, file_facts, logical_records, parse_records, read_header,
-                        read_lines, repair_lines, typed_projection)
+from .delimited import (cycle_of_file, file_facts, file_headers, logical_records, parse_records,
+                        read_header, read_lines, repair_lines, typed_projection)
 from .schemas import (CONTRIBUTIONS, CONTRIBUTORS, FIRST_CYCLE, LAST_CYCLE, REGISTER_JSON)
 
 LEDGER = ("file string, cycle bigint, n_lines bigint, transcoded boolean, n_written bigint, "
@@ -116,22 +116,28 @@ def new_files(spark: SparkSession, pattern: str, ledger_path: str, root: str | N
 
 def read_contributions(spark: SparkSession, paths: list[str] | str,
                        schema: StructType = CONTRIBUTIONS) -> tuple[DataFrame, DataFrame]:
-    """Typed rows with bookkeeping columns, and facts per file (see ``file_facts``).
+    """Typed rows with bookkeeping columns, and facts per file (see ``file_facts``), of files that
+    share a header.
 
     Bookkeeping: file, file_cycle, row_cycle, n_lines, and the flags bad, torn, open_quote.
-    Compressed text is read twice, for the facts and to stage repaired lines as a table; records
-    are put together from the staged lines.
     """
-    first = paths if isinstance(paths, str) else paths[0]
-    header = read_header(spark, first)
+    lines = written(read_lines(spark, paths), "lines")
+    headers = file_headers(lines).select("header").distinct().collect()
+    if len(headers) != 1:
+        raise ValueError(f"{paths}: {len(headers)} different headers")
+    header = headers[0]["header"]
     missing = [f.metadata["source_name"] for f in schema
                if f.metadata["source_name"] not in header]
     if missing or "cycle" not in header:
-        raise ValueError(f"columns missing in {first}: {missing or ['cycle']}")
-    raw = read_lines(spark, paths)
-    facts = written(file_facts(raw, header), "files")
-    lines = written(repair_lines(raw, facts), "lines")
-    records = logical_records(lines, len(header))
+        raise ValueError(f"columns missing in {paths}: {missing or ['cycle']}")
+    return _typed_rows(lines, header, schema)
+
+
+def _typed_rows(lines: DataFrame, header: list[str],
+                schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """See :func:`read_contributions`; ``lines`` are staged as they came."""
+    facts = written(file_facts(lines, header), "files")
+    records = logical_records(repair_lines(lines, facts), len(header))
     parsed = parse_records(records, header)
     marked = (parsed.withColumn("file_cycle", cycle_of_file(F.col("file")))
               .withColumn("row_cycle", F.col("cycle").try_cast("double").try_cast("bigint"))
@@ -159,18 +165,6 @@ def ledger_rows(rows: DataFrame, facts: DataFrame) -> DataFrame:
         F.when(fine, "converted").otherwise("failed").alias("status"))
 
 
-def _by_header(spark: SparkSession, files: list[str],
-               schema: StructType) -> dict[tuple[str, ...], list[str]]:
-    """Files with all columns of ``schema`` and a cycle, grouped by their own header."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    needed = {f.metadata["source_name"] for f in schema} | {"cycle"}
-    for file in files:
-        header = tuple(read_header(spark, file))
-        if needed <= set(header):
-            groups.setdefault(header, []).append(file)
-    return groups
-
-
 def ingest_contributions(spark: SparkSession, pattern: str, root: str, ledger_path: str,
                          schema: StructType = CONTRIBUTIONS, force: bool = False) -> DataFrame:
     """Convert new and changed files to the table at ``root``; returns the ledger's latest row per
@@ -179,14 +173,22 @@ def ingest_contributions(spark: SparkSession, pattern: str, root: str, ledger_pa
     Each file is parsed by its own header and has a part of the table for itself, below its cycle:
     a later file of a cycle adds rows, the same file again replaces its own. Rows are staged and
     checked before anything is published; files that fail a check are marked ``failed`` in the
-    ledger, the others are published.
+    ledger, the others are published. Compressed text is read once, to stage its lines; headers
+    of all files come from one job, and only the distinct ones reach the driver.
     """
     todo = written(new_files(spark, pattern, ledger_path, root, force), "todo")
-    names = sorted(r["file"] for r in todo.select("file").collect())  # file names, not rows
+    names = [r["file"] for r in todo.select("file").collect()]  # file names, not rows
     if names:
+        needed = {f.metadata["source_name"] for f in schema} | {"cycle"}
+        lines = written(read_lines(spark, names), "lines")
+        headers = written(file_headers(lines), "headers")
         rows = ledger = None
-        for header, files in _by_header(spark, names, schema).items():
-            part, facts = read_contributions(spark, files, schema)
+        for header, in headers.select("header").distinct().collect():
+            if not needed <= set(header):
+                continue
+            of_header = headers.where(F.col("header") == F.array(*map(F.lit, header)))
+            part, facts = _typed_rows(lines.join(of_header.select("file"), "file", "left_semi"),
+                                      header, schema)
             part = written(part, "staged")
             entries = ledger_rows(part, facts)
             rows = part if rows is None else rows.unionByName(part)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DateType, DoubleType, LongType, StructType
 
 from ..functions.numeric import finite, lenient_bigint
+from ..session import written
 from .schemas import plain
 
 NULL_MARK = r"\N"
@@ -58,48 +59,110 @@ def _field_count(text: str) -> Column:
     return F.length(bare) - F.length(F.translate(bare, ",", "")) + 1
 
 
+def quote_events(lines: DataFrame, n_columns: int) -> DataFrame:
+    """(file, chunk, seq, kind): lines that may change whether a quoted field is open.
+
+    Quotes come in pairs inside quoted fields, so after taking out the pairs an opening quote
+    stands at the start of a field and a closing one at its end. A line is ``O`` if its quotes
+    open a field (whatever was before), ``K`` if they close one, ``S`` if they swap the state and
+    do not tell which, and ``C`` if it is a complete record whose first quote could not close a
+    field. Lines without such quotes leave the state as it is and are no events.
+    """
+    bare = F.regexp_replace("value", '""', "")
+    odd = F.pmod(F.length("value") - F.length(F.translate("value", '"', "")), F.lit(2)) == 1
+    opens, closes = bare.rlike('^([^"]*,)?"'), bare.rlike('^[^"]*"(,|$)')
+    kind = (F.when(odd & opens & ~closes, "O").when(odd & closes & ~opens, "K").when(odd, "S")
+            .when(F.contains(bare, F.lit('"')) & ~closes & (_field_count("value") == n_columns),
+                  "C"))
+    return lines.select("file", "chunk", "seq", kind.alias("kind")).where("kind is not null")
+
+
+def open_spans(lines: DataFrame, events: DataFrame) -> DataFrame:
+    """(file, chunk, seq, start): the lines of every record that spans lines, by its first line.
+
+    Two states, open and closed, and every event is a map between them: ``O`` leads to open, ``K``
+    and ``C`` to closed, ``S`` swaps. Each chunk composes its events into one map, the maps are
+    composed along the file, and with the state before its chunk each event knows its own. A line
+    that opens a field begins a record that ends with the next event, if that closes it. If it
+    does not (``O``, ``C``, or the end of the file), the quote was never closed, and the line is a
+    record by itself. Windows run over events inside a chunk and over one row per chunk.
+    """
+    inside = Window.partitionBy("file", "chunk").orderBy("seq")
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened = F.when(F.col("kind") == "O", 1).when(F.col("kind") != "S", 0)
+    ev = (events.withColumn("swaps", F.count_if(F.col("kind") == "S").over(running))
+          .withColumn("fixed", F.last((opened + F.col("swaps")) % 2, True).over(running))
+          .withColumn("next", F.lead(F.struct("chunk", "seq", "kind")).over(inside)))
+    # the map of a chunk: swaps, and the state led to (with all swaps before it taken back)
+    maps = events.groupBy("file", "chunk").agg(
+        F.min(F.struct("seq", "kind")).alias("first"),
+        F.max(F.when(opened.isNotNull(), F.struct("seq", opened.alias("state")))).alias("last"),
+        F.count_if(F.col("kind") == "S").alias("all_swaps"))
+    after_last = (events.join(maps.select("file", "chunk", F.col("last.seq").alias("_last")),
+                              ["file", "chunk"])
+                  .where((F.col("kind") == "S") & (F.col("seq") > F.col("_last")))
+                  .groupBy("file", "chunk").agg(F.count(F.lit(1)).alias("late_swaps")))
+    along = Window.partitionBy("file").orderBy("chunk")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    ends = (maps.join(after_last, ["file", "chunk"], "left")
+            .withColumn("swapped", F.coalesce(F.sum("all_swaps").over(before), F.lit(0)))
+            .withColumn("led", F.when(F.col("last").isNotNull(), F.pmod(
+                F.col("last.state") + F.coalesce("late_swaps", F.lit(0)) + F.col("swapped")
+                + F.col("all_swaps"), F.lit(2))))
+            .withColumn("state_in", F.pmod(F.coalesce(F.last("led", True).over(before), F.lit(0))
+                                           + F.col("swapped"), F.lit(2)))
+            .withColumn("next_chunk", F.lead(F.struct("chunk", "first.seq", "first.kind"))
+                        .over(along))
+            .select("file", "chunk", "state_in", "next_chunk"))
+    ev = (ev.join(ends, ["file", "chunk"])
+          .withColumn("state", F.pmod(F.coalesce("fixed", "state_in") + F.col("swaps"), F.lit(2)))
+          .withColumn("end", F.coalesce("next", "next_chunk")))
+    spans = ev.where((F.col("state") == 1) & F.col("kind").isin("O", "S")
+                     & F.col("end.kind").isin("K", "S")).select(
+        "file", "chunk", "seq", F.col("end.chunk").alias("last_chunk"),
+        F.col("end.seq").alias("last_seq"))
+    # a span inside a chunk is a run of its line numbers; others take whole chunks between
+    here = F.col("chunk") == F.col("last_chunk")
+    start = F.struct("chunk", "seq").alias("start")
+    short = spans.where(here).select("file", "chunk", start, F.col("seq").alias("lo"),
+                                     F.col("last_seq").alias("hi"))
+    sizes = lines.groupBy("file", "chunk").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    numbered = sizes.withColumn("no", F.row_number().over(along))
+    long = spans.where(~here)
+    for end in ("chunk", "last_chunk"):
+        long = long.join(numbered.select("file", F.col("chunk").alias(end),
+                                         F.col("no").alias(f"{end}_no")), ["file", end])
+    long = (long.select("file", "seq", "last_seq", "chunk_no", "last_chunk_no", start,
+                        F.explode(F.sequence("chunk_no", "last_chunk_no")).alias("no"))
+            .join(numbered, ["file", "no"])
+            .select("file", "chunk", "start",
+                    F.when(F.col("no") == F.col("chunk_no"), F.col("seq")).otherwise(F.col("lo"))
+                    .alias("lo"),
+                    F.when(F.col("no") == F.col("last_chunk_no"), F.col("last_seq"))
+                    .otherwise(F.col("hi")).alias("hi")))
+    return short.unionByName(long).select(
+        "file", "chunk", F.explode(F.sequence("lo", "hi")).alias("seq"), "start")
+
+
 def logical_records(lines: DataFrame, n_columns: int) -> DataFrame:
     """(file, seq, record, n_lines): lines joined where a quoted field goes on.
 
-    A line with closed quotes and all its fields is a record by itself and takes no part in any
-    shuffle. Only the other lines are looked at in order: in each run of them an odd number of
-    quotes opens a record and the next odd line closes it. A quote that is never closed therefore
-    reaches to the next complete line at most. Orders come from counts per chunk of lines, so a
-    large file spreads over many tasks.
+    Whether a line lies inside a quoted field follows from the quotes before it alone
+    (:func:`open_spans`), so text of a field that looks like a record stays text. Only lines of
+    records that span lines are brought together; the others are taken as they are.
+
+    ``lines`` should be cheap to read several times (a written table). Line numbers of a chunk are
+    consecutive.
     """
-    q = F.length("value") - F.length(F.translate("value", '"', ""))
-    tagged = (lines.withColumn("q", q).withColumn("odd", F.pmod("q", F.lit(2)).cast("bigint"))
-              .withColumn("whole", (F.col("odd") == 0) & (_field_count("value") == n_columns)))
-    complete = tagged.where("whole").select("file", "seq", F.col("value").alias("record"),
-                                            F.lit(1).alias("n_lines"))
-    chunks = tagged.groupBy("file", "chunk").agg(
-        F.min("seq").alias("_first"), F.count_if("whole").alias("_nw"),
-        F.sum(F.when(F.col("whole"), 0).otherwise(F.col("odd"))).alias("_no"))
-    by_file = Window.partitionBy("file").orderBy("chunk").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    chunks = (chunks.withColumn("_wbase", F.sum("_nw").over(by_file) - F.col("_nw"))
-              .withColumn("_obase", F.sum("_no").over(by_file) - F.col("_no"))
-              .select("file", "chunk", "_first", "_wbase", "_obase"))
-    in_chunk = Window.partitionBy("file", "chunk").orderBy("seq")
-    running = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Complete lines before this one name the run; odd lines before it, within the run, the record.
-    rest = (tagged.where(~F.col("whole")).join(chunks, ["file", "chunk"])
-            .withColumn("run", F.col("_wbase") + F.col("seq") - F.col("_first")
-                        - F.row_number().over(in_chunk) + 1)
-            .withColumn("_odd", F.sum("odd").over(running) - F.col("odd") + F.col("_obase"))
-            .select("file", "chunk", "seq", "value", "odd", "run", "_odd"))
-    start = rest.groupBy("file", "run").agg(F.min("_odd").alias("_at"))
-    placed = (rest.join(start, ["file", "run"])
-              .withColumn("_rel", F.col("_odd") - F.col("_at")))
-    alone = (F.pmod("_rel", F.lit(2)) == 0) & (F.col("odd") == 0)
-    short = placed.where(alone).select("file", "seq", F.col("value").alias("record"),
-                                       F.lit(1).alias("n_lines"))
-    several = (placed.where(~alone).groupBy("file", "run", F.floor(F.col("_rel") / 2))
+    spans = written(open_spans(lines, quote_events(lines, n_columns)), "spans")
+    single = lines.join(spans, ["file", "chunk", "seq"], "left_anti").select(
+        "file", "seq", F.col("value").alias("record"), F.lit(1).alias("n_lines"))
+    several = (lines.join(spans, ["file", "chunk", "seq"]).groupBy("file", "start")
                .agg(F.array_sort(F.collect_list(F.struct("chunk", "seq", "value"))).alias("l"))
-               .select("file", F.col("l")[0]["seq"].alias("seq"),
+               .select("file", "start.seq",
                        F.array_join(F.transform("l", lambda x: x["value"]), "\n")
                        .alias("record"), F.size("l").alias("n_lines")))
-    return complete.unionByName(short).unionByName(several)
+    return single.unionByName(several)
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
@@ -109,6 +172,14 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     return [] if first is None else list(first["h"])
 
 
+def file_headers(lines: DataFrame) -> DataFrame:
+    """(file, header): the first line of every file, split; empty files have no row."""
+    first = lines.groupBy("file").agg(F.min(F.struct("chunk", "seq")).alias("at")).select(
+        "file", "at.chunk", "at.seq")
+    return lines.join(first, ["file", "chunk", "seq"]).select(
+        "file", F.split(F.regexp_replace("value", '"', ""), ",").alias("header"))
+
+
 def parse_records(records: DataFrame, header: list[str]) -> DataFrame:
     """Split records into text columns named after ``header``; keeps file, seq, n_lines.
 

@@ -1,10 +1,13 @@
 import gzip
+import random
+import re
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, StructType)
 
 from tallyweave.operators.quality import schema_problems
+from tallyweave.session import written
 from tallyweave.sources import datasets, schemas
 from tallyweave.sources.delimited import (file_facts, logical_records, parse_records,
                                           read_lines, repair_lines, typed_projection)
@@ -66,6 +69,68 @@ def test_long_multi_line_record_over_chunks(spark):
     assert all(r["b"] == f"x\n\nmid dle\ny{r['a']}" and r["n_lines"] == 4 for r in rows)
 
 
+def plain_records(values, n_columns):
+    """Line by line: the automaton of the docstrings with a look at the next event."""
+    def kind(v):
+        bare = v.replace('""', "")
+        first = bare.find('"')
+        if first < 0:
+            return None
+        opens = bare[:first] == "" or bare[:first].endswith(",")
+        closes = bare[first + 1:first + 2] in ("", ",")
+        if v.count('"') % 2:
+            return "O" if opens and not closes else "K" if closes and not opens else "S"
+        fields = len(re.sub(r'"[^"]*("|$)', "", v).split(","))
+        return "C" if not closes and fields == n_columns else None
+    kinds = [kind(v) for v in values]
+    out, state, i = [], 0, 0
+    while i < len(values):
+        k = kinds[i]
+        state = {"O": 1, "K": 0, "C": 0, "S": 1 - state, None: state}[k]
+        end = next((j for j in range(i + 1, len(values)) if kinds[j]), None)
+        if state and k in ("O", "S") and end is not None and kinds[end] in ("K", "S"):
+            out.append("\n".join(values[i:end + 1]))
+            state, i = (0 if kinds[end] == "K" else 1 - state), end
+        else:
+            out.append(values[i])
+        i += 1
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 50])
+def test_quote_states_over_chunks(spark, chunk):
+    rng = random.Random(chunk)
+    pieces = ['1,"a",x', '2,"b', 'c",x', "plain", "", '3,"say ""hi""",x', '4,"", ', "5,6,7", '"',
+              '",x', 'x"y', '7,"open', '8,""lone"",9', 'd"",""e', '"""', '9,"p","q']
+    values = [rng.choice(pieces) for _ in range(600)]
+    df = spark.createDataFrame([("f" if i % 2 else "g", i // 2 // chunk, i, v)
+                                for i, v in enumerate(values)],
+                               "file string, chunk int, seq bigint, value string")
+    # line numbers of a file's chunk are consecutive
+    order = Window.partitionBy("file").orderBy("seq")
+    df = written(df.withColumn("seq", F.row_number().over(order)).repartition(4), "lines")
+    rows = logical_records(df, 3).orderBy("file", "seq").collect()
+    for name, mine in (("f", values[1::2]), ("g", values[::2])):
+        assert [r["record"] for r in rows if r["file"] == name] == plain_records(mine, 3)
+
+
+def test_text_that_looks_like_a_record(spark, tmp_path):
+    gz(tmp_path / "a_2016.csv.gz", HEAD + '1,"one\n2,two,5,2016\nthree",5,2016\n4,four,5,2016\n'
+       '5,"never closed,5,2016\n6,six,5,2016\n7,"seven",5,2016\n')
+    ingest(spark, tmp_path)
+    rows = datasets.read_by_cycle(spark, str(tmp_path / "out"), STORED).collect()
+    assert {r["transaction_id"]: r["memo"] for r in rows} == {
+        "1": "one\n2,two,5,2016\nthree", "4": "four", "6": "six", "7": "seven"}
+
+
+def test_lines_are_not_shuffled(spark, tmp_path):
+    lines = written(spark.createDataFrame([("f", 0, i, f'{i},"a",b') for i in range(100)],
+                                          "file string, chunk int, seq bigint, value string"),
+                    "lines")
+    plan = logical_records(lines, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and "SortMergeJoin" not in plan
+
+
 def test_ingest_skips_what_is_done(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
