@@ -1,11 +1,11 @@
 """Linear mixed models with one grouping factor, from sums per group.
 
-Random intercept: y = Xb + u_g + e. Given the variance ratio r = var(u)/var(e), everything needed
-is a weighted sum over groups of the outer products of the groups' column sums, and the weight
-hangs on the group's size only. So the products are summed per distinct size on the cluster, and
-groups may be as many as there are places.
-Random slopes need each group's cross products; these are collected, for a bounded number of
-groups (the model is meant for tens of industries).
+y = Xb + Zu_g + e, where Z is the intercept, or the intercept and the dummies of one factor. With
+L L' = var(u) / var(e), all that is needed of a group is Z'[X y]: the weighted cross products are
+S = [X y]'[X y] - sum over groups of (Z'[X y])' B (Z'[X y]) with B = L (I + L'Z'ZL)^-1 L', and
+log|V| is a sum over groups too. So every group is one array row of a written table, and the
+deviance at several trial points, with its gradient, is one aggregate over that table. Groups may
+be as many as there are places; what reaches the driver hangs on the number of terms only.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.tails import chi2_upper
@@ -22,7 +23,9 @@ from ..session import written
 from .moments import (INTERCEPT, Y, Terms, as_matrix, collect_bounded, cross_products,
                       ordered_terms, read_terms)
 
-_DRIVER_ROWS = 50_000
+#: Quasi-Newton steps before a fit is given back as not converged, and the fall of the deviance
+#: that a further step must promise.
+MAX_STEPS, LEAST_FALL = 200, 1e-10
 
 
 @dataclass
@@ -40,6 +43,7 @@ class MixedFit:
     singular: bool
     var_fixed: float
     var_random: float
+    converged: bool = True
 
     @property
     def n_parameters(self) -> int:
@@ -100,204 +104,277 @@ def _fixed_variance(g: np.ndarray, b: np.ndarray) -> float:
     return float(b @ cov @ b)
 
 
-def group_sums(products: DataFrame, group: str) -> DataFrame:
-    """(group size, a, b, v, n_groups): outer products of column sums, summed over equal sizes."""
-    sums = products.where((F.col("a") == INTERCEPT) | (F.col("b") == INTERCEPT)).select(
-        group, F.when(F.col("a") == INTERCEPT, F.col("b")).otherwise(F.col("a")).alias("t"), "v")
-    # One array per group, as long as the model has columns.
-    per = sums.groupBy(group).agg(
-        F.max(F.when(F.col("t") == INTERCEPT, F.col("v"))).alias("size"),
-        F.array_sort(F.collect_list(F.struct("t", "v"))).alias("s"))
-    left = per.select("size", "s", F.explode("s").alias("p"))
-    both = left.select("size", "p", F.explode("s").alias("q")).where(
-        F.col("p.t") <= F.col("q.t"))
-    return both.groupBy("size", F.col("p.t").alias("a"), F.col("q.t").alias("b")).agg(
-        F.sum(F.col("p.v") * F.col("q.v")).alias("v"), F.count(F.lit(1)).alias("n_groups"))
-
-
-def _moments(by_size: DataFrame, total: np.ndarray, order: Sequence[str]
-             ) -> Callable[[Sequence[float]], list[tuple[np.ndarray, float]]]:
-    """For variance ratios: the reduction of S and log|V|, on the driver when it is small."""
-    small = by_size.limit(_DRIVER_ROWS + 1).collect()
-    pos = {c: i for i, c in enumerate(order)}
-
-    def finish(parts: dict[tuple[str, str], float]) -> np.ndarray:
-        return total - as_matrix(parts, order)
-
-    if len(small) <= _DRIVER_ROWS:
-        size = np.array([r["size"] for r in small])
-        v = np.array([r["v"] for r in small])
-        ia = np.array([pos.get(r["a"], -1) for r in small])
-        ib = np.array([pos.get(r["b"], -1) for r in small])
-        ok = (ia >= 0) & (ib >= 0)
-        one = (ia == pos[INTERCEPT]) & (ib == pos[INTERCEPT])
-        count = np.array([r["n_groups"] for r in small], dtype=float)
-
-        def local(ratios):
-            out = []
-            for r in ratios:
-                m = np.zeros_like(total)
-                w = r / (1 + r * size) * v
-                np.add.at(m, (ia[ok], ib[ok]), w[ok])
-                m = m + m.T - np.diag(np.diag(m))
-                out.append((total - m, float((count[one] * np.log1p(r * size[one])).sum())))
-            return out
-        return local
-
-    def spread(ratios):
-        levels = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(r)).alias("r"))
-                           for i, r in enumerate(ratios)])
-        one = (F.col("a") == INTERCEPT) & (F.col("b") == INTERCEPT)
-        rows = (by_size.withColumn("l", F.explode(levels)).groupBy("l.i", "a", "b").agg(
-            F.sum(F.col("l.r") / (1 + F.col("l.r") * F.col("size")) * F.col("v")).alias("v"),
-            F.sum(F.when(one, F.col("n_groups") * F.log1p(F.col("l.r") * F.col("size"))))
-            .alias("logdet"))).collect()
-        out = []
-        for i in range(len(ratios)):
-            mine = [r for r in rows if r["i"] == i]
-            logdet = next(r["logdet"] for r in mine if r["logdet"] is not None)
-            out.append((finish({(r["a"], r["b"]): r["v"] for r in mine}), logdet))
-        return out
-    return spread
+def _group_rows(products: DataFrame, group: str, order: Sequence[str],
+                z: Sequence[str]) -> DataFrame:
+    """(group, at, v): Z'[X y] of every group as positions in a len(z) x len(order) matrix.
 
-
-def random_intercept(df: DataFrame, y: str, fixed: Sequence[str], group: str,
-                     reml: bool = True) -> MixedFit:
-    """Fit by (restricted) maximum likelihood; the ratio is searched on refined grids."""
+    One row per group, as long as the model has terms.
+    """
+    k = len(order)
+    column = F.create_map(*[x for i, c in enumerate(order) for x in (F.lit(c), F.lit(i))])
+    line = F.create_map(*[x for i, c in enumerate(z) for x in (F.lit(c), F.lit(i * k))])
+    both = products.select(group, "a", "b", "v").unionByName(
+        products.where(F.col("a") != F.col("b")).select(
+            group, F.col("b").alias("a"), F.col("a").alias("b"), "v"))
+    at = (line[F.col("a")] + column[F.col("b")]).cast("int")
+    return (both.select(group, at.alias("at"), "v").where(F.col("at").isNotNull())
+            .groupBy(group).agg(F.collect_list("at").alias("at"), F.collect_list("v").alias("v")))
+
+
+class GroupMoments:
+    """S, log|V| and their derivatives in the lower triangle of L, summed over all groups."""
+
+    def __init__(self, rows: DataFrame, total: np.ndarray, zi: Sequence[int]):
+        self.rows, self.total, self.zi = rows.select("at", "v"), total, list(zi)
+        self.tri = np.tril_indices(len(self.zi))
+
+    def __call__(self, thetas: Sequence[np.ndarray]) -> list[tuple]:
+        """For each trial point: (S, log|V|, dS, dlog|V|), by one aggregate over the groups."""
+        k, zi, tri = len(self.total), self.zi, self.tri
+        q, m = len(zi), len(tri[0])
+        points = []
+        for theta in thetas:
+            low = np.zeros((q, q))
+            low[tri] = theta
+            points.append(low)
+
+        def run(batches):
+            loss = np.zeros((len(points), k, k))
+            slope = np.zeros((len(points), m, k, k))
+            logdet, turn = np.zeros(len(points)), np.zeros((len(points), m))
+            for batch in batches:
+                at, v = batch.column(0), batch.column(1)
+                size = np.diff(at.offsets.to_numpy())
+                w = np.zeros((batch.num_rows, q * k))
+                w[np.repeat(np.arange(len(size)), size), at.flatten().to_numpy()] = \
+                    v.flatten().to_numpy()
+                w = w.reshape(-1, q, k)
+                zz = w[:, :, zi]
+                for t, low in enumerate(points):
+                    # P = (I + Z'Z LL')^-1, B = LL' P, H = P Z'Z
+                    rel = low @ low.T
+                    inverse = np.linalg.inv(np.eye(q) + zz @ rel)
+                    y = inverse @ w
+                    u = low.T @ y
+                    loss[t] += np.einsum("gak,gal->kl", w, rel @ y)
+                    logdet[t] += np.linalg.slogdet(np.eye(q) + zz @ rel)[1].sum()
+                    h = (inverse @ zz).sum(axis=0) @ low
+                    for p, (i, j) in enumerate(zip(*tri)):
+                        part = y[:, i, :].T @ u[:, j, :]
+                        slope[t, p] += part + part.T
+                        turn[t, p] += 2 * h[i, j]
+            flat = np.concatenate([loss.reshape(len(points), -1), slope.reshape(len(points), -1),
+                                   logdet[:, None], turn], axis=1)
+            trial, pos = np.indices(flat.shape)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(trial.ravel().astype(np.int32)), pa.array(pos.ravel().astype(np.int32)),
+                 pa.array(flat.ravel())], ["trial", "pos", "v"])
+
+        sums = (self.rows.mapInArrow(run, "trial int, pos int, v double")
+                .groupBy("trial", "pos").agg(F.sum("v").alias("v")).toPandas())
+        flat = np.zeros((len(points), k * k * (m + 1) + m + 1))
+        flat[sums["trial"], sums["pos"]] = sums["v"]
+        return [(self.total - f[:k * k].reshape(k, k), f[k * k * (m + 1)],
+                 -f[k * k:k * k * (m + 1)].reshape(m, k, k), f[k * k * (m + 1) + 1:])
+                for f in flat]
+
+
+def _deviance(moments: tuple, n: float, reml: bool) -> tuple[float, np.ndarray]:
+    """Profiled deviance and its gradient."""
+    s, logdet, ds, dlogdet = moments
+    try:
+        dev, b, sigma2, _ = _profile(s, logdet, n, reml)
+    except np.linalg.LinAlgError:
+        return math.inf, np.zeros(len(dlogdet))
+    residual = np.append(-b, 1.0)
+    grad = np.einsum("k,mkl,l->m", residual, ds, residual) / sigma2 + dlogdet
+    if reml:
+        grad = grad + np.einsum("kl,mlk->m", np.linalg.inv(s[:-1, :-1]), ds[:, :-1, :-1])
+    return dev, grad
+
+
+def _minimise(f: Callable[[list[np.ndarray]], list[tuple[float, np.ndarray]]], x: np.ndarray,
+              curvature: float) -> tuple[np.ndarray, bool]:
+    """Minimum of f by quasi-Newton steps (BFGS); every job of f looks at several step lengths."""
+    lengths = np.array([1.0, 0.3, 0.08, 0.02, 3.0])
+    (value, grad), = f([x])
+    h = fresh = None
+    for _ in range(MAX_STEPS):
+        if h is None:  # first steps are no longer than the unit
+            h, fresh = np.eye(len(x)) / max(curvature, float(np.abs(grad).max())), True
+        step = -h @ grad
+        if -0.5 * (grad @ step) <= LEAST_FALL:
+            return x, True
+        scale = 1.0
+        while scale > 1e-8:
+            tried = f([x + scale * c * step for c in lengths])
+            best = int(np.argmin([t[0] for t in tried]))
+            if tried[best][0] < value:
+                break
+            scale *= 0.005
+        else:
+            if fresh:  # no fall along the gradient itself: as low as doubles can tell, or stuck
+                return x, bool(-0.5 * (grad @ step) <= 1e-9 * (1 + abs(value)))
+            h = None
+            continue
+        move, turn = scale * lengths[best] * step, tried[best][1] - grad
+        x, (value, grad) = x + move, tried[best]
+        bend = move @ turn
+        if bend > 0:
+            if fresh:
+                h = np.eye(len(x)) * (bend / (turn @ turn))
+            left = np.eye(len(x)) - np.outer(move, turn) / bend
+            h = left @ h @ left.T + np.outer(move, move) / bend
+            fresh = False
+    return x, False
+
+
+def fit_mixed(df: DataFrame, y: str, fixed: Sequence[str], group: str, slope: str | None = None,
+              reml: bool = True) -> MixedFit:
+    """Random intercept, and with ``slope`` random effects of that factor too, by (restricted)
+    maximum likelihood.
+
+    ``converged`` says whether the steps came to rest; a variance of 0 is found as such
+    (``singular``). If the grouping factor is a fixed factor too, nothing is left for its
+    intercepts, and their variance is 0; see :func:`fit_absorbed` for many such groups.
+    """
     terms = read_terms(df, fixed)
+    if slope is not None and slope not in terms.factors:
+        raise ValueError(f"{slope} must be a fixed factor too")
     data = df.where(F.col(group).isNotNull())
     products = written(cross_products(data, y, terms, [group]), "products")
-    total_rows = collect_bounded(products.groupBy("a", "b").agg(F.sum("v").alias("v")),
-                                 "cross products")
-    entries = {(r["a"], r["b"]): r["v"] for r in total_rows}
+    totals = collect_bounded(products.groupBy("a", "b").agg(F.sum("v").alias("v")),
+                             "cross products")
+    entries = {(r["a"], r["b"]): r["v"] for r in totals}
     names = {a for a, _ in entries} | {b for _, b in entries}
     order = ordered_terms(names, terms)
-    g = as_matrix(entries, order)
-    order = _drop_dependent(g, order)
-    total = as_matrix(entries, [*order, Y])
-    n = total[0, 0]
+    order = _drop_dependent(as_matrix(entries, order), order)
+    z = [INTERCEPT]
+    if slope is not None:
+        z += [c for c in terms.level_names(slope, names) if c in order]
+    full = [*order, Y]
+    total = as_matrix(entries, full)
+    n, q = total[0, 0], len(z)
+    zi = [full.index(c) for c in z]
     n_groups = products.where((F.col("a") == INTERCEPT) & (F.col("b") == INTERCEPT)).count()
-    if group in terms.factors:
-        best = 0.0          # group dummies leave nothing for the intercepts to explain
+    if group in terms.factors and slope is None:
+        theta, converged = np.zeros(1), True
         s, logdet = total, 0.0
     else:
-        moments = _moments(written(group_sums(products, group), "sizes"), total, [*order, Y])
-
-        def dev(ratios):
-            return [_profile(s_, ld, n, reml)[0] for s_, ld in moments(ratios)]
-
-        grid = list(10 ** np.linspace(-6, 5, 23))
-        values = dev([0.0, *grid])
-        zero, values = values[0], values[1:]
-        for _ in range(5):
-            k = int(np.argmin(values))
-            lo, hi = grid[max(k - 1, 0)], grid[min(k + 1, len(grid) - 1)]
-            grid = list(np.exp(np.linspace(math.log(lo), math.log(hi), 21)))
-            values = dev(grid)
-        k = int(np.argmin(values))
-        best = grid[k] if values[k] < zero else 0.0
-        (s, logdet), = moments([best])
-    d, b, sigma2, cov = _profile(s, logdet, n, reml)
-    return MixedFit(order, b, cov, [INTERCEPT], np.array([[best * sigma2]]), float(sigma2),
-                    float(-d / 2), int(round(n)), n_groups, reml, bool(best <= 1e-6),
-                    _fixed_variance(total, b), float(best * sigma2))
+        moments = GroupMoments(written(_group_rows(products, group, full, z), "groups"), total, zi)
 
+        def dev(thetas):
+            return [_deviance(x, n, reml) for x in moments(thetas)]
 
-def random_slope(df: DataFrame, y: str, fixed: Sequence[str], group: str, slope: str,
-                 reml: bool = True, max_groups: int = 2000) -> MixedFit:
-    """Random intercept and random effects of factor ``slope`` (which must be in ``fixed``)."""
-    terms = read_terms(df, fixed)
-    if slope not in terms.factors:
-        raise ValueError(f"{slope} must be a fixed factor too")
-    data = df.where(F.col(group).isNotNull())
-    rows = collect_bounded(cross_products(data, y, terms, [group]), "group cross products")
-    per: dict = {}
-    entries: dict[tuple[str, str], float] = {}
-    for r in rows:
-        per.setdefault(r[group], {})[(r["a"], r["b"])] = r["v"]
-        entries[(r["a"], r["b"])] = entries.get((r["a"], r["b"]), 0.0) + r["v"]
-    if len(per) > max_groups:
-        raise ValueError(f"random slopes support up to {max_groups} groups")
-    names = {a for a, _ in entries} | {b for _, b in entries}
-    order = ordered_terms(names, terms)
-    z = [INTERCEPT, *[c for c in order if c.startswith(f"{slope}[") and "]:" not in c]]
-    order = _drop_dependent(as_matrix(entries, order), order)
-    z = [c for c in z if c in order]
-    full = [*order, Y]
-    zi = [full.index(c) for c in z]
-    grams = np.array([as_matrix(e, full) for e in per.values()])
-    total = grams.sum(axis=0)
-    n, q = total[0, 0], len(z)
-    zx = grams[:, zi, :]
-    zz = zx[:, :, zi]
-    tri = np.tril_indices(q)
-
-    def moments(theta):
-        low = np.zeros((q, q))
-        low[tri] = theta
-        lzx = np.einsum("ji,gjk->gik", low, zx)
-        inner = np.eye(q) + np.einsum("ji,gjk,kl->gil", low, zz, low)
-        s = total - np.einsum("gik,gil->kl", lzx, np.linalg.solve(inner, lzx))
-        return s, float(np.linalg.slogdet(inner)[1].sum())
-
-    def dev(theta):
-        s, logdet = moments(theta)
-        try:
-            return _profile(s, logdet, n, reml)[0]
-        except np.linalg.LinAlgError:
-            return math.inf
-
-    start = np.eye(q)[tri] * 0.3
-    theta = start
-    for _ in range(4):
-        theta = _simplex_search(dev, theta)
-    s, logdet = moments(theta)
+        tri = np.tril_indices(q)
+        scales = 10.0 ** np.arange(-2, 4)
+        starts = [c * np.eye(q)[tri] for c in scales]
+        first = int(np.argmin([v for v, _ in dev(starts)]))
+        # in units of the best start, so that steps fit whatever the ratio's size
+        unit = scales[first]
+
+        def scaled(points):
+            return [(v, g * unit) for v, g in dev([unit * x for x in points])]
+
+        theta, converged = _minimise(scaled, np.eye(q)[tri], 2.0 * max(n_groups, 1))
+        theta = unit * theta
+        (s, logdet, _, _), = moments([theta])
     d, b, sigma2, cov = _profile(s, logdet, n, reml)
     low = np.zeros((q, q))
-    low[tri] = theta
+    low[np.tril_indices(q)] = theta
     rel = low @ low.T
     rcov = rel * sigma2
-    # Mean over the rows of z' T z: what the random part explains on average.
+    # mean over the rows of z' T z: what the random part explains on average
     var_random = float(np.trace(rcov @ total[np.ix_(zi, zi)]) / n)
     eig = np.linalg.eigvalsh(rel)
-    return MixedFit(order, b, cov, z, rcov, float(sigma2), float(-d / 2), int(round(n)),
-                    len(per), reml,
-                    bool(eig[0] < 1e-8), _fixed_variance(total, b), var_random)
-
-
-def _simplex_search(f: Callable[[np.ndarray], float], x0: np.ndarray, steps: int = 600,
-                    tol: float = 1e-10) -> np.ndarray:
-    """Minimum of f by the downhill simplex method."""
-    k = len(x0)
-    pts = [np.array(x0, dtype=float)]
-    for i in range(k):
-        p = np.array(x0, dtype=float)
-        p[i] += 0.1 if abs(p[i]) < 1e-3 else 0.2 * p[i]
-        pts.append(p)
-    val = [f(p) for p in pts]
-    for _ in range(steps):
-        order = np.argsort(val)
-        pts, val = [pts[i] for i in order], [val[i] for i in order]
-        if val[-1] - val[0] < tol * (1 + abs(val[0])):
-            break
-        mid = np.mean(pts[:-1], axis=0)
-        away = mid + (mid - pts[-1])
-        fa = f(away)
-        if fa < val[0]:
-            far = mid + 2 * (mid - pts[-1])
-            ff = f(far)
-            pts[-1], val[-1] = (far, ff) if ff < fa else (away, fa)
-        elif fa < val[-2]:
-            pts[-1], val[-1] = away, fa
-        else:
-            near = mid + 0.5 * ((away if fa < val[-1] else pts[-1]) - mid)
-            fn = f(near)
-            if fn < min(fa, val[-1]):
-                pts[-1], val[-1] = near, fn
-            else:
-                pts = [pts[0], *[pts[0] + 0.5 * (p - pts[0]) for p in pts[1:]]]
-                val = [val[0], *[f(p) for p in pts[1:]]]
-    return pts[int(np.argmin(val))]
+    return MixedFit(order, b, cov, z, rcov, float(sigma2), float(-d / 2), int(round(n)), n_groups,
+                    reml, bool(eig[0] <= 1e-8 * max(1.0, eig[-1])), _fixed_variance(total, b),
+                    var_random, converged)
+
+
+def random_intercept(df: DataFrame, y: str, fixed: Sequence[str], group: str,
+                     reml: bool = True) -> MixedFit:
+    """Fit with a random intercept per group."""
+    return fit_mixed(df, y, fixed, group, None, reml)
+
+
+def random_slope(df: DataFrame, y: str, fixed: Sequence[str], group: str, slope: str,
+                 reml: bool = True) -> MixedFit:
+    """Random intercept and random effects of factor ``slope`` (which must be in ``fixed``)."""
+    return fit_mixed(df, y, fixed, group, slope, reml)
+
+
+@dataclass
+class AbsorbedFit:
+    """A fit whose fixed part holds a factor, the grouping factor and all their interactions.
+
+    ``cells``: (group, factor, n, effect) table, the fitted mean of each cell of both factors where
+    the other columns are 0; ``names``, ``coef``, ``cov``: the other columns.
+    """
+
+    cells: DataFrame
+    names: list[str]
+    coef: np.ndarray
+    cov: np.ndarray
+    sigma2: float
+    loglik: float
+    n: int
+    n_groups: int
+    n_cells: int
+    reml: bool
+
+
+def fit_absorbed(df: DataFrame, y: str, factor: str, group: str, others: Sequence[str] = (),
+                 reml: bool = True) -> AbsorbedFit:
+    """Mixed model ``y ~ factor * group + others + (1 | group)``.
+
+    Dummies of the group in the fixed part leave nothing for random intercepts (nor for random
+    slopes of ``factor``): their variance is 0. Every cell of both factors has a coefficient of
+    its own, so cells are swept out of the cross products one by one, each by its own sums, and
+    only the other columns are solved for on the driver. Groups may be as many as there are
+    places. Columns that cells and earlier columns determine get no coefficient.
+    """
+    terms = read_terms(df, others)
+    by = [group, factor]
+    data = df.dropna(subset=by)
+    products = written(cross_products(data, y, terms, by), "products")
+    own = (F.col("a") == INTERCEPT) | (F.col("b") == INTERCEPT)
+    name = F.when(F.col("a") == INTERCEPT, F.col("b")).otherwise(F.col("a"))
+    sums = written(products.where(own).select(*by, name.alias("t"), "v").groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct("t", "v"))).alias("s")), "cells")
+    size = F.col("s")[INTERCEPT]
+    # what cells explain: products of a cell's sums, also of columns that never meet in a row
+    left = sums.select(size.alias("size"), "s", F.explode("s").alias("a", "x"))
+    between = (left.select("size", "a", "x", F.explode("s").alias("b", "y"))
+               .where(F.col("a") <= F.col("b")).groupBy("a", "b")
+               .agg(F.sum(F.col("x") * F.col("y") / F.col("size")).alias("v")))
+    raw, explained = ({tuple(sorted((r["a"], r["b"]))): r["v"] for r in collect_bounded(t, "terms")}
+                      for t in (products.groupBy("a", "b").agg(F.sum("v").alias("v")), between))
+    entries = {k: raw.get(k, 0.0) - explained.get(k, 0.0) for k in {*raw, *explained}}
+    names = {c for pair in entries for c in pair}
+    order = [c for c in ordered_terms(names, terms)[1:]
+             if entries.get((c, c), 0.0) > 1e-10 * raw.get((c, c), 0.0)]
+    if order:
+        order = _drop_dependent(as_matrix(entries, order), order)
+    s = as_matrix(entries, [*order, Y])
+    counts = sums.agg(F.sum(size), F.count(F.lit(1)), F.count_distinct(group)).first()
+    n, n_cells, n_groups = counts[0] or 0.0, counts[1], counts[2]
+    a, c = s[:-1, :-1], s[:-1, -1]
+    b = np.linalg.solve(a, c) if order else np.zeros(0)
+    rss = max(float(s[-1, -1] - b @ c), 1e-300)
+    free = n - n_cells - len(order)
+    sigma2 = rss / (free if reml else n)
+    m = free if reml else n
+    dev = m * (math.log(2 * math.pi * sigma2) + 1)
+    if reml:
+        dev += sums.agg(F.sum(F.log(size))).first()[0] or 0.0
+        dev += np.linalg.slogdet(a)[1] if order else 0.0
+    effect = F.col("s")[Y] / size
+    for col, value in zip(order, b):
+        effect = effect - F.lit(float(value)) * F.coalesce(F.col("s")[col], F.lit(0.0)) / size
+    cells = sums.select(*by, size.cast("bigint").alias("n"), effect.alias("effect"))
+    return AbsorbedFit(cells, order, b, np.linalg.inv(a) * sigma2 if order else np.zeros((0, 0)),
+                       sigma2, -dev / 2, int(round(n)), n_groups, n_cells, reml)
 
 
 def anova_icc(df: DataFrame, y: str, group: str) -> DataFrame:
@@ -339,7 +416,7 @@ def performance(spark: SparkSession, fits: dict[str, MixedFit]) -> DataFrame:
     data, prev = [], None
     for name, f in fits.items():
         row = [name, f.n, f.n_groups, f.n_parameters, f.loglik, f.aic, f.bic, f.icc,
-               f.r2_marginal, f.r2_conditional, f.sigma2, f.singular]
+               f.r2_marginal, f.r2_conditional, f.sigma2, f.singular, f.converged]
         if (prev is not None and prev.n == f.n and f.n_parameters > prev.n_parameters
                 and set(prev.names) <= set(f.names)
                 and set(prev.random_names) <= set(f.random_names)):
@@ -352,4 +429,4 @@ def performance(spark: SparkSession, fits: dict[str, MixedFit]) -> DataFrame:
     return spark.createDataFrame(
         data, "model string, n bigint, n_groups bigint, n_parameters bigint, loglik double, "
         "aic double, bic double, icc double, r2_marginal double, r2_conditional double, "
-        "sigma2 double, singular boolean, chi_sq double, p_value double")
+        "sigma2 double, singular boolean, converged boolean, chi_sq double, p_value double")

@@ -13,6 +13,8 @@ from ..operators.summaries import (cell_stats, common_sample, common_sample_summ
                                    group_shares, null_counts, null_patterns, rows_with_missing,
                                    small_cells)
 from .bindings import donors, table
+from .mixed_oracle import (chi2_upper_sql, covariances, f_upper_sql, fit_ctes, performance_sql,
+                           t_both_sides_sql)
 from .oracle_parts import DONORS, r6
 
 # Line items as the modelling table: price in thousands, two factors, two numeric columns.
@@ -409,36 +411,145 @@ def random_intercept(spark, sf):
     c = donors(spark, sf).select("static_score", "segment", "donor_id",
                                  F.coalesce("city", F.lit(7)).alias("city"))
     fit = mixed.random_intercept(c, "static_score", ["segment"], "city")
-    return _rounded(mixed.fixed_effects(spark, fit), "estimate", "std_error", "t_value",
-                    digits=4)
+    out = mixed.fixed_effects(spark, fit).withColumn("converged", F.lit(fit.converged))
+    return _rounded(out, "estimate", "std_error", "t_value", digits=4)
+
+
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+_INTERCEPT_SQL = f"""with recursive {DONORS}, src as (
+  select static_score as y, segment, coalesce(city, 7) as g from donors
+  where static_score is not null and segment is not null),
+{fit_ctes('f', 'src', ['1', *[f"segment = '{s}'" for s in _SEGMENTS[1:]]], 1, True)}
+select term, {_r('e', 4)} as estimate, {_r('se', 4)} as std_error, {_r('e / se', 4)} as t_value,
+  true as converged
+from (select unnest(['(Intercept)', {', '.join(f"'segment[{s}]'" for s in _SEGMENTS[1:])}]) as term,
+        unnest(list_transform(range(5), lambda i: sw[i * 6 + 6])) as e,
+        unnest(list_transform(range(5), lambda i: sqrt(sigma2 * sw[i * 7 + 1]))) as se from f)"""
+
+
+def _by_depot(spark, sf):
+    """Line items in 40 groups of suppliers, whose level and whose effect of the line status
+    differ."""
+    d = F.pmod("l_suppkey", F.lit(40))
+    y = (F.col("l_discount") * 10 + F.pmod(d * 17, F.lit(13)) / 5
+         + F.when(F.col("l_linestatus") == "O", F.pmod(d * 29, F.lit(11)) / 7).otherwise(0.0))
+    return table(spark, sf, "lineitem").select(
+        y.alias("y"), F.col("l_linestatus").alias("line"), F.col("l_quantity").alias("qty"),
+        F.concat(F.lit("d"), d.cast("string")).alias("depot"))
+
+
+_DEPOT = """m as (select l_discount * 10 + (l_suppkey % 40 * 17 % 13) / 5
+    + case when l_linestatus = 'O' then (l_suppkey % 40 * 29 % 11) / 7 else 0 end as y,
+  l_linestatus as line, l_quantity as qty, 'd' || l_suppkey % 40 as g from lineitem)"""
+_O = "line = 'O'"
+
+
+def icc_reml(spark, sf):
+    """Variance between and within groups and their intraclass correlation, by REML."""
+    fit = mixed.random_intercept(_by_depot(spark, sf), "y", [], "depot")
+    out = mixed.performance(spark, {"null": fit}).withColumn(
+        "var_group", F.lit(float(fit.random_cov[0, 0])))
+    return _rounded(out.select("n", "n_groups", "var_group", "sigma2", "icc", "converged"),
+                    "var_group", "sigma2", "icc", digits=4)
+
+
+_ICC_REML_SQL = f"""with recursive {_DEPOT}, {fit_ctes('f', 'm', ['1'], 1, True)},
+v as (select *, {covariances(1)[0]} as r from f)
+select n, n_groups, {_r('r * sigma2', 4)} as var_group, {_r('sigma2', 4)} as sigma2,
+  {_r('r / (1 + r)', 4)} as icc, true as converged from v"""
 
 
 def random_slope(spark, sf):
-    """Prices with intercept and status effect varying by brand."""
-    m = table(spark, sf, "lineitem").join(
-        table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
-        (F.col("l_extendedprice") / 1000).alias("y"), F.col("l_linestatus").alias("line"),
-        F.col("p_brand").alias("brand"))
-    fit = mixed.random_slope(m, "y", ["line"], "brand", "line")
-    return _rounded(mixed.variance_components(spark, fit), "covariance", digits=3)
+    """Intercept and status effect varying by group of suppliers."""
+    fit = mixed.random_slope(_by_depot(spark, sf), "y", ["line", "qty"], "depot", "line")
+    out = mixed.variance_components(spark, fit).withColumn("converged", F.lit(fit.converged))
+    return _rounded(out, "covariance", digits=3)
+
+
+_SLOPE_SQL = f"""with recursive {_DEPOT}, {fit_ctes('f', 'm', ['1', _O, 'qty'], 2, True)}
+select unnest(['(Intercept)', 'line[O]', 'line[O]', 'Residual']) as effect,
+  unnest(['(Intercept)', '(Intercept)', 'line[O]', 'Residual']) as with_effect,
+  unnest([{', '.join(_r(f'{c} * sigma2', 3) for c in covariances(2))}, {_r('sigma2', 3)}])
+    as covariance, true as converged from f"""
 
 
 def mixed_performance(spark, sf):
     """Maximum-likelihood fits of growing models with likelihood-ratio tests."""
-    m = table(spark, sf, "lineitem").join(
-        table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
-        (F.col("l_extendedprice") / 1000).alias("y"), F.col("l_linestatus").alias("line"),
-        F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("qty"),
-        F.col("p_brand").alias("brand"))
+    m = _by_depot(spark, sf)
     fits = {
-        "null": mixed.random_intercept(m, "y", [], "brand", reml=False),
-        "line": mixed.random_intercept(m, "y", ["line"], "brand", reml=False),
-        "line_slope": mixed.random_slope(m, "y", ["line"], "brand", "line", reml=False),
-        "line_qty_slope": mixed.random_slope(m, "y", ["line", "qty"], "brand", "line",
+        "null": mixed.random_intercept(m, "y", [], "depot", reml=False),
+        "line": mixed.random_intercept(m, "y", ["line"], "depot", reml=False),
+        "line_slope": mixed.random_slope(m, "y", ["line"], "depot", "line", reml=False),
+        "line_qty_slope": mixed.random_slope(m, "y", ["line", "qty"], "depot", "line",
                                              reml=False)}
-    out = mixed.performance(spark, fits)
-    return _rounded(out.select("model", "n", "n_groups", "n_parameters", "loglik", "aic", "bic"),
-                    "loglik", "aic", "bic", digits=2)
+    out = mixed.performance(spark, fits).drop("singular")
+    out = _rounded(out, "loglik", "aic", "bic", "chi_sq", digits=2)
+    return _rounded(out, "icc", "r2_marginal", "r2_conditional", "sigma2", "p_value", digits=4)
+
+
+def _performance_sql():
+    models = (("null", ["1"], 1), ("line", ["1", _O], 1), ("line_slope", ["1", _O], 2),
+              ("line_qty_slope", ["1", _O, "qty"], 2))
+    fits = ",\n".join(fit_ctes(f"f{i}", "m", x, q, False) for i, (_, x, q) in enumerate(models))
+    rows = " union all ".join(f"select {i} as no, '{name}' as model, * from "
+                              f"({performance_sql(f'f{i}', len(x), q)})"
+                              for i, (name, x, q) in enumerate(models))
+    two = ", ".join(f"{_r(c, 2)} as {c}" for c in ("loglik", "aic", "bic", "chi_sq"))
+    four = ", ".join(f"{_r(c, 4)} as {c}"
+                     for c in ("icc", "r2_marginal", "r2_conditional", "sigma2"))
+    return f"""with recursive {_DEPOT}, {fits},
+rows as ({rows}),
+tests as (select *, case when no > 0 then greatest(0, 2 * (loglik - lag(loglik)
+    over (order by no))) end as chi_sq,
+  n_parameters - lag(n_parameters) over (order by no) as df from rows)
+select model, n, n_groups, n_parameters::bigint as n_parameters, {two}, {four},
+  true as converged, {_r(chi2_upper_sql('chi_sq', 'df'), 4)} as p_value from tests"""
+
+
+def mixed_interaction(spark, sf):
+    """Status, group of suppliers and their interaction in the fixed part of a mixed model."""
+    fit = mixed.fit_absorbed(_by_depot(spark, sf), "y", "line", "depot", ["qty"])
+    out = fit.cells.withColumns({
+        "qty_estimate": F.lit(float(fit.coef[0])), "qty_error": F.lit(float(fit.cov[0, 0] ** 0.5)),
+        "sigma2": F.lit(fit.sigma2), "loglik": F.lit(fit.loglik)})
+    out = _rounded(out, "effect", "qty_estimate", "qty_error", "sigma2", digits=6)
+    return _rounded(out, "loglik", digits=3)
+
+
+_MIXED_INTERACTION_SQL = f"""with {_DEPOT},
+c as (select g, line, count(*) as n, avg(y) as ym, avg(qty) as xm, sum(qty * qty) as xx,
+        sum(qty * y) as xy, sum(y * y) as yy from m group by g, line),
+t as (select sum(n) as n, count(*) as k, sum(xx - n * xm * xm) as xx, sum(xy - n * xm * ym) as xy,
+        sum(yy - n * ym * ym) as yy, sum(ln(n)) as ld from c),
+f as (select *, xy / xx as b, (yy - xy * xy / xx) / (n - k - 1) as s2 from t)
+select g as depot, line, c.n, {_r('ym - b * xm', 6)} as effect, {_r('b', 6)} as qty_estimate,
+  {_r('sqrt(s2 / f.xx)', 6)} as qty_error, {_r('s2', 6)} as sigma2,
+  {_r('-((f.n - k - 1) * (ln(2 * pi() * s2) + 1) + ld + ln(f.xx)) / 2', 3)} as loglik from c, f"""
+
+
+def ols_p_values(spark, sf):
+    """t and p values of the coefficients of a model that explains little."""
+    out = reg.ols(_model(spark, sf), "disc", ["flag", "qty"])
+    return _rounded(out.select("term", "t_value", "p_value"), "t_value", "p_value", digits=5)
+
+
+_P_VALUE_SQL = f"""with {_MODEL}, f as (select 1.0::double as x0, (flag = 'N')::int::double as x1,
+  (flag = 'R')::int::double as x2, qty::double as x3, disc::double as y from m),
+e as (select [x0, x1, x2, x3, y] as v from f),
+s as (select p, sum(v[p // 5 + 1] * v[p % 5 + 1]) as s from e, range(25) as t(p) group by p),
+a as (select list_reduce([[0.0::double], [1.0::double], [2.0::double], [3.0::double]],
+  lambda a, v: list_transform(range(25), lambda e: case
+    when e // 5 = v[1]::bigint and e % 5 = v[1]::bigint then 1 / a[v[1]::bigint * 6 + 1]
+    when e // 5 = v[1]::bigint then a[e + 1] / a[v[1]::bigint * 6 + 1]
+    when e % 5 = v[1]::bigint then -a[e + 1] / a[v[1]::bigint * 6 + 1]
+    else a[e + 1] - a[(e // 5) * 5 + v[1]::bigint + 1] * a[v[1]::bigint * 5 + e % 5 + 1]
+      / a[v[1]::bigint * 6 + 1] end), list(s order by p)) as w, max(s) filter (where p = 0) as n
+  from s),
+b as (select unnest(['(Intercept)', 'flag[N]', 'flag[R]', 'qty']) as term, n - 4 as df,
+        unnest(list_transform(range(4), lambda i: w[i * 5 + 5] / sqrt(w[i * 6 + 1] * w[25]
+          / (n - 4)))) as t_value from a)
+select term, {_r('t_value', 5)} as t_value, {_r(t_both_sides_sql('t_value', 'df'), 5)} as p_value
+from b"""
 
 
 def entity_sample(spark, sf):
@@ -520,9 +631,12 @@ QUERIES = {
     "coefficient_comparison": (coefficient_comparison, _SIDE_SQL),
     "levene": (levene_query, _LEVENE_SQL),
     "icc": (icc_query, _ICC_SQL),
-    "random_intercept": (random_intercept, None),
-    "random_slope": (random_slope, None),
-    "mixed_performance": (mixed_performance, None),
+    "icc_reml": (icc_reml, _ICC_REML_SQL),
+    "random_intercept": (random_intercept, _INTERCEPT_SQL),
+    "random_slope": (random_slope, _SLOPE_SQL),
+    "mixed_performance": (mixed_performance, _performance_sql()),
+    "mixed_interaction": (mixed_interaction, _MIXED_INTERACTION_SQL),
+    "ols_p_values": (ols_p_values, _P_VALUE_SQL),
     "entity_sample": (entity_sample, _ENTITY_SQL),
     "row_sample": (row_sample, _ROW_SAMPLE_SQL),
     "most_frequent": (most_frequent, """select o_custkey, count(*) as n from orders
