@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+#: Places over which the rows of one group are dealt in a join with values of the group.
+SALTS = 16
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
@@ -16,3 +19,17 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     for i, k in enumerate(keys):
         cond = cond & F.col(k).eqNullSafe(F.col(f"_key{i}"))
     return left.join(renamed, cond, how).drop(*[f"_key{i}" for i in range(len(keys))])
+
+
+def join_per_group(rows: DataFrame, groups: DataFrame, by: Sequence[str], spread: Column,
+                   how: str = "inner") -> DataFrame:
+    """Columns of ``groups`` (one row per group, a written table) for every row of ``rows``.
+
+    A small ``groups`` is broadcast by its known size, and rows stay where they are. Otherwise each
+    group's row is sent to SALTS places and the rows of a group go to these places by the hash of
+    ``spread``, so that a group with most rows is shared out. NULL keys are a group.
+    """
+    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = null_safe_join(rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS))
+                                         .cast("int")), salted, [*by, "_salt"], how)
+    return out.drop("_salt")

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.tails import f_upper, t_two_sided
+from ..session import written
+from .joins import join_per_group
 from .moments import (INTERCEPT, Y, Terms, as_matrix, collect_bounded, cross_products,
                       ordered_terms, read_terms)
 from .quantiles import group_median
@@ -247,12 +249,13 @@ def simple_regression(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) ->
 
 
 def levene(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Levene's test around the median: one row (f_value, df1, df2, n)."""
-    data = df.dropna(subset=[value, group])
-    med = group_median(data, value, [group], "_med")
-    z = (data.join(med, group).groupBy(group)
-         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(F.col(value) - F.col("_med"))).alias("s"),
-              F.sum(F.pow(F.col(value) - F.col("_med"), F.lit(2))).alias("ss")))
+    """Levene's test around the median: one row (f_value, df1, df2, n). Rows meet the medians where
+    they lie, or spread over many places (:func:`join_per_group`)."""
+    data = df.dropna(subset=[value, group]).select(group, F.col(value).cast("double").alias("_v"))
+    med = written(group_median(data, "_v", [group], "_med"), "medians")
+    far = F.abs(F.col("_v") - F.col("_med"))
+    z = (join_per_group(data, med, [group], F.col("_v")).groupBy(group)
+         .agg(F.count(F.lit(1)).alias("n"), F.sum(far).alias("s"), F.sum(far * far).alias("ss")))
     t = z.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"),
               F.sum("ss").alias("ss"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
     between = F.col("b") - F.col("s") * F.col("s") / F.col("n")

@@ -11,7 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .joins import null_safe_join
+from ..session import written
+from .joins import join_per_group, null_safe_join
 from .quantiles import group_quantiles
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -83,20 +84,22 @@ def density(df: DataFrame, value: str, by: str, n: int = 512) -> DataFrame:
     """
     x = F.col(value).cast("double")
     data = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(by, x.alias("x"))
-    x_from, x_to = data.agg(F.min("x")).scalar(), data.agg(F.max("x")).scalar()
     stats = data.groupBy(by).agg(F.count(F.lit(1)).alias("size"), F.stddev_samp("x").alias("sd"),
-                                 F.min("x").alias("x_min"))
+                                 F.min("x").alias("x_min"), F.max("x").alias("x_max"))
+    stats = written(stats, "stats")
+    ends = stats.agg(F.min("x_min").alias("x_from"), F.max("x_max").alias("x_to"))  # one row
     q = group_quantiles(data, "x", [by], [0.25, 0.75], ["q1", "q3"])
     spread = F.least(F.col("sd"), (F.col("q3") - F.col("q1")) / 1.34)
     spread = (F.when(spread > 0, spread).when(F.col("sd") > 0, F.col("sd"))
               .when(F.col("x_min") != 0, F.abs("x_min")).otherwise(F.lit(1.0)))
     stats = (stats.where(F.col("size") > 1).join(q, by)
              .withColumn("bw", 0.9 * spread * F.pow(F.col("size").cast("double"), F.lit(-0.2)))
-             .withColumn("x_from", x_from).withColumn("x_to", x_to)
+             .join(F.broadcast(ends))
              .withColumn("grid_from", F.col("x_from") - 4 * F.col("bw"))
              .withColumn("step", (F.col("x_to") - F.col("x_from") + 8 * F.col("bw")) / (n - 1)))
+    stats = written(stats, "bandwidths")
     pos = (F.col("x") - F.col("grid_from")) / F.col("step")
-    binned = (data.join(stats, by)
+    binned = (join_per_group(data, stats, [by], F.col("x"))
               .withColumn("bin", F.floor(pos).cast("int"))
               .withColumn("right", pos - F.floor(pos))
               .groupBy(by, "bin").agg(F.count(F.lit(1)).alias("cnt"),

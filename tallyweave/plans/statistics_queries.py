@@ -381,15 +381,17 @@ union all select 'qty', null, {_r('b', 5)} from t"""
 
 def levene_query(spark, sf):
     out = reg.levene(table(spark, sf, "events"), "value", "event_type")
-    return _rounded(out, "f_value", digits=5)
+    out = out.withColumn("p_value", F.lit(reg.levene_p_value(out)))
+    return _rounded(out, "f_value", "p_value", digits=5)
 
 
 _LEVENE_SQL = f"""with z as (
   select event_type, abs(value - median(value) over (partition by event_type)) as z from events),
 g as (select event_type, count(*) as n, sum(z) as s, sum(z * z) as ss from z group by all),
-t as (select count(*) as k, sum(n) as n, sum(s) as s, sum(ss) as ss, sum(s * s / n) as b from g)
-select {_r('(b - s * s / n) / (k - 1) / ((ss - b) / (n - k))', 5)} as f_value,
-  (k - 1)::bigint as df1, (n - k)::bigint as df2, n::bigint as n from t"""
+t as (select count(*) as k, sum(n) as n, sum(s) as s, sum(ss) as ss, sum(s * s / n) as b from g),
+f as (select *, (b - s * s / n) / (k - 1) / ((ss - b) / (n - k)) as f_value from t)
+select {_r('f_value', 5)} as f_value, (k - 1)::bigint as df1, (n - k)::bigint as df2,
+  n::bigint as n, {_r(f_upper_sql('f_value', '(k - 1)', '(n - k)'), 5)} as p_value from f"""
 
 
 def icc_query(spark, sf):

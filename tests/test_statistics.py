@@ -53,6 +53,40 @@ def test_quantiles_are_exact(spark, rows):
         assert [r[c] for c in "abcde"] == pytest.approx(list(want), rel=1e-12, abs=1e-9)
 
 
+@pytest.mark.parametrize("few", [0, 3])
+def test_refined_histograms(spark, monkeypatch, few):
+    from tallyweave.operators import quantiles
+    monkeypatch.setattr(quantiles, "FEW", few)
+    monkeypatch.setattr(quantiles, "BINS", 4)
+    rng = random.Random(few)
+    rows = [("a", rng.gauss(0, 1) ** 9) for _ in range(300)]
+    rows += [("b", v) for v in (1e308, -1e308, 5e-324, 0.0, 1e-323, float("inf"), -1e-5, 3.0)]
+    rows += [(None, float(v % 3)) for v in range(50)] + [("c", 2.5), ("c", float("nan")),
+                                                         ("d", None)]
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    out = group_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(5), "v",
+                          ["g"], probs, list("abcdef")).collect()
+    assert {r["g"] for r in out} == {"a", "b", "c", None}
+    for r in out:
+        v = sorted(x for g, x in rows if g == r["g"] and x is not None and x == x)
+        for p, c in zip(probs, "abcdef"):
+            x = (len(v) - 1) * p
+            lo, hi = v[int(np.floor(x))], v[int(np.ceil(x))]
+            assert r[c] == (lo if lo == hi else lo + (hi - lo) * (x - np.floor(x)))
+
+
+def test_no_row_is_shuffled_by_group_alone(spark):
+    df = spark.range(30_000).select(F.lit("one").alias("g"), F.rand(1).alias("v"))
+    for out in (group_quantiles(df, "v", ["g"], [0.5], ["m"]), box_stats(df, "v", ["g"]),
+                reg.levene(df, "v", "g")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        physical = out._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("Range (0, 30000") <= 1, plan  # the last pass; others are written
+        assert "SortMergeJoin" not in physical
+        if "Range (0, 30000" in physical:  # rows meet values of their group in a broadcast join
+            assert "BroadcastHashJoin" in physical
+
+
 def test_ols_against_least_squares(data):
     df, rows = data
     fit, = reg.fit_ols(df, "y", ["f", "h", "x"])
