@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,6 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from tallyweave.llm.common import arrays_batch, documents, kept
 from tallyweave.session import written
 
+#: Fixed value: how byte-level tokenizers split a text before they merge.
+_SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Links above which a group is counted by ids instead of by occurrences.
 _WIDE = 1 << 16
 #: Id pairs of documents that form a chunk, and characters that are aligned at once.
@@ -36,8 +41,16 @@ class Side:
         raise NotImplementedError
 
 
+#: Characters of which all engines agree what is a letter, a number and white space.
+_PLAIN = re.compile("[\x00-\u024f\u2010-\u2027]*").fullmatch
+
+
 class ByteLevel(Side):
-    """A byte-level tokenizer file; it reads a blank and the text, special tokens as plain text."""
+    """A byte-level tokenizer file; it reads a blank and the text, special tokens as plain text.
+
+    Where the ids follow the order of the file's merges, texts of plain characters are merged by
+    a second engine with the file's vocabulary, which gives the same ids in less time.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,10 +68,38 @@ class ByteLevel(Side):
             known = all(c in value for c in token)
             tokens[i] = bytes(map(value.__getitem__, token)) if known else token.encode()
         super().__init__(tokens)
+        self._merge = self._second_engine(path)
+
+    def _second_engine(self, path: str) -> Callable[[str], list[int]] | None:
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        steps, special = told["model"]["merges"], {t["id"] for t in told["added_tokens"]}
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        split = told["pre_tokenizer"] or {}
+        if told["normalizer"] or {**plain, **split, "trim_offsets": True} != {
+                **plain, "trim_offsets": True}:
+            return None
+        ids = told["model"]["vocab"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in steps]
+        if [ids.get("".join(m)) for m in pairs] != list(range(256, 256 + len(pairs))):
+            return None
+        from tiktoken import Encoding
+        ranks = {b: i for i, b in enumerate(self.bytes) if i not in special}
+        return Encoding("of-file", pat_str=_SPLIT, mergeable_ranks=ranks,
+                        special_tokens={}).encode_ordinary
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._tokenizer.encode_batch_fast([" " + t for t in texts],
-                                                                 add_special_tokens=False)]
+        texts = [" " + t for t in texts]
+        if self._merge is None:
+            return self._all(texts)
+        out = [self._merge(t) if _PLAIN(t) else None for t in texts]
+        others = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(others, self._all([texts[i] for i in others])):
+            out[i] = ids
+        return out
+
+    def _all(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Pieces(Side):
@@ -89,7 +130,7 @@ def _tokens(ids: list[list[int]], lengths: np.ndarray) -> tuple[np.ndarray, pd.D
     The texts lie one behind the other, so that starts rise over the whole batch.
     """
     counts = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((t for one in ids for t in one), np.int64, int(counts.sum()))
+    flat = np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum()))
     ends = np.cumsum(lengths[flat])
     return flat, pd.DataFrame({"start": ends - lengths[flat], "end": ends,
                                "doc": np.repeat(np.arange(len(ids)), counts),
@@ -106,8 +147,9 @@ def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
                          by="doc", suffixes=("_a", "_b"))
     of_b = pd.merge_asof(b[["start", "doc", "token"]], a[["start", "doc", "token"]], on="start",
                          by="doc", suffixes=("_b", "_a"))
-    keys = np.union1d(*(x["token_a"].to_numpy() * (len(b) + 1) + x["token_b"].to_numpy()
-                        for x in (of_a, of_b)))
+    keys = np.sort(np.concatenate([x["token_a"].to_numpy() * (len(b) + 1) + x["token_b"].to_numpy()
+                                   for x in (of_a, of_b)]))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])]
     return keys // (len(b) + 1), keys % (len(b) + 1)
 
 

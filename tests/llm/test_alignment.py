@@ -88,6 +88,18 @@ def test_token_bytes():
     assert all(mine[i] == token for i, token in ranks.items())
 
 
+def test_both_engines_give_the_same_ids(tiny):
+    mine = ByteLevel(PATH_A)
+    assert mine._merge is not None
+    rng = np.random.default_rng(1)
+    plain = [chr(c) for c in range(0x250)] + [chr(c) for c in range(0x2010, 0x2028)]
+    texts = [t for _, t in tiny] + [t or "" for _, t in ODD]
+    texts += ["".join(rng.choice(plain, 300)) for _ in range(300)]
+    texts += ["".join(rng.choice([*" \n\t\u00a0\u0085ab'st1.", "ll", "\r\n"], 200))
+              for _ in range(300)]
+    assert mine.encode(texts) == mine._all([" " + t for t in texts])
+
+
 def frame(lengths, docs):
     ends = np.cumsum(lengths)
     return pd.DataFrame({"start": ends - lengths, "end": ends, "doc": docs,
