@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-FIXED_SCALE = 1_000_000
+#: Bits of a part of a number's fraction, and parts: whole number, then fractions.
+PART_BITS, PARTS = 26, 4
 
 
 def finite(x: Column) -> Column:
@@ -12,18 +13,54 @@ def finite(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
 
 
-def fixed_point(x: Column, scale: int = FIXED_SCALE) -> Column:
-    """``x`` as a whole number of 1/scale units (half up); NULL where ``x`` is not finite.
+def exact_parts(x: Column) -> list[Column]:
+    """``x`` as whole numbers p0, p1, ..: x = p0 + p1 / 2^26 + p2 / 2^52 + p3 / 2^78, all of the
+    sign of ``x``; NULL where ``x`` is no finite number.
 
-    Sums of these are exact, so they do not depend on the order in which partitions arrive.
+    Each step takes off the whole number and scales the rest by a power of two, which doubles do
+    without error. Numbers from 2^-25 on are split without a rest; of smaller ones, less than
+    2^-78 is left out.
     """
-    return F.floor(finite(x.cast("double")) * F.lit(float(scale)) + F.lit(0.5)).cast("bigint")
+    rest, parts = finite(x.cast("double")), []
+    for i in range(PARTS):
+        part = rest.cast("bigint")
+        parts.append(part)
+        if i + 1 < PARTS:
+            rest = (rest - part.cast("double")) * F.lit(float(1 << PART_BITS))
+    return parts
+
+
+def exact_sums(x: Column, name: str, weight: Column | None = None) -> list[Column]:
+    """Aggregates ``{name}_0..`` of the parts of ``x``, times a whole ``weight``.
+
+    Whole numbers add up alike in any order, so the sum does not depend on how rows are dealt.
+    """
+    return [F.sum(p if weight is None else p * weight).alias(f"{name}_{i}")
+            for i, p in enumerate(exact_parts(x))]
+
+
+def add_sums(name: str) -> list[Column]:
+    """Aggregates that add up ``{name}_0..`` of several rows."""
+    return [F.sum(f"{name}_{i}").alias(f"{name}_{i}") for i in range(PARTS)]
+
+
+def exact_total(name: str, parts: list[Column] | None = None) -> Column:
+    """The double nearest to the sum that ``{name}_0..`` hold, to the last bit or two."""
+    parts = list(parts or [F.col(f"{name}_{i}") for i in range(PARTS)])
+    for i in range(PARTS - 1, 0, -1):  # carry, so that every fraction is in [0, 2^26)
+        carry = F.shiftright(parts[i], PART_BITS)
+        parts[i] = parts[i] - F.shiftleft(carry, PART_BITS)
+        parts[i - 1] = parts[i - 1] + carry
+    high = (F.shiftleft(parts[1], PART_BITS) + parts[2]).cast("double")
+    unit = F.lit(float(1 << PART_BITS))
+    return parts[0].cast("double") + (high + parts[3].cast("double") / unit) / (unit * unit)
 
 
 def round_half_up(x: Column, digits: int = 6) -> Column:
-    """Round by ``floor(x * 10^d + 0.5)``; same bits in every engine with IEEE doubles."""
+    """Round by ``floor(x * 10^d + 0.5)``; a ten-millionth more than a half, so that halves go up
+    whatever their last bit is."""
     scale = F.lit(float(10 ** digits))
-    return F.floor(x * scale + F.lit(0.5)).cast("double") / scale
+    return F.floor(x * scale + F.lit(0.5000001)).cast("double") / scale
 
 
 def normalize_amount(amount: Column) -> Column:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
-from ..functions.numeric import FIXED_SCALE, finite, fixed_point, normalize_amount
+from ..functions.numeric import (PARTS, add_sums, exact_parts, exact_sums, exact_total, finite,
+                                 normalize_amount)
 from .joins import null_safe_join
 
 # Transaction types that count as contributions.
@@ -23,43 +24,53 @@ def multiplicity(df: DataFrame, key: str, expected: int) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != expected)
 
 
-def cycle_totals(donations: DataFrame, types: Sequence[str] = CONTRIBUTION_TYPES,
+def _cycle_sums(donations: DataFrame, types: Sequence[str] = CONTRIBUTION_TYPES,
                  donor: str = "donor_id", cycle: str = "cycle", amount: str = "amount",
                  score: str = "candidate_score", kind: str = "transaction_type") -> DataFrame:
-    """Weighted score sum and weight per donor and cycle, for donors' own cycles.
-
-    A donation that does not qualify adds weight 0, so its cycle is still known as an own one; a
-    score or amount that is no finite number is missing.
-    """
+    """``weight`` and the parts of the weighted score sum (``_s_0..``) per donor and cycle."""
     weight = normalize_amount(finite(F.col(amount).cast("double")))
     ok = finite(F.col(score).cast("double")).isNotNull() & weight.isNotNull() & F.col(kind).isin(*types)
     w = F.when(ok, weight).otherwise(F.lit(0)).cast("bigint")
     return (donations.where(F.col(donor).isNotNull() & F.col(cycle).isNotNull())
             .select(donor, cycle, w.alias("_w"),
-                    F.when(ok, fixed_point(F.col(score))).otherwise(F.lit(0)).alias("_s"))
+                    F.when(ok, F.col(score)).otherwise(F.lit(0.0)).alias("_x"))
             .groupBy(donor, cycle)
-            .agg(F.sum(F.col("_s") * F.col("_w")).alias("weighted_sum"),
-                 F.sum("_w").alias("weight")))
+            .agg(*exact_sums(F.col("_x"), "_s", F.col("_w")), F.sum("_w").alias("weight"),
+                 F.count(F.lit(1)).alias("_rows")))
+
+
+def cycle_totals(donations: DataFrame, types: Sequence[str] = CONTRIBUTION_TYPES,
+                 donor: str = "donor_id", cycle: str = "cycle", **cols: str) -> DataFrame:
+    """Weighted score sum and weight per donor and cycle, for donors' own cycles.
+
+    A donation that does not qualify adds weight 0, so its cycle is still known as an own one; a
+    score or amount that is no finite number is missing.
+    """
+    return _cycle_sums(donations, types, donor, cycle, **cols).select(
+        donor, cycle, exact_total("_s").alias("weighted_sum"), "weight")
 
 
 def dynamic_score(donations: DataFrame, types: Sequence[str] = CONTRIBUTION_TYPES,
                   donor: str = "donor_id", cycle: str = "cycle", step: int = 2,
-                  own_cycles_only: bool = True, **cols: str) -> DataFrame:
+                  own_cycles_only: bool = True, carried: Observation | None = None,
+                  **cols: str) -> DataFrame:
     """Score per donor and cycle over the cycle itself and the one before.
 
     score = sum(candidate score * bucketed amount) / sum(bucketed amount). Donations are summed
     per (donor, cycle) first, so what is carried into the next cycle is one row per donor-cycle,
     however many donations a donor made. ``own_cycles_only`` keeps cycles with an own donation,
-    qualified or not. Sums are in fixed point (see ``fixed_point``): order-free, and good for
-    about 6e10 donations of one donor in one cycle before ANSI overflow stops the job.
+    qualified or not. Sums are exact (see ``exact_parts``), whatever the order, and good for 2e9
+    donations of one donor in one cycle before ANSI overflow stops the job. ``carried`` observes
+    ``n_rows``, the donations counted in their own cycle and in the next.
     """
-    own = cycle_totals(donations, types, donor, cycle, **cols)
+    own = _cycle_sums(donations, types, donor, cycle, **cols)
     both = (own.withColumn("_own", F.explode(F.array(F.lit(1), F.lit(0))))
             .withColumn(cycle, F.when(F.col("_own") == 1, F.col(cycle))
                         .otherwise(F.col(cycle) + step)))
+    if carried is not None:
+        both = both.observe(carried, F.sum("_rows").alias("n_rows"))
     out = (both.groupBy(donor, cycle)
-           .agg(F.sum("weighted_sum").alias("weighted_sum"), F.sum("weight").alias("weight"),
-                F.max("_own").alias("_own"))
+           .agg(*add_sums("_s"), F.sum("weight").alias("weight"), F.max("_own").alias("_own"))
            .where(F.col("weight") > 0))
     if own_cycles_only:
         out = out.where(F.col("_own") == 1)
@@ -73,26 +84,25 @@ def dynamic_score_framed(donations: DataFrame, types: Sequence[str] = CONTRIBUTI
 
     The window runs over donor-cycle totals (one row per cycle), never over donations.
     """
-    own = cycle_totals(donations, types, donor, cycle, **cols)
+    own = _cycle_sums(donations, types, donor, cycle, **cols)
     frame = Window.partitionBy(donor).orderBy(cycle).rangeBetween(-step, 0)
-    out = (own.withColumn("_ws", F.sum("weighted_sum").over(frame))
-           .withColumn("_wt", F.sum("weight").over(frame))
-           .select(donor, cycle, F.col("_ws").alias("weighted_sum"), F.col("_wt").alias("weight"))
-           .where(F.col("weight") > 0))
+    out = own.select(donor, cycle, F.sum("weight").over(frame).alias("weight"),
+                     *[F.sum(f"_s_{i}").over(frame).alias(f"_s_{i}") for i in range(PARTS)]
+                     ).where(F.col("weight") > 0)
     return _with_score(out).select(donor, cycle, "weighted_sum", "weight", "dynamic_score")
 
 
 def _with_score(df: DataFrame) -> DataFrame:
-    return df.withColumn("dynamic_score", F.col("weighted_sum").cast("double")
-                         / F.col("weight").cast("double") / F.lit(float(FIXED_SCALE)))
+    return df.withColumn("weighted_sum", exact_total("_s")).withColumn(
+        "dynamic_score", F.col("weighted_sum") / F.col("weight").cast("double"))
 
 
 def group_means(df: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
-    """Mean per group in fixed point; NULL values are skipped, NULL keys form a group."""
-    v = fixed_point(F.col(value))
-    return df.groupBy(*keys).agg(
-        (F.sum(v).cast("double") / F.count(v).cast("double") / F.lit(float(FIXED_SCALE)))
-        .alias(name))
+    """Mean per group by exact sums; NULL values are skipped, NULL keys form a group."""
+    sums = df.groupBy(*keys).agg(*exact_sums(F.col(value), "_s"),
+                                 F.count(finite(F.col(value).cast("double"))).alias("_n"))
+    return sums.select(*keys, F.try_divide(exact_total("_s"), F.col("_n").cast("double"))
+                       .alias(name))
 
 
 def local_means(df: DataFrame, means: dict[str, tuple[str, Sequence[str]]],
@@ -110,20 +120,19 @@ def local_means(df: DataFrame, means: dict[str, tuple[str, Sequence[str]]],
     src = df if base is None else base
     aggs = []
     for i, v in enumerate(values):
-        x = fixed_point(F.col(v))
-        aggs += [F.sum(x).alias(f"_s{i}"), F.count(x).alias(f"_c{i}")]
+        aggs += [*exact_sums(F.col(v), f"_s{i}"),
+                 F.count(exact_parts(F.col(v))[0]).alias(f"_c{i}")]
     cells = src.groupBy(*keys).agg(*aggs)
     out = list(keys)
     for name, (v, ks) in means.items():
         i = values.index(v)
         w = Window.partitionBy(*ks)
-        total = F.sum(f"_s{i}").over(w).cast("double")
+        total = exact_total("", [F.sum(f"_s{i}_{p}").over(w) for p in range(PARTS)])
         count = F.sum(f"_c{i}").over(w).cast("double")
         known = F.lit(True)
         for k in ks:
             known = known & F.col(k).isNotNull()
-        out.append(F.when(known & (count > 0), total / count / F.lit(float(FIXED_SCALE)))
-                   .alias(name))
+        out.append(F.when(known & (count > 0), total / count).alias(name))
     return null_safe_join(df, cells.select(*out), keys, "left")
 
 

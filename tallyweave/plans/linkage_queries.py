@@ -155,6 +155,31 @@ select strict_dist, count(*) as n, count(*) filter (where distance <= strict_dis
 from labelled cross join t group by strict_dist"""
 
 
+def threshold_review(spark, sf):
+    """Names that the strict threshold rejects, with the nearest register name at any distance."""
+    _, m = _matches(spark, sf, 0.05, 1.0)
+    return m.where(F.col("status") != "auto_accept").select(
+        "employer_raw", "matched_name", "match_type", "cik",
+        round_half_up(F.col("distance")).alias("distance"))
+
+
+_REVIEW_ALL_SQL = f"""{_BASE}, {matches_sql(0.05, 1.0)}
+select employer_raw, matched_name, match_type, cik, {r6('distance')} as distance from matches
+where status <> 'auto_accept'"""
+
+
+def long_names(spark, sf):
+    """Register names of 40 letters and more that are alike: part names with their types, brands,
+    containers and comments."""
+    p = table(spark, sf, "part")
+    p = p.select(normalize_name(F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_name",
+                                            F.reverse("p_type"))).alias("norm")).distinct()
+    p = p.where(F.length("norm") >= 40)
+    pairs = similar_pairs(p.withColumnRenamed("norm", "query_norm"), p, 0.05)
+    return pairs.where(F.col("query_norm") < F.col("norm")).select(
+        "query_norm", "norm", round_half_up(F.col("distance")).alias("distance"))
+
+
 def occupation_class_query(spark, sf):
     """Order priorities as occupations; one priority counts as unknown."""
     o = table(spark, sf, "orders").select(
@@ -215,6 +240,7 @@ QUERIES = {
     "review_queue": (review_queue_query, _REVIEW_SQL),
     "coverage_share": (coverage_share_query, _SHARE_SQL),
     "threshold_sweep": (threshold_sweep_query, _SWEEP_SQL),
+    "threshold_review": (threshold_review, _REVIEW_ALL_SQL),
     "occupation_class": (occupation_class_query, _OCCUPATION_SQL),
     "document_classes": (document_classes, _DOCUMENT_SQL),
     "tech_spot_check": (tech_spot_check, _SPOT_SQL),

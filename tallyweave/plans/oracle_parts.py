@@ -2,11 +2,7 @@
 
 
 def r6(x: str) -> str:
-    return f"floor(({x}) * 1000000.0 + 0.5) / 1000000.0"
-
-
-def fx(x: str) -> str:
-    return f"cast(floor(({x}) * 1000000.0 + 0.5) as bigint)"
+    return f"floor(({x}) * 1000000.0 + 0.5000001) / 1000000.0"
 
 
 BUCKET = ("case when amount is null then null when amount <= 0 then 0 "
@@ -27,14 +23,12 @@ DONORS = """donors as (
   from customer)"""
 
 DYN = f"""bucketed as (
-  select donor_id, cycle, {BUCKET} as w, transaction_type, {fx('candidate_score')} as s
-  from don),
+  select donor_id, cycle, {BUCKET} as w, transaction_type, candidate_score as s from don),
 doubled as (
   select * from bucketed union all select * replace (cycle + 2 as cycle) from bucketed),
 dyn as (
-  select d.donor_id, d.cycle, cast(sum(s * w) as bigint) as weighted_sum,
-         cast(sum(w) as bigint) as weight,
-         cast(sum(s * w) as double) / cast(sum(w) as double) / 1000000.0 as dynamic_score
+  select d.donor_id, d.cycle, sum(s * w) as weighted_sum, cast(sum(w) as bigint) as weight,
+         sum(s * w) / sum(w) as dynamic_score
   from doubled d
   where w > 0 and s is not null and transaction_type in ('A', 'N')
     and exists (select 1 from don o where o.donor_id = d.donor_id and o.cycle = d.cycle)

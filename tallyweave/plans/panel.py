@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..functions.text import contains_any, ENGINEER_WORDS, MANAGER_WORDS, occupation_class
 from ..operators.crosswalk import attach_industry, is_tech_49
-from ..operators.linkage import attach_matches, keep_accepted, match_names
+from ..operators.linkage import accepted, attach_matches, keep_accepted, match_names
+from ..operators.quality import enforce, report
 from ..operators.rows import sample_entities
 from ..operators.scoring import CONTRIBUTION_TYPES, dynamic_score, local_means
 from ..session import written
@@ -40,14 +41,17 @@ def build_panel(contributions: DataFrame, register: DataFrame, crosswalk: DataFr
     ``register`` comes from ``build_register``. ``grain="donor_cycle"`` keeps distinct rows.
     Means by place use the same place and cycle a row has. Linked and scored donations (accepted
     employers only, a small part of the source) are written to the shared folder, because scores,
-    means and the panel read them again.
+    means and the panel read them again. The writes count their rows, and a join that multiplies
+    donations stops the build.
     """
     c = contributions.where(F.col("cycle").isin(cycles_needed(targets)))
     if sample:
         c = sample_entities(c, "bonica_cid", sample, seed)
     c = c.where(F.col("contributor_type") == "I")
-    matches = written(match_names(c, register, "contributor_employer", strict, loose), "matches")
-    linked = keep_accepted(c, matches, "contributor_employer")
+    matches = written(match_names(c, register, "contributor_employer", strict, loose,
+                                  rows="n_rows"), "matches")
+    expected = accepted(matches).agg(F.sum("n_rows")).first()[0] or 0
+    linked = keep_accepted(c, matches.drop("n_rows"), "contributor_employer")
     linked = attach_industry(linked, crosswalk, only_listed)
     linked = linked.select(
         "bonica_cid", "cycle", "transaction_type", "amount", "candidate_cfscore",
@@ -58,10 +62,18 @@ def build_panel(contributions: DataFrame, register: DataFrame, crosswalk: DataFr
         "ff49_name", "ff49_abbr", "ff12_name", is_tech_49(F.col("ff49_abbr"))
         .alias("ff49_is_tech"),
         "contributor_city", "contributor_zipcode", "contributor_cfscore", "contributor_gender")
-    linked = written(linked, "linked")
-    scores = dynamic_score(linked, types, donor="bonica_cid", score="candidate_cfscore").select(
+    seen, carried, kept = Observation("linked"), Observation("carried"), Observation("scored")
+    known = F.col("bonica_cid").isNotNull() & F.col("cycle").isNotNull()
+    linked = written(linked.observe(seen, F.count(F.lit(1)).alias("n"),
+                                    F.count_if(known).alias("n_known")), "linked")
+    scores = dynamic_score(linked, types, donor="bonica_cid", score="candidate_cfscore",
+                           carried=carried).select(
         "bonica_cid", "cycle", F.col("dynamic_score").alias("cfscore_dyn_cycle"))
-    scored = written(linked.join(scores, ["bonica_cid", "cycle"]), "scored")
+    scored = written(linked.join(scores, ["bonica_cid", "cycle"]).observe(
+        kept, F.count(F.lit(1)).alias("n")), "scored")
+    _check_rows(spark=c.sparkSession, expected=expected, linked=seen.get["n"],
+                known=seen.get["n_known"], carried=carried.get["n_rows"] or 0,
+                scored=kept.get["n"])
     panel = local_means(scored, {
         "mean_cfscore_per_city": ("contributor_cfscore", ["contributor_city"]),
         "mean_cfscore_per_zipcode": ("contributor_cfscore", ["contributor_zipcode"]),
@@ -72,6 +84,19 @@ def build_panel(contributions: DataFrame, register: DataFrame, crosswalk: DataFr
     return out.distinct() if grain == "donor_cycle" else out
 
 
+def _check_rows(spark: SparkSession, expected: int, linked: int, known: int, carried: int,
+                scored: int) -> None:
+    """Stop if a join has multiplied or lost donations: each with an accepted employer is linked
+    once, counts twice in the scores (in its own cycle and the next), and has one score at most.
+
+    The counts were taken by the writes themselves.
+    """
+    rows = [("donations linked as often as their employer was accepted", abs(linked - expected)),
+            ("donations carried into two cycles", abs(carried - 2 * known)),
+            ("donations with more than one score", max(scored - known, 0))]
+    enforce(report([spark.createDataFrame(rows, "name string, violations bigint")], "fail"))
+
+
 def write_panel(panel: DataFrame, root: str) -> None:
     write_by_cycle(panel, root)
 

@@ -10,16 +10,16 @@ from ..operators.scoring import (carry_forward, cycle_totals, densify, dynamic_s
                                  multiplicity)
 from ..session import written
 from .bindings import TYPES, donations, donors, table
-from .oracle_parts import BUCKET, DON, DONORS, DYN, fx, r6
-
-_SCORE_COLUMNS = ("donor_id", "cycle", "weighted_sum", "weight")
+from .oracle_parts import BUCKET, DON, DONORS, DYN, r6
 
 _SCORE_SQL = f"""with {DON}, {DYN}
-select donor_id, cycle, weighted_sum, weight, {r6('dynamic_score')} as dynamic_score from dyn"""
+select donor_id, cycle, {r6('weighted_sum')} as weighted_sum, weight,
+  {r6('dynamic_score')} as dynamic_score from dyn"""
 
 
 def _scored(df):
-    return df.select(*_SCORE_COLUMNS,
+    return df.select("donor_id", "cycle", round_half_up(F.col("weighted_sum"))
+                     .alias("weighted_sum"), "weight",
                      round_half_up(F.col("dynamic_score")).alias("dynamic_score"))
 
 
@@ -79,13 +79,14 @@ group by o_orderkey having count(*) <> 2"""
 
 
 def own_cycle_totals(spark, sf):
-    return cycle_totals(donations(spark, sf), TYPES)
+    return cycle_totals(donations(spark, sf), TYPES).withColumn(
+        "weighted_sum", round_half_up(F.col("weighted_sum")))
 
 
 _TOTALS_SQL = f"""with {DON}, w as (
-  select donor_id, cycle, {fx('candidate_score')} as s,
+  select donor_id, cycle, candidate_score as s,
          case when transaction_type in ('A', 'N') then {BUCKET} else 0 end as w from don)
-select donor_id, cycle, cast(sum(s * w) as bigint) as weighted_sum,
+select donor_id, cycle, {r6('coalesce(sum(s * w), 0)')} as weighted_sum,
        cast(sum(w) as bigint) as weight from w group by all"""
 
 _MEANS = {"mean_static_city": ("static_score", ["city"]),
@@ -104,9 +105,7 @@ def local_means_query(spark, sf):
 
 
 def _mean_over(value: str, keys: str, guard: str) -> str:
-    return r6(f"case when {guard} is not null then cast(sum({fx(value)}) over (partition by "
-              f"{keys}) as double) / cast(count({value}) over (partition by {keys}) as double)"
-              f" / 1000000.0 end")
+    return r6(f"case when {guard} is not null then avg({value}) over (partition by {keys}) end")
 
 
 _LOCAL_SQL = f"""with {DON}, {DYN}, {DONORS},
@@ -129,8 +128,7 @@ def local_means_by_cycle(spark, sf):
 
 
 _BY_CYCLE_SQL = f"""with {DON}, {DYN}, {DONORS}
-select city, cycle, {r6("cast(sum(" + fx('dynamic_score') + ") as double) / "
-                        "cast(count(*) as double) / 1000000.0")} as mean_dynamic
+select city, cycle, {r6('avg(dynamic_score)')} as mean_dynamic
 from dyn join donors using (donor_id) group by all"""
 
 

@@ -37,7 +37,7 @@ def _rounded(df, *cols, digits=6):
 
 def _r(x, digits):
     s = f"{10 ** digits}.0"
-    return f"floor(({x}) * {s} + 0.5) / {s}"
+    return f"floor(({x}) * {s} + 0.5000001) / {s}"
 
 
 def cell_stats_query(spark, sf):

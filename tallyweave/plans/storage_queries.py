@@ -18,11 +18,12 @@ from ..session import scratch_path, written
 from ..sources import datasets
 from ..sources.delimited import (cycle_of_file, logical_records, parse_records, read_lines,
                                  repair_lines, typed_projection)
-from ..streaming.ingest import (latest_scores, running_scores, stream_csv_ingest, write_updates)
+from ..streaming.ingest import (latest_scores, running_scores, stream_contributions,
+                                write_updates)
 from .bindings import (TYPES, company_names, contributions, crosswalk, donations, donors,
                        ENGINEER, MANAGER, register_rows, table)
 from ..operators.linkage import build_register
-from .oracle_parts import (COMPANIES, CROSSWALK, DEFS, DON, DONORS, DYN, REGISTER, fx,
+from .oracle_parts import (COMPANIES, CROSSWALK, DEFS, DON, DONORS, DYN, REGISTER,
                            matches_sql, r6)
 from .panel import PANEL_COLUMNS, build_panel, process_contributors, write_panel
 
@@ -337,9 +338,8 @@ _PARTS_SQL = "select o_orderkey, o_orderstatus, o_totalprice from orders"
 
 
 def _mean(value, keys):
-    return r6(f"case when {keys[0]} is not null then cast(sum({fx(value)}) over (partition by "
-              f"{', '.join(keys)}) as double) / cast(count({value}) over (partition by "
-              f"{', '.join(keys)}) as double) / 1000000.0 end")
+    return r6(f"case when {keys[0]} is not null then avg({value}) over (partition by "
+              f"{', '.join(keys)}) end")
 
 
 _PANEL_SQL = f"""with {COMPANIES}, {REGISTER}, all_don as (select * from ({DON[8:-1]})),
@@ -434,41 +434,27 @@ def stream_scores(spark, sf):
     out = scratch_path(spark, "updates")
     write_updates(running_scores(d, TYPES), out, scratch_path(spark, "chk")).awaitTermination()
     return latest_scores(spark, out).select(
-        "donor_id", "cycle", "weighted_sum", "weight",
+        "donor_id", "cycle", round_half_up(F.col("weighted_sum")).alias("weighted_sum"), "weight",
         round_half_up(F.col("dynamic_score")).alias("dynamic_score"))
 
 
 _STREAM_SQL = f"""with {DON}, {DYN}
-select donor_id, cycle, weighted_sum, weight, {r6('dynamic_score')} as dynamic_score from dyn"""
+select donor_id, cycle, {r6('weighted_sum')} as weighted_sum, weight,
+  {r6('dynamic_score')} as dynamic_score from dyn"""
 
 
 def stream_ingest(spark, sf):
-    """CSV files picked up as a stream and stored by cycle."""
-    o = table(spark, sf, "orders")
-    year = F.year("o_orderdate")
-    src, out = scratch_path(spark, "incoming"), scratch_path(spark, "stored")
-    (o.select(F.col("o_orderkey").cast("string").alias("transaction_id"),
-              F.when(F.col("o_orderkey") % 11 == 0, F.lit("n/a")).otherwise(
-                  F.col("o_totalprice").cast("string")).alias("amount"),
-              F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
-              F.col("o_custkey").cast("string").alias("bonica_cid"),
-              F.when(F.col("o_orderkey") % 19 == 0, F.lit("x")).otherwise(
-                  (year + year % 2).cast("string")).alias("cycle"),
-              F.concat(F.lit('a "quoted", '), F.col("o_orderpriority"))
-              .alias("contributor_employer"))
-     .write.option("header", True).option("escape", '"').csv(src))
-    header = ["transaction_id", "amount", "date", "bonica_cid", "cycle", "contributor_employer"]
-    schema = StructType(ORDERS_SCHEMA.fields[:5])
-    stream_csv_ingest(spark, src, header, schema, out,
-                      scratch_path(spark, "chk")).awaitTermination()
-    stored = StructType([*schema.fields, StructField("cycle", LongType())])
-    return datasets.read_by_cycle(spark, out, stored)
-
-
-_STREAM_INGEST_SQL = f"""with {_DIRTY} select cast(k as varchar) as transaction_id,
-  case when k % 11 <> 0 then o_totalprice end as amount, cast(o_orderdate as date) as date,
-  o_custkey as bonica_cid, 'a "quoted", ' || o_orderpriority as contributor_employer, c as cycle
-from o where k % 19 <> 0"""
+    """The damaged files picked up as a stream, two to a batch; a second run finds only the files
+    that have come since."""
+    pattern = write_dirty_orders(spark, sf)
+    root, ledger = scratch_path(spark, "stored"), scratch_path(spark, "ledger")
+    checkpoint = scratch_path(spark, "chk")
+    for files in (pattern.replace("file=*", "file=*6-*"), pattern):
+        stream_contributions(spark, files, root, ledger, checkpoint, ORDERS_SCHEMA,
+                             files_per_batch=2).awaitTermination()
+    stored = StructType([*ORDERS_SCHEMA.fields, StructField("cycle", LongType())])
+    return datasets.read_by_cycle(spark, root, stored)
+
 
 QUERIES = {
     "ingest_repair": (ingest_repair, _INGEST_SQL),
@@ -488,5 +474,5 @@ QUERIES = {
     "panel": (panel, _PANEL_SQL),
     "contributors_processed": (contributors_processed, _CONTRIBUTORS_SQL),
     "stream_scores": (stream_scores, _STREAM_SQL),
-    "stream_ingest": (stream_ingest, _STREAM_INGEST_SQL),
+    "stream_ingest": (stream_ingest, _INGEST_SQL),
 }

@@ -176,7 +176,16 @@ def ingest_contributions(spark: SparkSession, pattern: str, root: str, ledger_pa
     ledger, the others are published. Compressed text is read once, to stage its lines; headers
     of all files come from one job, and only the distinct ones reach the driver.
     """
-    todo = written(new_files(spark, pattern, ledger_path, root, force), "todo")
+    convert_files(spark, new_files(spark, pattern, ledger_path, root, force), root, ledger_path,
+                  schema)
+    return last_runs(spark, ledger_path)
+
+
+def convert_files(spark: SparkSession, files: DataFrame, root: str, ledger_path: str,
+                  schema: StructType = CONTRIBUTIONS) -> None:
+    """Convert ``files`` (file, bytes, modified) and add their rows to the ledger; see
+    :func:`ingest_contributions`."""
+    todo = written(files, "todo")
     names = [r["file"] for r in todo.select("file").collect()]  # file names, not rows
     if names:
         needed = {f.metadata["source_name"] for f in schema} | {"cycle"}
@@ -210,7 +219,6 @@ def ingest_contributions(spark: SparkSession, pattern: str, root: str, ledger_pa
                             source_name(F.col("file")).alias("source")))
             write_by_cycle(good, root, parts=("cycle", "source"))
         entries.write.mode("append").parquet(ledger_path)
-    return last_runs(spark, ledger_path)
 
 
 def read_contributors(spark: SparkSession, path: str,

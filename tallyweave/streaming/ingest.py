@@ -4,30 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from ..functions.numeric import FIXED_SCALE, finite, fixed_point, normalize_amount
+from ..functions.numeric import PARTS, exact_sums, exact_total, finite, normalize_amount
 from ..operators.scoring import CONTRIBUTION_TYPES
-from ..sources.delimited import typed_projection
+from ..session import written
+from ..sources.datasets import convert_files, last_runs
+from ..sources.schemas import CONTRIBUTIONS
 
+#: Parts of the table of current scores; a batch rewrites those that hold one of its donors.
+BUCKETS = 64
 
-def stream_csv_ingest(spark: SparkSession, folder: str, header: Sequence[str],
-                      schema: StructType, out: str, checkpoint: str) -> StreamingQuery:
-    """Convert files as they arrive, each exactly once, then stop (availableNow).
 
-    ``header`` lists the file's columns in plain names; rows whose cycle cannot be read are
-    dropped.
+def stream_contributions(spark: SparkSession, pattern: str, root: str, ledger_path: str,
+                         checkpoint: str, schema: StructType = CONTRIBUTIONS,
+                         files_per_batch: int = 100) -> StreamingQuery:
+    """Convert files as they arrive, then stop (availableNow).
+
+    The stream carries file names; each batch takes whole files through the same steps as
+    ``ingest_contributions``: encoding, backslashes, records that span lines, own headers, checks
+    against the cycle in the file's name, a part of the table per file. The ledger is the commit:
+    a batch that runs again leaves out what it lists as converted, and a file written without
+    being listed is replaced by itself.
     """
-    text = StructType([StructField(c, StringType()) for c in header])
-    raw = (spark.readStream.schema(text).option("header", True).option("escape", '"')
-           .option("multiLine", True).csv(folder))
-    rows = typed_projection(
-        raw.withColumn("_cycle", F.col("cycle").try_cast("bigint")), schema, ("_cycle",))
-    rows = rows.where(F.col("_cycle").isNotNull()).withColumnRenamed("_cycle", "cycle")
-    return (rows.writeStream.format("parquet").partitionBy("cycle").option("path", out)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    files = (spark.readStream.format("binaryFile")
+             .schema("path string, modificationTime timestamp, length long, content binary")
+             .option("maxFilesPerTrigger", files_per_batch).load(pattern)
+             .select(F.col("path").alias("file"), F.col("length").alias("bytes"),
+                     F.col("modificationTime").alias("modified")))
+
+    def convert(batch: DataFrame, number: int) -> None:
+        todo, known = batch, last_runs(batch.sparkSession, ledger_path)
+        if known is not None:
+            done = known.where("status = 'converted'").select("file", "bytes", "modified")
+            todo = todo.join(done, ["file", "bytes", "modified"], "left_anti")
+        convert_files(batch.sparkSession, todo, root, ledger_path, schema)
+
+    return (files.writeStream.foreachBatch(convert).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 def running_scores(donations: DataFrame, types: Sequence[str] = CONTRIBUTION_TYPES,
@@ -36,28 +53,46 @@ def running_scores(donations: DataFrame, types: Sequence[str] = CONTRIBUTION_TYP
                    step: int = 2) -> DataFrame:
     """Streaming twin of ``dynamic_score``: totals per donor and cycle, updated with each batch.
 
-    State is one row per donor and cycle. Cycles close by calendar, so there is no watermark.
+    State is one row per donor and cycle, with the exact parts of the weighted sum (``_s_0..``).
+    Cycles close by calendar, so there is no watermark.
     """
     weight = normalize_amount(finite(F.col(amount).cast("double")))
     ok = finite(F.col(score).cast("double")).isNotNull() & weight.isNotNull() & F.col(kind).isin(*types)
     w = F.when(ok, weight).otherwise(F.lit(0)).cast("bigint")
-    s = F.when(ok, fixed_point(F.col(score))).otherwise(F.lit(0))
     rows = (donations.where(F.col(donor).isNotNull() & F.col(cycle).isNotNull())
-            .select(donor, F.col(cycle), w.alias("_w"), (s * w).alias("_sw"),
+            .select(donor, F.col(cycle), w.alias("_w"),
+                    F.when(ok, F.col(score)).otherwise(F.lit(0.0)).alias("_x"),
                     F.explode(F.array(F.lit(0), F.lit(step))).alias("_shift"))
-            .select(donor, (F.col(cycle) + F.col("_shift")).alias(cycle), "_w", "_sw",
+            .select(donor, (F.col(cycle) + F.col("_shift")).alias(cycle), "_w", "_x",
                     (F.col("_shift") == 0).cast("int").alias("_own")))
-    return rows.groupBy(donor, cycle).agg(F.sum("_sw").alias("weighted_sum"),
+    return rows.groupBy(donor, cycle).agg(*exact_sums(F.col("_x"), "_s", F.col("_w")),
                                           F.sum("_w").alias("weight"),
                                           F.max("_own").alias("own_cycle"))
 
 
-def write_updates(totals: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Append each batch's changed rows with their batch number."""
+def write_updates(totals: DataFrame, out: str, checkpoint: str, donor: str = "donor_id",
+                  cycle: str = "cycle", buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep the table of current totals at ``out``, one row per donor and cycle.
+
+    A batch brings the new totals of the keys it changed. They replace the old ones in the parts
+    of the table, by hash of the donor, that hold one of them; other parts are not read. Totals
+    are no increments, so a batch that runs again after a failure gives the same table.
+    """
+    bucket = F.pmod(F.xxhash64(donor), F.lit(buckets)).cast("int")
 
     def save(batch: DataFrame, number: int) -> None:
-        (batch.withColumn("batch", F.lit(number)).write.mode("overwrite")
-         .parquet(f"{out}/batch_no={number}"))
+        spark = batch.sparkSession
+        new = written(batch.withColumn("bucket", bucket), "batch")
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # <= buckets
+        if not touched:
+            return
+        try:
+            old = spark.read.schema(new.schema).parquet(out).where(F.col("bucket").isin(touched))
+            merged = new.unionByName(old.join(new.select(donor, cycle), [donor, cycle], "left_anti"))
+        except AnalysisException:  # nothing there yet
+            merged = new
+        (written(merged, "merged").hint("rebalance", "bucket").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out))
 
     return (totals.writeStream.outputMode("update").foreachBatch(save)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -65,12 +100,8 @@ def write_updates(totals: DataFrame, out: str, checkpoint: str) -> StreamingQuer
 
 def latest_scores(spark: SparkSession, out: str, donor: str = "donor_id",
                   cycle: str = "cycle") -> DataFrame:
-    """Current score per donor and cycle from the batches written so far."""
-    rows = spark.read.parquet(out)
-    last = rows.groupBy(donor, cycle).agg(
-        F.max_by(F.struct("weighted_sum", "weight", "own_cycle"), "batch").alias("r"))
-    return (last.select(donor, cycle, "r.*")
-            .where((F.col("own_cycle") == 1) & (F.col("weight") > 0))
-            .select(donor, cycle, "weighted_sum", "weight",
-                    (F.col("weighted_sum").cast("double") / F.col("weight").cast("double")
-                     / F.lit(float(FIXED_SCALE))).alias("dynamic_score")))
+    """Current score per donor and cycle."""
+    total = exact_total("_s", [F.col(f"_s_{i}") for i in range(PARTS)])
+    return (spark.read.parquet(out).where((F.col("own_cycle") == 1) & (F.col("weight") > 0))
+            .select(donor, cycle, total.alias("weighted_sum"), "weight")
+            .withColumn("dynamic_score", F.col("weighted_sum") / F.col("weight").cast("double")))

@@ -1,11 +1,14 @@
 import math
+import random
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tallyweave.functions.jaro import jaro_batch, jaro_distance
-from tallyweave.functions.numeric import (cycle_of_year, digits_to_int, finite, fixed_point,
+from tallyweave.functions.numeric import (add_sums, cycle_of_year, digits_to_int, exact_parts,
+                                          exact_sums, exact_total, finite,
                                           lenient_bigint, normalize_amount, zero_pad)
 from tallyweave.functions.tails import chi2_upper, f_upper, t_two_sided
 from tallyweave.functions.text import normalize_name, occupation_class, squish
@@ -26,10 +29,25 @@ def test_amount_buckets(spark):
 
 def test_values_that_are_no_finite_number_are_missing(spark):
     df = one(spark, [0.5, float("nan"), float("inf"), None], "double")
-    assert column(df, fixed_point(F.col("v"))) == [500000, None, None, None]
+    assert column(df, exact_parts(F.col("v"))[1]) == [1 << 25, None, None, None]
     assert column(df, finite(F.col("v"))) == [0.5, None, None, None]
 
 
+def test_sums_are_exact_in_any_order(spark):
+    rng = random.Random(4)
+    values = [rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.randrange(-6, 9) for _ in range(3000)]
+    values += [0.1] * 10 + [-0.1] * 7 + [1e15, -1e15, 2.0 ** -25, -0.0, 123456789.000000123]
+    want = [math.fsum(values), math.fsum(3 * v for v in values)]
+    for parts in (1, 7):
+        df = spark.createDataFrame([(v, 3) for v in values], "v double, w int").repartition(parts)
+        one = df.groupBy(F.spark_partition_id().alias("p")).agg(
+            *exact_sums(F.col("v"), "a"), *exact_sums(F.col("v"), "b", F.col("w")))
+        got = one.agg(*add_sums("a"), *add_sums("b")).select(
+            exact_total("a").alias("a"), exact_total("b").alias("b")).first()
+        assert got["a"] == pytest.approx(want[0], rel=1e-15)
+        assert Fraction(got["b"]) == pytest.approx(sum(3 * Fraction(v) for v in values), rel=1e-15)
+
+
 def test_unicode_spaces(spark):
     df = one(spark, ["ACME\u00a0INC", "\u2003Acme\u3000Co. ", "acme"], "string")
     assert column(df, normalize_name(F.col("v"))) == ["acme"] * 3

@@ -68,8 +68,9 @@ def test_local_means(spark):
     out = local_means(df, {"by_city": ("score", ["city"]),
                            "by_city_cycle": ("score", ["city", "cycle"])})
     got = {r["id"]: (r["by_city"], r["by_city_cycle"]) for r in out.collect()}
-    assert got == {1: (None, None), 2: (None, None), 3: (0.3, 0.2), 4: (0.3, 0.4), 5: (0.3, 0.4),
-                   6: (None, None)}
+    mean = (0.2 + 0.4) / 2  # doubles, summed without error: a little more than 0.3
+    assert got == {1: (None, None), 2: (None, None), 3: (mean, 0.2), 4: (mean, 0.4),
+                   5: (mean, 0.4), 6: (None, None)}
 
 
 def test_interpolation(spark):
