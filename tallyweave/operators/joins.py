@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import written
 
-#: Bits per key of a membership filter, and its greatest size in 64-bit words (4 MB).
-KEY_BITS, MOST_WORDS = 16, 1 << 19
+#: Bits and probes per key of a membership filter, and its greatest size in 64-bit words (4 MB).
+KEY_BITS, PROBES, MOST_WORDS = 16, 4, 1 << 19
 #: Places over which the rows of one group are dealt in a join with values of the group.
 SALTS = 16
 
@@ -52,9 +52,7 @@ def keep_members(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
         words *= 2
 
     def places(column: Column) -> list[Column]:
-        h = F.xxhash64(column)
-        return [F.pmod(h, F.lit(words * 64)),
-                F.pmod(F.shiftrightunsigned(h, 32), F.lit(words * 64))]
+        return [F.pmod(F.xxhash64(column, F.lit(i)), F.lit(words * 64)) for i in range(PROBES)]
 
     at = F.explode(F.array(*places(F.col(key))))
     bits = (keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).cast("int").alias("w"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up, zero_pad
-from ..operators.crosswalk import (attach_industry, is_tech_12, is_tech_49, parse_definitions,
-                                   residual_counts)
+from ..operators.crosswalk import (SCHEMES, attach_industry, is_tech_12, is_tech_49,
+                                   parse_definitions, read_definition_lines, residual_counts)
 from ..operators.quality import crosswalk_checks, report
+from ..session import scratch_path
 from .bindings import company_names, crosswalk, industry_lines
 from .oracle_parts import COMPANIES, CROSSWALK, DEFS, r6
 
@@ -19,6 +20,17 @@ def industry_parse(spark, sf):
         "scheme", "ff_num", "ff_abbr", "ff_name", "sic_from", "sic_to", "range_desc")
 
 
+def industry_files(spark, sf):
+    """The definitions written as one text file per scheme, read back and parsed."""
+    lines, paths = industry_lines(spark, sf), {}
+    for scheme in SCHEMES:
+        paths[scheme] = scratch_path(spark, f"definitions{scheme}")
+        (lines.where(F.col("scheme") == scheme).repartition(1).sortWithinPartitions("line_no")
+         .select("line").write.text(paths[scheme]))
+    return parse_definitions(read_definition_lines(spark, paths)).select(
+        "scheme", "ff_num", "ff_abbr", "ff_name", "sic_from", "sic_to", "range_desc")
+
+
 def industry_crosswalk(spark, sf):
     return crosswalk(spark, sf)
 
@@ -91,6 +103,7 @@ select name, 'fail' as severity, cast(violations as bigint) as violations,
 
 QUERIES = {
     "industry_parse_text": (industry_parse, f"with {DEFS} select * from defs"),
+    "industry_files": (industry_files, f"with {DEFS} select * from defs"),
     "industry_crosswalk": (industry_crosswalk, f"{_CTE} select * from crosswalk"),
     "industry_attach": (industry_attach, _ATTACH_SQL),
     "tech_share": (tech_share, _TECH_SQL),

@@ -168,18 +168,26 @@ select employer_raw, matched_name, match_type, cik, {r6('distance')} as distance
 where status <> 'auto_accept'"""
 
 
+def _long_name(c: str) -> str:
+    return f"""concat_ws(' ', p_name, p_type, p_brand, reverse(p_name), 'of size',
+      cast(p_size as {c}), 'and', reverse(p_brand))"""
+
+
 def long_names(spark, sf):
-    """Register names of 40 letters and more that are alike: part names with their types, brands,
-    containers and comments."""
-    p = table(spark, sf, "part")
-    p = p.select(normalize_name(F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_name",
-                                            F.reverse("p_type"))).alias("norm")).distinct()
-    p = p.where(F.length("norm") >= 40)
+    """Names of 40 letters and more that are alike within 0.05."""
+    p = table(spark, sf, "part").select(normalize_name(F.expr(_long_name("string"))).alias("norm"))
+    p = p.where(F.length("norm") >= 40).distinct()
     pairs = similar_pairs(p.withColumnRenamed("norm", "query_norm"), p, 0.05)
     return pairs.where(F.col("query_norm") < F.col("norm")).select(
         "query_norm", "norm", round_half_up(F.col("distance")).alias("distance"))
 
 
+_LONG_SQL = f"""with n as (select distinct norm from (
+  select {norm_sql(_long_name('varchar'))} as norm from part) where length(norm) >= 40)
+select a.norm as query_norm, b.norm, {r6('1 - jaro_similarity(b.norm, a.norm)')} as distance
+from n a join n b on a.norm < b.norm where 1 - jaro_similarity(b.norm, a.norm) <= 0.05"""
+
+
 def occupation_class_query(spark, sf):
     """Order priorities as occupations; one priority counts as unknown."""
     o = table(spark, sf, "orders").select(
@@ -240,6 +248,7 @@ QUERIES = {
     "review_queue": (review_queue_query, _REVIEW_SQL),
     "coverage_share": (coverage_share_query, _SHARE_SQL),
     "threshold_sweep": (threshold_sweep_query, _SWEEP_SQL),
+    "long_names": (long_names, _LONG_SQL),
     "threshold_review": (threshold_review, _REVIEW_ALL_SQL),
     "occupation_class": (occupation_class_query, _OCCUPATION_SQL),
     "document_classes": (document_classes, _DOCUMENT_SQL),

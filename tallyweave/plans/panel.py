@@ -50,7 +50,8 @@ def build_panel(contributions: DataFrame, register: DataFrame, crosswalk: DataFr
     c = c.where(F.col("contributor_type") == "I")
     matches = written(match_names(c, register, "contributor_employer", strict, loose,
                                   rows="n_rows"), "matches")
-    expected = accepted(matches).agg(F.sum("n_rows")).first()[0] or 0
+    names = accepted(matches).agg(F.sum("n_rows"), F.count("employer_raw")
+                                  - F.count_distinct("employer_raw")).first()
     linked = keep_accepted(c, matches.drop("n_rows"), "contributor_employer")
     linked = attach_industry(linked, crosswalk, only_listed)
     linked = linked.select(
@@ -71,9 +72,9 @@ def build_panel(contributions: DataFrame, register: DataFrame, crosswalk: DataFr
         "bonica_cid", "cycle", F.col("dynamic_score").alias("cfscore_dyn_cycle"))
     scored = written(linked.join(scores, ["bonica_cid", "cycle"]).observe(
         kept, F.count(F.lit(1)).alias("n")), "scored")
-    _check_rows(spark=c.sparkSession, expected=expected, linked=seen.get["n"],
-                known=seen.get["n_known"], carried=carried.get["n_rows"] or 0,
-                scored=kept.get["n"])
+    _check_rows(spark=c.sparkSession, doubled=names[1], expected=names[0] or 0,
+                linked=seen.get["n"], known=seen.get["n_known"],
+                carried=carried.get["n_rows"] or 0, scored=kept.get["n"])
     panel = local_means(scored, {
         "mean_cfscore_per_city": ("contributor_cfscore", ["contributor_city"]),
         "mean_cfscore_per_zipcode": ("contributor_cfscore", ["contributor_zipcode"]),
@@ -84,14 +85,16 @@ def build_panel(contributions: DataFrame, register: DataFrame, crosswalk: DataFr
     return out.distinct() if grain == "donor_cycle" else out
 
 
-def _check_rows(spark: SparkSession, expected: int, linked: int, known: int, carried: int,
-                scored: int) -> None:
-    """Stop if a join has multiplied or lost donations: each with an accepted employer is linked
-    once, counts twice in the scores (in its own cycle and the next), and has one score at most.
+def _check_rows(spark: SparkSession, doubled: int, expected: int, linked: int, known: int,
+                carried: int, scored: int) -> None:
+    """Stop if a join has multiplied or lost donations: a name has one match, each donation with
+    an accepted employer is linked once, counts twice in the scores (in its own cycle and the
+    next), and has one score at most.
 
     The counts were taken by the writes themselves.
     """
-    rows = [("donations linked as often as their employer was accepted", abs(linked - expected)),
+    rows = [("employer names with more than one match", doubled),
+            ("donations linked as often as their employer was accepted", abs(linked - expected)),
             ("donations carried into two cycles", abs(carried - 2 * known)),
             ("donations with more than one score", max(scored - known, 0))]
     enforce(report([spark.createDataFrame(rows, "name string, violations bigint")], "fail"))

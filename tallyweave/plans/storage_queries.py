@@ -325,6 +325,27 @@ def panel_written(spark, sf):
     return datasets.read_by_cycle(spark, root, out.schema)
 
 
+def schema_check(spark, sf):
+    """What a table of line items lacks against an expected schema, with the rows concerned."""
+    li = table(spark, sf, "lineitem")
+    expected = StructType([StructField("l_orderkey", StringType()),
+                           StructField("l_quantity", li.schema["l_quantity"].dataType),
+                           StructField("l_currency", StringType()),
+                           StructField("l_returnflag", StringType())])
+    problems = [(p,) for p in quality.schema_problems(li.schema, expected)]
+    return li.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_rows")).join(
+        F.broadcast(spark.createDataFrame(problems, "problem string")))
+
+
+_SCHEMA_SQL = """with c as (select column_name as c, lower(column_type) as t
+                from (describe lineitem)),
+p as (select 'missing column l_currency' as problem
+      where not exists (select 1 from c where c = 'l_currency')
+      union all select 'column l_orderkey: ' || t || ' instead of string' from c
+      where c = 'l_orderkey' and t <> 'varchar')
+select l_returnflag, problem, count(*) as n_rows from lineitem, p group by all"""
+
+
 def part_files(spark, sf):
     """Orders written in files of bounded length and row groups; stray files are not read."""
     root = scratch_path(spark, "parts")
@@ -464,6 +485,7 @@ QUERIES = {
     "contributor_ingest": (contributor_ingest, _CONTRIBUTOR_SQL),
     "contributors_read": (contributors_read, _CONTRIBUTOR_SQL),
     "part_files": (part_files, _PARTS_SQL),
+    "schema_check": (schema_check, _SCHEMA_SQL),
     "panel_written": (panel_written, _PANEL_SQL),
     "typed_casts": (typed_casts, _CASTS_SQL),
     "partition_roundtrip": (partition_roundtrip, _ROUNDTRIP_SQL),

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.quality import schema_problems
+from ..operators.quality import CheckFailed, schema_problems
 from ..session import written
 from .delimited import (cycle_of_file, file_facts, file_headers, logical_records, parse_records,
                         read_header, read_lines, repair_lines, typed_projection)
@@ -22,13 +22,28 @@ def write_by_cycle(df: DataFrame, root: str, records_per_file: int = 5_000_000,
     """Hive layout by cycle (and further columns); only the partitions present are replaced.
 
     The rebalance hint lets AQE cut a cycle that holds most rows into several files and merge
-    small pieces.
+    small pieces. A table that is there already must have the same columns and types.
     """
+    check_same_schema(df, root, parts)
     (df.hint("rebalance", *parts).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
      .option("maxRecordsPerFile", records_per_file).partitionBy(*parts).parquet(root))
 
 
+def check_same_schema(df: DataFrame, root: str, parts: tuple[str, ...] = ()) -> None:
+    """Stop before a table is mixed from parts with different columns or types. Partition columns
+    ``parts`` have no type of their own."""
+    try:
+        there = df.sparkSession.read.parquet(root).drop(*parts).schema
+    except AnalysisException:
+        return
+    mine = df.drop(*parts).schema
+    problems = schema_problems(there, mine) + [
+        f"other column {f.name}" for f in there if f.name not in mine.names]
+    if problems:
+        raise CheckFailed(f"table at {root}: {'; '.join(problems)}")
+
+
 def read_by_cycle(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
     """Partitioned table with ``cycle`` pinned to bigint (``schema`` names it); partition columns
     that ``schema`` does not name stay out."""
