@@ -39,26 +39,94 @@ _ASIDE_WORDS = frozenset(
     "consent cookie cookies disclaimer footer form header menu modal nav navbar navigation "
     "newsletter notice notices popup promo related replies reply respond search share sharing "
     "sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+_READER_WORDS = frozenset("comment comments replies reply respond".split())
+_STATE_WORDS = frozenset("closed disabled enabled off on open".split())
 _ENDS_PARAGRAPH = _BLOCK - frozenset("body html head option optgroup".split())
 
 
-def _aside(name: str, rest: str) -> bool:
+#: What an element's name and classes say of it: nothing, that it may stand beside the article,
+#: that it does, or that it does whatever it holds.
+_PLAIN, _MAYBE, _SURE, _NEVER = range(4)
+
+
+def _mark(name: str, rest: str) -> int:
+    """``_NEVER`` for elements beside the article and for reader comments, ``_SURE`` for forms and
+    headers (which may be put round a whole page) and whole class names (``sidebar``), ``_MAYBE``
+    for class names that have such a word in them (``right-sidebar``, ``ad-box``)."""
     if name in _ASIDE:
-        return True
+        return _SURE if name in ("form", "header") else _NEVER
+    found = _PLAIN
     if rest and name not in ("body", "html", "main", "article"):
         for m in _CLASS.finditer(rest):
-            value = (m[1] or m[2] or m[3] or "").lower()
-            if not _ASIDE_WORDS.isdisjoint(_PARTS.findall(value)):
-                return True
-    return False
+            for token in (m[1] or m[2] or m[3] or "").lower().split():
+                parts = _PARTS.findall(token)
+                if _ASIDE_WORDS.isdisjoint(parts):
+                    continue
+                if parts[0] in _READER_WORDS and _STATE_WORDS.isdisjoint(parts):
+                    return _NEVER
+                found = max(found, _SURE if token in _ASIDE_WORDS else _MAYBE)
+    return found
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(kind, text, in an article, beside it) in page order.
+class _Tree:
+    """Elements of a page in order of their start tags: parent, mark, and words inside."""
 
-    Kind is ``<name`` for a tag and the enclosing block's name for text.
-    """
-    stack: list[tuple[str, bool, bool]] = []  # name, in an article, beside it
+    def __init__(self):
+        self.parents, self.marks, self.names, self.words = [-1], [_PLAIN], [""], [0]
+
+    def add(self, parent: int, name: str, mark: int) -> int:
+        self.parents.append(parent)
+        self.names.append(name)
+        self.marks.append(mark)
+        self.words.append(0)
+        return len(self.names) - 1
+
+    def _around(self, at: int) -> Iterator[int]:
+        while at > 0:
+            at = self.parents[at]
+            yield at
+
+    def beside(self) -> list[bool]:
+        """Which elements stand beside the article.
+
+        Neither the ``article`` or ``main`` element with most words nor what holds it is beside,
+        unless it lies in a ``_NEVER`` element; nor is a ``_MAYBE`` element with more than half of
+        the words outside of ``_SURE`` and ``_NEVER`` ones: there the class tells of the layout.
+        """
+        n = len(self.names)
+        sure, never = [False] * n, [False] * n
+        for i in range(1, n):
+            sure[i] = sure[self.parents[i]] or self.marks[i] >= _SURE
+            never[i] = never[self.parents[i]] or self.marks[i] == _NEVER
+        # an article is weighed by all its words: a class may have marked what holds it
+        whole, counted = list(self.words), [0 if s else w for s, w in zip(sure, self.words)]
+        for i in range(n - 1, 0, -1):
+            whole[self.parents[i]] += whole[i]
+            counted[self.parents[i]] += counted[i]
+        holds = {0}
+        articles = [i for i in range(1, n) if self.names[i] in ("article", "main")
+                    and not never[i]]
+        at = max(articles, key=lambda i: (whole[i], -i), default=0)
+        for i in articles:  # an article with most of the words of the one around it
+            if 2 * whole[i] > whole[at] and at in self._around(i):
+                at = i
+        while at > 0:
+            holds.add(at)
+            at = self.parents[at]
+        out = [False] * n
+        for i in range(1, n):
+            if i in holds:
+                continue
+            mark = self.marks[i]
+            if mark == _MAYBE and 2 * counted[i] > counted[0]:
+                mark = _PLAIN
+            out[i] = out[self.parents[i]] or mark != _PLAIN
+        return out
+
+
+def _events(page: str, tree: _Tree) -> Iterator[tuple[str, str, bool, int, bool]]:
+    """(kind, text, in an article, element, beside it in any case) in page order."""
+    stack: list[tuple[str, bool, int]] = []  # name, in an article, element
     block = ["body"]
 
     def close(name: str) -> None:
@@ -70,30 +138,44 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                 return
 
     for m in _PIECE.finditer(page):
-        inside, beside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        inside, element = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
         if m["text"] is not None:
-            yield block[-1], m["text"], inside, beside
+            tree.words[element] += len(m["text"].split())
+            yield block[-1], m["text"], inside, element, False
         elif m["raw"] is not None:
-            yield "<" + m["raw"].lower(), "", inside, True
+            yield "<" + m["raw"].lower(), "", inside, element, True
         elif m["name"] is not None:
             name, rest = m["name"].lower(), m["rest"]
             if m["end"]:
                 if any(s[0] == name for s in stack):
                     close(name)
-                yield "<" + name, "", inside, beside
+                yield "<" + name, "", inside, element, False
                 continue
             if name in _ENDS_PARAGRAPH and block[-1] == "p":
                 close("p")
-                inside, beside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
             if name == "li" and block[-1] == "li":
                 close("li")
+            inside, element = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
             if name not in _VOID and not rest.endswith("/"):
-                aside = _aside(name, rest)
-                stack.append((name, inside or name in ("article", "main"), beside or aside))
+                mark = _mark(name, rest)
+                if mark != _PLAIN or name in ("article", "main"):
+                    element = tree.add(element, name, mark)
+                stack.append((name, inside or name in ("article", "main"), element))
                 if name in _BLOCK:
                     block.append(name)
-                beside = beside or aside
-            yield "<" + name, "", inside, beside
+            yield "<" + name, "", inside, element, False
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
+    """(kind, text, in an article, beside it) in page order.
+
+    Kind is ``<name`` for a tag and the enclosing block's name for text.
+    """
+    tree = _Tree()
+    events = list(_events(page, tree))
+    beside = tree.beside()
+    for kind, text, inside, element, always in events:
+        yield kind, text, inside, always or beside[element]
 
 
 def token_counts(page: str) -> Counter:
@@ -122,8 +204,9 @@ def learn_weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
 def main_text(page: str, weights: dict[str, float]) -> str:
     """Text of the contiguous region with the largest sum of word and tag weights.
 
-    One linear scan keeps the best sum that ends at each token. Parts that are marked as menus,
-    notices and the like are left out before, at the price of one tag.
+    One linear scan keeps the best sum that ends at each token, the first of equal ones. Parts that
+    are marked as menus, notices and the like are left out before, at the price of one tag; see
+    ``_Tree.beside`` for what counts as marked.
     """
     pieces: list[tuple[float, str | None, str]] = []  # weight, text or None for a tag, kind
     was_beside = False
@@ -191,8 +274,8 @@ def extract_text(pages: DataFrame, id_col: str, html_col: str,
     Blocks are joined by LF in page order; white space inside a block becomes one blank, character
     references are decoded, and ``br`` is white space. ``n_chars`` counts code points.
 
-    Cases: null and empty pages and pages without words give an empty text; markup that is never
-    closed ends with the page; very long pages are scanned once, token by token; repeated rows are
+    Cases: null and empty pages and pages without words give an empty text; of several best
+    regions the first counts; markup that is never closed ends with the page; very long pages are scanned once, token by token; repeated rows are
     extracted each; an empty table gives an empty result; further columns stay in ``row``.
     """
     rest = [c for c in pages.columns if c != html_col]

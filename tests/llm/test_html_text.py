@@ -56,6 +56,26 @@ def test_query_against_a_plain_parser(spark):
     ("<p>kept</p><section id=comments><p>reader says so</p></section>", "kept"),
     ("<p title='a > b'>text</p><form><p>name</p></form><aside>more</aside>", "text"),
     ("<p>a</p><!-- never closed <p>b", "a"), ("<p>&am<b>p;</b> x", "&amp; x"),
+    # classes of the layout on what holds the article
+    ("<div class='site-content right-sidebar'><article><p>one two</p></article>"
+     "<div class='sidebar'><p>no no no no</p></div></div>", "one two"),
+    ("<div id='page' class='has-header'><main><p>one two</p></main></div>", "one two"),
+    ("<section class='post comments-open'><p>one two three</p></section><p class=ad>buy</p>",
+     "one two three"),
+    ("<div class='ad-free'><p>one</p><div class='share-buttons'><p>x</p></div><p>two</p></div>",
+     "one\ntwo"),
+    ("<form id=all><article><p>one two</p><form><p>name</p></form></article></form>", "one two"),
+    ("<div class=sidebar><main><p>one two</p></main></div>", "one two"),
+    ("<main><p>up</p><div class='sidebar'><article><p>one two three</p></article></div></main>",
+     "up\none two three"),
+    # articles beside the article
+    ("<article><p>one two three</p></article><aside><article><p>read this too and also that and"
+     "</p></article></aside>", "one two three"),
+    ("<p>one two</p><div id=comments><article><p>a reader says very much about it</p></article>"
+     "</div>", "one two"),
+    ("<div class=comments-area><article><p>a reader</p></article></div><p>one two</p>", "one two"),
+    # equal regions: the first
+    ("<p>one two</p><ul><li>m m m m</ul><p>six ten</p>", "one two"),
 ])
 def test_cases(page, want):
     assert ht.main_text(page, WEIGHTS) == want
