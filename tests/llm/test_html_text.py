@@ -66,8 +66,8 @@ def test_query_against_a_plain_parser(spark):
      "one\ntwo"),
     ("<form id=all><article><p>one two</p><form><p>name</p></form></article></form>", "one two"),
     ("<div class=sidebar><main><p>one two</p></main></div>", "one two"),
-    ("<main><p>up</p><div class='sidebar'><article><p>one two three</p></article></div></main>",
-     "up\none two three"),
+    ("<main><p>up up up</p><div class='sidebar'><article><p>one two three four five</p></article>"
+     "</div></main>", "up up up\none two three four five"),
     # articles beside the article
     ("<article><p>one two three</p></article><aside><article><p>read this too and also that and"
      "</p></article></aside>", "one two three"),
