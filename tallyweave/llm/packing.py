@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import heapq
+import json
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,62 @@ SCHEMA = ("id long, start long, length long, token_ids binary, doc_tokens long,
           "sequence_id long, offset long")
 
 
+# How the tokenizers read a text whose ids are those of its words (WordEncoder).
+_WORD_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+    {"type": "Lowercase"}]}
+_WORD_SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {
+        "Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def reads_words(path: str) -> bool:
+    """Is the file a tokenizer whose normaliser, splitter and model are those WordEncoder is for?"""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model = told["model"]
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix",
+                                           "fuse_unk", "byte_fallback", "ignore_merges"))
+    return (told["normalizer"] == _WORD_NORMALIZER and told["pre_tokenizer"] == _WORD_SPLIT
+            and model["type"] == "BPE" and plain
+            and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]
+                        for t in told["added_tokens"]))
+
+
+class TextEncoder:
+    """Token ids of whole texts by any tokenizer file, text by text: ``.json`` for tokenizers,
+    ``.model`` for sentencepiece, ``.tiktoken`` ranks with the pattern ``split``."""
+
+    def __init__(self, path: str, split: str | None = None):
+        self._encode: Callable[[list[str]], list]
+        if path.endswith(".model"):
+            from sentencepiece import SentencePieceProcessor
+            pieces = SentencePieceProcessor(model_file=path)
+            self._encode = lambda texts: pieces.encode(texts, num_threads=1)
+        elif path.endswith(".tiktoken"):
+            if split is None:
+                raise ValueError("a file of ranks needs the pattern that splits texts")
+            from tiktoken import Encoding
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(token): int(rank)
+                         for token, rank in map(bytes.split, f)}
+            ranked = Encoding("of-file", pat_str=split, mergeable_ranks=ranks, special_tokens={})
+            self._encode = lambda texts: [ranked.encode_ordinary(t) for t in texts]
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+            whole = Tokenizer.from_file(path)
+            self._encode = lambda texts: [e.ids for e in whole.encode_batch_fast(
+                texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(ids, "<u4").tobytes() for ids in self._encode(texts)]
+
+
 class WordEncoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
@@ -79,9 +138,12 @@ class WordEncoder:
             known[word] = known[letters] + known[marks]
 
 
-def encoder(tokenizer_path: str) -> WordEncoder:
-    """One encoder for the packing tasks that a Python worker runs in a row."""
-    return kept(("encoder", tokenizer_path), lambda: WordEncoder(tokenizer_path))
+def encoder(tokenizer_path: str, split: str | None = None) -> WordEncoder | TextEncoder:
+    """One encoder for the packing tasks that a Python worker runs in a row: by words where the
+    file allows it, else by whole texts."""
+    return kept(("encoder", tokenizer_path, split), lambda: (
+        WordEncoder(tokenizer_path) if reads_words(tokenizer_path)
+        else TextEncoder(tokenizer_path, split)))
 
 
 def difference(lengths: list[int], windows: int) -> list[list[int]]:
@@ -210,7 +272,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def pack(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int,
-         capacity: int = 4096, cell_windows: int = CELL_WINDOWS) -> DataFrame:
+         capacity: int = 4096, cell_windows: int = CELL_WINDOWS,
+         split: str | None = None) -> DataFrame:
     """One row per piece: id, start, length, token_ids, doc_tokens, sequence_id, offset.
 
     A document's ids are its tokens and ``end_id``. Whole windows are cut off long documents; the
@@ -220,7 +283,9 @@ def pack(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id:
     task's input, a power of two. ``token_ids`` are little-endian unsigned 32-bit numbers.
 
     There is no shuffle: each task packs its own input and holds one set of documents, whatever
-    the input's size. The tokenizer file must be at the same path on all machines.
+    the input's size. The tokenizer file must be at the same path on all machines; it may be of any
+    kind that :class:`TextEncoder` reads (``split``: its pattern, for a file of ranks). Only files
+    that :func:`reads_words` knows to allow it are encoded word by word, with the same ids.
 
     Cases: null and empty texts are the end id alone; a very long text becomes many windows;
     repeated rows are packed each; an empty table gives no piece; further columns are not read.
@@ -235,7 +300,8 @@ def pack(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id:
             ids, column = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 500):
                 texts = texts_of(column.slice(at, 500))
-                for key, tokens in zip(ids[at:at + 500], encoder(tokenizer_path).encode(texts)):
+                for key, tokens in zip(ids[at:at + 500],
+                                       encoder(tokenizer_path, split).encode(texts)):
                     packer.add((key, tokens + end, len(tokens) // 4 + 1))
                     if packer.total >= cell_windows * capacity:
                         packer.balance(False)

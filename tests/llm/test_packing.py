@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tallyweave.llm import common
-from tallyweave.llm.packing import WordEncoder, difference, pack
+from tallyweave.llm.packing import TextEncoder, WordEncoder, difference, pack, reads_words
 from tallyweave.llm.queries import END_ID, TOKENIZER, packing
 
 PATH = public_tokenizers.path(TOKENIZER)
@@ -67,6 +67,46 @@ def test_small_windows(spark, docs_of, cell):
           texts, 64)
 
 
+FILES = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken",
+         "piece_bpe_32k.model", TOKENIZER)
+
+
+def plain_ids(name):
+    """Ids of one text by the library the file is for."""
+    path = public_tokenizers.path(name)
+    if name.endswith(".json"):
+        whole = Tokenizer.from_file(path)
+        return lambda t: whole.encode(t, add_special_tokens=False).ids
+    if name.endswith(".model"):
+        from sentencepiece import SentencePieceProcessor
+        return SentencePieceProcessor(model_file=path).encode
+    import base64
+
+    import tiktoken
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    return tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                             special_tokens={}).encode_ordinary
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_every_tokenizer_file(spark, docs_of, tiny, name):
+    path, of = public_tokenizers.path(name), plain_ids(name)
+    assert reads_words(path) == (name == TOKENIZER)
+    texts = dict(enumerate([*ODD, None, *(t for _, t in tiny[:40])]))
+    rows = pack(docs_of(texts.items()).repartition(3), "doc_id", "text", path, END_ID, 256, 4,
+                split=public_tokenizers.PATTERN).collect()
+    found = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.id, r.start)):
+        assert r.start == len(found[r.id])
+        found[r.id] += np.frombuffer(r.token_ids, "<u4").tolist()
+    assert found == {k: [*of(t or ""), END_ID] for k, t in texts.items()}
+
+
+def test_ranks_need_a_pattern():
+    with pytest.raises(ValueError, match="pattern"):
+        TextEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def test_repeated_rows_and_empty_table(spark, docs_of):
     df = docs_of([(1, "one two"), (1, "one two"), (None, None)])
     rows = pack(df, "doc_id", "text", PATH, END_ID, 4).collect()
