@@ -74,11 +74,17 @@ class Forest:
 
 def calibrate(vectors: np.ndarray, queries: np.ndarray, norm2: float, k: int,
               recall: float) -> float:
-    """Smallest of CHOICES with which a forest over the sample finds ``recall`` of the nearest."""
-    if len(vectors) <= k or not len(queries):
+    """Smallest of CHOICES with which a forest over the sample finds ``recall`` of the nearest.
+    A query's own vector is none of them."""
+    if len(vectors) <= k + 1 or not len(queries):
         return CHOICES[-1]
     forest, codes = Forest(vectors, norm2), hash_strings(queries, norm2, True)
     score = queries @ vectors.T
+    own = (queries ** 2).sum(axis=1)[:, None]
+    for q, row in enumerate(np.isclose(score, own, rtol=1e-12)):
+        for i in np.flatnonzero(row):
+            if np.array_equal(vectors[i], queries[q]):
+                score[q, i] = -np.inf
     best = np.argpartition(-score, k - 1, axis=1)[:, :k]
     for gather in CHOICES:
         mask = forest.candidates(codes, gather, k)
@@ -101,14 +107,16 @@ def _search(norm2: float, gather: float, k: int):
         forest, codes = Forest(vectors, norm2), hash_strings(wanted, norm2, True)
         for at in range(0, len(names), 256):
             mask = forest.candidates(codes[at:at + 256], gather, k)
-            score = np.where(mask, wanted[at:at + 256] @ vectors.T, -np.inf)
-            for q, row in enumerate(score):
-                cut = np.partition(row, len(row) - k)[-k] if len(row) > k else -np.inf
-                near = np.flatnonzero((row >= cut) & mask[q])
-                near = near[np.lexsort((reps[near], -row[near]))][:k]
-                found[0].append(np.full(len(near), names[at + q]))
-                found[1].append(near)
-                found[2].append(row[near])
+            for q, own in enumerate(mask):
+                near = np.flatnonzero(own)
+                score = vectors[near] @ wanted[at + q]  # of the candidates alone
+                if len(near) > k:
+                    best = score >= np.partition(score, len(score) - k)[-k]
+                    near, score = near[best], score[best]
+                order = np.lexsort((reps[near], -score))[:k]
+                found[0].append(np.full(len(order), names[at + q]))
+                found[1].append(near[order])
+                found[2].append(score[order])
         names, near, score = map(np.concatenate, found)
         return pa.table([pa.array(names), ids.take(pa.array(near)).cast(pa.list_(pa.int64())),
                          pa.array(score)], schema=schema)
@@ -190,5 +198,5 @@ def _sampled(entries: DataFrame, queries: DataFrame, norm2: float, k: int, recal
     dim = max(set(lengths), key=lengths.count)
     vectors = np.array([r for r in rows if len(r) == dim])
     wanted = np.array([r for r in asked if len(r) == dim]).reshape(-1, dim)
-    near = 1 + max(1, min(k, round(k * len(rows) / total)))  # a query may be in the sample
+    near = max(1, min(k, round(k * len(rows) / total)))
     return calibrate(vectors, wanted, norm2, near, recall)
