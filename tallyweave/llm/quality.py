@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 from tallyweave.llm.common import (SPACED, WordBatch, arrow_map, byte_rule, documents, gram_hashes,
                                    mixed, word_batches)
 
-#: Hashed terms, latent dimensions, neighbours that vote, labelled documents kept at most.
-TERMS, RANK, VOTES, MAX_LABELLED = 4096, 48, 30, 3000
+#: Hashed terms (the first half for shapes, the second for words), what words weigh beside shapes,
+#: latent dimensions, neighbours that vote, labelled documents kept at most.
+TERMS, WORD_SHARE, RANK, VOTES, MAX_LABELLED = 4096, 0.35, 48, 30, 3000
+_HALF = np.uint64(TERMS // 2)
 _PLAIN = byte_rule(b"\x20\x09\x0a\x0b\x0c\x0d", False)
 
 
@@ -38,23 +40,25 @@ def _shapes(words: WordBatch) -> WordBatch:
 
 
 def term_counts(words: WordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(terms, counts) of each text: word shapes, pairs of shapes, word lengths, and how much of
-    it are repeated runs and words that echo the word before."""
+    """(terms, counts) of each text: word shapes, pairs of shapes, word lengths, how much of it are
+    repeated runs and words that echo the word before, and the words themselves and their pairs."""
     shapes = _shapes(words).hashes
     size = np.minimum(words.ends - words.starts, 40).astype(np.uint64)
     pairs = mixed(shapes[:-1] * np.uint64(3) + shapes[1:]) if len(shapes) else shapes
-    runs = gram_hashes(words.hashes, 4)
+    runs, two = gram_hashes(words.hashes, 4), gram_hashes(words.hashes, 2)
     for a, b in zip(words.bounds[:-1], words.bounds[1:]):
         if a == b:
             yield np.empty(0, np.int64), np.empty(0)
             continue
         own = np.concatenate([shapes[a:b], pairs[a:b - 1], mixed(size[a:b] + np.uint64(77))])
-        terms, counts = np.unique(own % np.uint64(TERMS), return_counts=True)
+        said = np.concatenate([words.hashes[a:b], two[a:b - 1]])
+        terms, counts = np.unique(np.concatenate([own % _HALF, _HALF + said % _HALF]),
+                                  return_counts=True)
         part = runs[a:b - 3]
         fresh = len(np.unique(part)) / len(part) if len(part) > 0 else 1.0
         echo = float((words.hashes[a + 1:b] == words.hashes[a:b - 1]).mean()) if b - a > 1 else 0.0
         again = mixed(np.array([1000 + int(10 * (1 - fresh)), 2000 + int(10 * echo)],
-                               np.uint64)) % np.uint64(TERMS)
+                               np.uint64)) % _HALF
         yield (np.concatenate([terms, again]).astype(np.int64),
                np.concatenate([counts, [b - a, b - a]]).astype(float))
 
@@ -76,6 +80,7 @@ class VoteModel:
         for i, (terms, counts) in enumerate(rows):
             np.add.at(matrix[i], terms, np.log1p(counts))
         weights = np.log((1 + len(rows)) / (1 + (matrix > 0).sum(axis=0))).astype(np.float32) + 0.1
+        weights[TERMS // 2:] *= WORD_SHARE
         matrix = _unit(matrix * weights)
         rng = np.random.default_rng(7)
         basis = rng.standard_normal((TERMS, min(RANK + 12, TERMS))).astype(np.float32)
@@ -100,9 +105,15 @@ class VoteModel:
             latent[j] = v @ self.projection[terms]
         near = _unit(latent) @ self.vectors.T  # exact cosine with every labelled vector
         votes = min(VOTES, near.shape[1])
-        at = np.argpartition(near, near.shape[1] - votes, axis=1)[:, -votes:]
-        weight = np.maximum(np.take_along_axis(near, at, 1), 0).astype(float) ** 8 + 1e-9
-        out[filled] = (weight * self.labels[at]).sum(axis=1) / weight.sum(axis=1)
+        last = np.partition(near, near.shape[1] - votes, axis=1)[:, -votes, None]
+        # equal similarities at the last place share what is left of the votes
+        first, same = near > last, near == last
+        share = (votes - first.sum(axis=1)) / same.sum(axis=1)
+        for j, i in enumerate(filled):
+            at = np.flatnonzero(first[j] | same[j])
+            weight = np.maximum(near[j, at], 0).astype(float) ** 8 + 1e-9
+            weight[same[j, at]] *= share[j]
+            out[i] = weight @ self.labels[at] / weight.sum()
         return np.clip(out, 0, 1)
 
 
@@ -153,7 +164,7 @@ def quality_scores(df: DataFrame, id_col: str, text_col: str, model: VoteModel,
 
     Every whole text becomes a vector of hashed terms, is projected into the latent space, and
     compared exactly, in blocks, with all labelled vectors; the nearest vote with their
-    similarity. The model has at most MAX_LABELLED vectors, so the broadcast does not grow.
+    similarity, and equal ones at the last place share its vote. The model has at most MAX_LABELLED vectors, so the broadcast does not grow.
 
     Cases: texts that are null or without words get the share of label 1 among the labelled (0.5
     without any); repeated rows score alike; an empty table gives an empty result; further columns

@@ -63,3 +63,31 @@ def test_odd_rows(spark, docs_of):
     none = fit_votes(df, "doc_id", "text", labels.limit(0))
     assert {r.score for r in quality_scores(df, "doc_id", "text", none).collect()} == {0.5}
     assert quality_scores(df.limit(0), "doc_id", "text", model).count() == 0
+
+
+def terms(text):
+    import pyarrow as pa
+    from tallyweave.llm.quality import _terms_of
+    return next(_terms_of(pa.array([text])))[1][0]
+
+
+def test_words_of_one_shape_are_told_apart():
+    good = ["photosynthesis turns light into sugar", "leaves turn light into sugar slowly",
+            "sugar and light make leaves grow"] * 6
+    bad = ["qwrtphxzvbnmkl tgrns lzght zntx sxgxr", "lxxvxs txrn lzght zntx sxgxr slxwlx",
+           "sxgxr xnd lzght mxkx lxxvxs grxw"] * 6
+    model = VoteModel.fit([terms(t) for t in good + bad], [1] * len(good) + [0] * len(bad))
+    a, b = terms("photosynthesis turns light into sugar"), terms("qwrtphxzvbnmkl turns lzght zntx sxgxr")
+    assert set(a[0]) != set(b[0])
+    high, low = model.score([a, b])
+    assert high > 0.8 and low < 0.4
+
+
+def test_equal_similarities_share_the_last_vote():
+    same = (np.array([1, 2]), np.array([1.0, 1.0]))
+    other = (np.array([3, 900]), np.array([1.0, 1.0]))
+    labels = [1, 0] * 30 + [0] * 10
+    model = VoteModel.fit([same] * 60 + [other] * 10, labels)
+    shuffled = VoteModel.fit([same] * 60 + [other] * 10, [0, 1] * 30 + [0] * 10)
+    assert abs(model.score([same])[0] - 0.5) < 1e-6  # 60 equal ones: half of them are 1
+    assert abs(model.score([same])[0] - shuffled.score([same])[0]) < 1e-6
