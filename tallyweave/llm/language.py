@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyweave.llm.common import arrow_map, documents, texts_of
 
-#: Bounds of what is learnt: languages, documents per language, characters of each, dictionary
-#: bytes. Of a longer document, characters come from PIECES places spread over all of it.
+#: Bounds of what is learnt: documents per language, characters of each, dictionary bytes, and the
+#: documents and bytes of all languages together, which many languages share. Of a longer document,
+#: characters come from PIECES places spread over all of it.
 #: LEVEL and BLOCK: compression level, characters encoded at once.
-MAX_LANGUAGES, DOCS_PER_LANGUAGE, CHARS_PER_DOC, DICTIONARY_BYTES = 200, 400, 1500, 200_000
+DOCS_PER_LANGUAGE, CHARS_PER_DOC, DICTIONARY_BYTES = 400, 1500, 200_000
+ALL_DOCS, ALL_BYTES = 80_000, 40_000_000
 PIECES = 5
 PIECE_CHARS = (CHARS_PER_DOC - PIECES + 1) // PIECES
 LEVEL, BLOCK = 6, 8000
@@ -42,31 +44,39 @@ def spread_pieces(text, key):
 
 
 def sample_texts(df: DataFrame, text_col: str, lang_col: str, key_col: str) -> dict[str, list[str]]:
-    """Texts of a bounded number of documents per language, those with the least key hashes; of
-    longer ones, pieces from all over the text (:func:`spread_pieces`).
+    """Texts of a bounded number of documents of every language, those with the least key hashes;
+    of longer ones, pieces from all over the text (:func:`spread_pieces`).
 
     One pass: each language's share of all hash values is set from its count, a third above the
-    need, and the rest is cut on the driver.
+    need, and the rest is cut on the driver. However many languages there are, all are learnt;
+    beyond ALL_DOCS / DOCS_PER_LANGUAGE of them each has fewer documents.
     """
     known = df.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"),
                       F.xxhash64(F.col(f"`{key_col}`")).alias("h")).where(
         "lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = counts.count()
+    if not languages:
         return {}
-    limits = {lang: -2 ** 63 + int(2 ** 64 * min(1.0, 1.3 * DOCS_PER_LANGUAGE / n)) - 1
-              for lang, n in counts.items()}
-    limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
+    each = documents_each(languages)
+    # the least hashes of a language, a third more than needed; rare languages have all of theirs
+    share = F.least(F.lit(1.0), F.lit(1.3 * each) / F.col("n"))
+    limits = counts.select("lang", (F.lit(-2.0 ** 63) + share * F.lit(2.0 ** 64)).alias("limit"))
     # rows with one key share a hash: a first aggregate keeps one text per key and language
-    rows = (known.where(F.col("h") <= F.element_at(limit, F.col("lang")))
+    rows = (known.join(limits, "lang").where(F.col("h").cast("double") <= F.col("limit"))
             .groupBy("lang", "h").agg(F.min(spread_pieces(F.col("text"), F.col("h"))).alias("text"))
-            .orderBy("h", "lang").limit(2 * DOCS_PER_LANGUAGE * len(counts)).collect())
-    out: dict[str, list[str]] = {lang: [] for lang in sorted(counts)}
+            .orderBy("h", "lang").limit(2 * each * languages).collect())
+    out: dict[str, list[str]] = {}
     for r in rows:
-        if len(out[r["lang"]]) < DOCS_PER_LANGUAGE:
-            out[r["lang"]].append(r["text"])
-    return {lang: texts for lang, texts in out.items() if texts}
+        own = out.setdefault(r["lang"], [])
+        if len(own) < each:
+            own.append(r["text"])
+    return dict(sorted(out.items()))
+
+
+def documents_each(languages: int) -> int:
+    """Documents that each of so many languages is learnt from."""
+    return max(20, min(DOCS_PER_LANGUAGE, ALL_DOCS // languages))
 
 
 def fill_evenly(texts: list[str], budget: int) -> bytes:
@@ -93,9 +103,10 @@ class Dictionaries:
 
     def __init__(self, texts: dict[str, list[str]], level: int = LEVEL):
         self.languages, self.level = sorted(texts), level
+        budget = min(DICTIONARY_BYTES, ALL_BYTES // max(1, len(texts)))
         self.contents = []
         for lang in self.languages:
-            self.contents.append(fill_evenly(texts[lang], DICTIONARY_BYTES) or b" ")
+            self.contents.append(fill_evenly(texts[lang], budget) or b" ")
 
     def compressors(self) -> list:
         out = []

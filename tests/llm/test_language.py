@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pyarrow.parquet as pq
 import zstandard
 
@@ -73,3 +74,43 @@ def test_bodies_are_learnt_behind_a_common_opening(spark):
     (content,) = lg.Dictionaries(got).contents
     assert len(content) <= lg.DICTIONARY_BYTES
     assert sum(w.encode() in content for w in words) >= 240  # three of five pieces are body
+
+
+def test_every_language_is_learnt(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(260):  # more languages than once were learnt
+        words = ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(12)]
+        rows += [(10 * k + i, " ".join(rng.choice(words, 30)), f"l{k:03d}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = lg.sample_texts(df, "text", "lang", "doc_id")
+    assert len(texts) == 260 and all(len(t) == 3 for t in texts.values())
+    learnt = lg.Dictionaries(texts)
+    assert sum(map(len, learnt.contents)) <= lg.ALL_BYTES
+    judge = lg.Identifier(learnt, 0.02)
+    assert all(judge(rows[i][1])[0] == rows[i][2] for i in range(0, len(rows), 60))
+    assert lg.documents_each(4) == lg.DOCS_PER_LANGUAGE
+    assert 20 <= lg.documents_each(7000) < lg.DOCS_PER_LANGUAGE
+
+
+def test_equal_sizes_go_to_the_dictionary_that_knows_the_words():
+    texts = {"a": ["zzz yyy xxx"], "b": ["one two three"], "c": ["one two three"]}
+    judge = lg.Identifier(lg.Dictionaries(texts), 0.02)
+    lang, score, sure = judge("one two three")
+    assert lang == "b" and score == 0.0 and not sure  # b and c need the same bytes
+
+
+def test_predictions_against_plain_compression():
+    rng = np.random.default_rng(4)
+    texts = {k: [" ".join(rng.choice([f"{k}{w}" for w in "abcdefgh"], 200))] for k in "pqr"}
+    learnt = lg.Dictionaries(texts)
+    judge = lg.Identifier(learnt, 0.02)
+    for k in "pqr":
+        text = " ".join(rng.choice([f"{k}{w}" for w in "abcdefgh"], 40))
+        sizes = {}
+        for name, content in zip(learnt.languages, learnt.contents):
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=learnt.level, dict_data=d, write_content_size=False,
+                                         write_checksum=False, write_dict_id=False)
+            sizes[name] = len(c.compress(lg.letters_only(text).encode()))
+        assert judge(text)[0] == min(sizes, key=sizes.get) == k
