@@ -2,6 +2,7 @@
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 import test_decontamination
@@ -116,3 +117,48 @@ def test_one_row_of_each_group(spark):
         (3, text), (5, alone), (None, ends[0]), (7, None), (None, "")]))
     twice = [(r.doc_id, r.text) for r in cp.near_copies(spark, docs.union(docs), SF).collect()]
     assert sorted(map(str, twice)) == sorted(map(str, got))
+
+
+def odd_documents(spark):
+    """The smallest documents with columns whose names clash, and nulls, copies and empty texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    known = [(r.doc_id, r.text, 1, "x", None, 2.0, "y") for r in docs.collect()]
+    odd = [(None, None), (None, ""), (known[0][0], known[0][1]), (10 ** 9, None), (10 ** 9 + 1, ""),
+           (10 ** 9 + 2, " \n "), (10 ** 9 + 3, "word " * 30_000)]
+    rows = known + [(k, t, 1, "x", None, 2.0, "y") for k, t in odd]
+    return spark.createDataFrame(rows, "doc_id long, text string, id int, label string, "
+                                       "hash long, score double, row string").repartition(3)
+
+
+def test_odd_documents_in_the_first_and_last_stage(spark):
+    docs = odd_documents(spark)
+    kept = cp.quality(spark, docs, SF)
+    assert kept.schema == docs.schema
+    rows = kept.collect()
+    model = queries.quality_model(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    for text in (None, "", " \n "):  # judged alike, by the share of good documents
+        assert sum(r.text == text for r in rows) == (model.base >= 0.3) * sum(
+            r.text == text for r in docs.collect())
+    first = docs.where("doc_id = 0").collect()
+    assert [r for r in rows if r.doc_id == 0] in ([], first)
+    assert cp.quality(spark, docs.limit(0), SF).count() == 0
+    pieces = cp.packing(spark, docs, SF)
+    ends = pieces.where("doc_id is null").collect()
+    assert [p.length for p in ends] == [1, 1] and all(p.doc_tokens == 1 for p in ends)
+    tokens = pieces.groupBy("doc_id").sum("length").where("doc_id = 1000000003").first()[1]
+    assert tokens == 30_001
+    assert cp.packing(spark, docs.limit(0), SF).count() == 0
+
+
+def test_run_over_odd_and_over_no_documents(spark, tmp_path):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = odd_documents(spark).withColumn("n_chars", F.length("text").cast("long"))
+    path = str(tmp_path / "documents.parquet")
+    docs.write.parquet(path)
+    got = cp.run(spark, str(tmp_path))
+    whole = got.groupBy("doc_id", "doc_tokens").sum("length").collect()
+    assert {r.doc_id for r in whole} <= {r.doc_id for r in docs.collect()}
+    assert all(r[2] % r.doc_tokens == 0 for r in whole)
+    docs.limit(0).write.mode("overwrite").parquet(path)
+    assert cp.run(spark, str(tmp_path)).count() == 0
