@@ -17,7 +17,8 @@ from pyspark.sql.types import BooleanType, StringType
 
 INTERCEPT = "(Intercept)"
 Y = "(y)"
-MAX_ENTRIES = 4_000_000
+#: Sums of products that reach the driver at most: those of a thousand terms.
+MAX_ENTRIES = 500_000
 
 
 @dataclass

@@ -49,9 +49,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[sc.applicationId]
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """The application's own folder under :func:`shared_dir`."""
+    return os.path.join(shared_dir(spark), f"tallyweave-{spark.sparkContext.applicationId}")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under :func:`shared_dir`."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A fresh path in the application's own folder."""
+    return os.path.join(_own_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application.
+
+    For use between jobs: results that were built on them and are not yet stored become unreadable.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -14,6 +14,7 @@ from tallyweave.plans.bindings import (ENGINEER, MANAGER, TYPES, company_names,
                                        crosswalk, donations, register_rows)
 from tallyweave.plans.panel import build_panel, cycles_needed
 from tallyweave.plans.storage_queries import ORDERS_SCHEMA
+from tallyweave import session
 from tallyweave.session import written
 from tallyweave.sources.datasets import write_by_cycle
 from tallyweave.streaming.ingest import (latest_scores, running_scores, stream_contributions,
@@ -157,6 +158,18 @@ def test_current_scores_are_one_row_per_key(spark, tmp_path):
     assert got == {(r["donor_id"], r["cycle"]): r["dynamic_score"] for r in want.collect()}
 
 
+def test_scratch_tables_can_be_dropped(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    (tmp_path / "other").mkdir()
+    kept = str(tmp_path / "result")
+    table = written(spark.range(5), "five")
+    table.write.parquet(kept)
+    session.drop_scratch(spark)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["other", "result"]
+    assert spark.read.parquet(kept).count() == 5
+    assert written(spark.range(3), "three").count() == 3
+
+
 def test_fail_mode(spark):
     df = spark.createDataFrame([(1,), (None,)], "a int")
     checks = report([row_checks(df, {"missing": F.col("a").isNull()})], "fail")
