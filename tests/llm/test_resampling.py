@@ -90,6 +90,5 @@ def test_empty_tables(docs_of, tiny):
                    ) == plain_rows(tiny[:30], [], 50, 1)
 
 
-def test_equal_scores_by_id():
-    # the first decisive part comes last
+def test_table_of_checksums():
     assert np.array_equal(resampling._CRC[[0, 1, 255]], [0, 0x77073096, 0x2D02EF8D])
