@@ -18,6 +18,8 @@ from tallyweave.llm.common import arrow_map, documents, texts_of
 #: LEVEL and BLOCK: compression level, characters encoded at once.
 DOCS_PER_LANGUAGE, CHARS_PER_DOC, DICTIONARY_BYTES = 400, 1500, 200_000
 ALL_DOCS, ALL_BYTES = 80_000, 40_000_000
+#: Languages whose limits are broadcast (some 50 bytes each).
+MAP_ROWS = 100_000
 PIECES = 5
 PIECE_CHARS = (CHARS_PER_DOC - PIECES + 1) // PIECES
 LEVEL, BLOCK = 6, 8000
@@ -62,6 +64,8 @@ def sample_texts(df: DataFrame, text_col: str, lang_col: str, key_col: str) -> d
     # the least hashes of a language, a third more than needed; rare languages have all of theirs
     share = F.least(F.lit(1.0), F.lit(1.3 * each) / F.col("n"))
     limits = counts.select("lang", (F.lit(-2.0 ** 63) + share * F.lit(2.0 ** 64)).alias("limit"))
+    if languages <= MAP_ROWS:  # else rows meet their language's limit in a plain join
+        limits = F.broadcast(limits)
     # rows with one key share a hash: a first aggregate keeps one text per key and language
     rows = (known.join(limits, "lang").where(F.col("h").cast("double") <= F.col("limit"))
             .groupBy("lang", "h").agg(F.min(spread_pieces(F.col("text"), F.col("h"))).alias("text"))
