@@ -453,7 +453,8 @@ def stream_scores(spark, sf):
                  F.col("l_returnflag").alias("transaction_type"),
                  (F.col("s_acctbal") / 5000 - 1).alias("candidate_score")))
     out = scratch_path(spark, "updates")
-    write_updates(running_scores(d, TYPES), out, scratch_path(spark, "chk")).awaitTermination()
+    write_updates(running_scores(d, TYPES), out, scratch_path(spark, "chk"),
+                  buckets=8).awaitTermination()
     return latest_scores(spark, out).select(
         "donor_id", "cycle", round_half_up(F.col("weighted_sum")).alias("weighted_sum"), "weight",
         round_half_up(F.col("dynamic_score")).alias("dynamic_score"))
