@@ -96,7 +96,7 @@ def _table_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | N
 
 def source_name(file: Column) -> Column:
     """Name of a source file's part of the table: its base name and a hash of its path."""
-    return F.concat(F.regexp_extract(file, r"([^/]*)$", 1), F.lit("-"), F.hex(F.xxhash64(file)))
+    return F.concat(F.substring_index(file, "/", -1), F.lit("-"), F.hex(F.xxhash64(file)))
 
 
 def last_runs(spark: SparkSession, ledger_path: str) -> DataFrame | None:
@@ -152,7 +152,7 @@ def _typed_rows(lines: DataFrame, header: list[str],
                 schema: StructType) -> tuple[DataFrame, DataFrame]:
     """See :func:`read_contributions`; ``lines`` are staged as they came."""
     facts = written(file_facts(lines, header), "files")
-    records = logical_records(repair_lines(lines, facts), len(header))
+    records = logical_records(written(repair_lines(lines, facts), "repaired"), len(header))
     parsed = parse_records(records, header)
     marked = (parsed.withColumn("file_cycle", cycle_of_file(F.col("file")))
               .withColumn("row_cycle", F.col("cycle").try_cast("double").try_cast("bigint"))
@@ -228,10 +228,10 @@ def convert_files(spark: SparkSession, files: DataFrame, root: str, ledger_path:
             (F.col(f.name) if f.name in entries.columns else F.lit(None)).cast(f.dataType)
             .alias(f.name) for f in kinds]), "ledger")
         if rows is not None:
-            fine = entries.where("status = 'converted'").select("file")
-            good = (rows.where(~F.col("bad") & ~F.col("torn")).join(fine, "file", "left_semi")
-                    .select(*schema.names, F.col("file_cycle").alias("cycle"),
-                            source_name(F.col("file")).alias("source")))
+            fine = entries.where("status = 'converted'").select(
+                "file", source_name(F.col("file")).alias("source")).distinct()
+            good = (rows.where(~F.col("bad") & ~F.col("torn")).join(fine, "file")
+                    .select(*schema.names, F.col("file_cycle").alias("cycle"), "source"))
             write_by_cycle(good, root, parts=("cycle", "source"))
         entries.write.mode("append").parquet(ledger_path)
 

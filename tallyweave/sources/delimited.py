@@ -35,7 +35,7 @@ def file_facts(lines: DataFrame, header: list[str]) -> DataFrame:
     ``n_headers`` counts lines equal to the header."""
     return lines.groupBy("file").agg(
         (~F.bool_and(F.is_valid_utf8("value"))).alias("transcode"),
-        F.count_if(F.regexp_replace("value", '"', "") == ",".join(header)).alias("n_headers"))
+        F.count_if(F.translate("value", '"', "") == ",".join(header)).alias("n_headers"))
 
 
 def repair_lines(lines: DataFrame, facts: DataFrame | None = None) -> DataFrame:
@@ -56,7 +56,7 @@ def repair_lines(lines: DataFrame, facts: DataFrame | None = None) -> DataFrame:
 def _field_count(text: str) -> Column:
     """Number of fields of a record: commas outside quotes, plus one."""
     bare = F.regexp_replace(text, r'"[^"]*("|$)', "")
-    return F.length(bare) - F.length(F.translate(bare, ",", "")) + 1
+    return F.size(F.split(bare, ","))
 
 
 def quote_events(lines: DataFrame, n_columns: int) -> DataFrame:
@@ -67,14 +67,23 @@ def quote_events(lines: DataFrame, n_columns: int) -> DataFrame:
     open a field (whatever was before), ``K`` if they close one, ``S`` if they swap the state and
     do not tell which, and ``C`` if it is a complete record whose first quote could not close a
     field. Lines without such quotes leave the state as it is and are no events.
+
+    A written table: it is read several times, and a filter on ``kind`` would otherwise run the
+    text matching again for each place that ``kind`` takes the text from.
     """
-    bare = F.regexp_replace("value", '""', "")
+    bare = F.replace("value", F.lit('""'), F.lit(""))
     odd = F.pmod(F.length("value") - F.length(F.translate("value", '"', "")), F.lit(2)) == 1
-    opens, closes = bare.rlike('^([^"]*,)?"'), bare.rlike('^[^"]*"(,|$)')
+    at = ("file", "chunk", "seq")
+    quoted = lines.where(F.contains("value", F.lit('"'))).select(*at, "value", bare.alias("bare"),
+                                                                 odd.alias("odd"))
+    tested = quoted.select(*at, "value", "bare", "odd",
+                           F.col("bare").rlike('^([^"]*,)?"').alias("opens"),
+                           F.col("bare").rlike('^[^"]*"(,|$)').alias("closes"))
+    odd, opens, closes = F.col("odd"), F.col("opens"), F.col("closes")
     kind = (F.when(odd & opens & ~closes, "O").when(odd & closes & ~opens, "K").when(odd, "S")
-            .when(F.contains(bare, F.lit('"')) & ~closes & (_field_count("value") == n_columns),
+            .when(F.contains("bare", F.lit('"')) & ~closes & (_field_count("value") == n_columns),
                   "C"))
-    return lines.select("file", "chunk", "seq", kind.alias("kind")).where("kind is not null")
+    return written(tested.select(*at, kind.alias("kind")), "events").where("kind is not null")
 
 
 def open_spans(lines: DataFrame, events: DataFrame) -> DataFrame:
@@ -151,7 +160,8 @@ def logical_records(lines: DataFrame, n_columns: int) -> DataFrame:
     (:func:`open_spans`), so text of a field that looks like a record stays text. Only lines of
     records that span lines are brought together; the others are taken as they are.
 
-    ``lines`` should be cheap to read several times (a written table). Line numbers of a chunk are
+    ``lines`` should be cheap to read several times: a written table of repaired lines, since a
+    filter on expressions of the text repeats whatever made it. Line numbers of a chunk are
     consecutive.
     """
     spans = written(open_spans(lines, quote_events(lines, n_columns)), "spans")
@@ -188,7 +198,7 @@ def parse_records(records: DataFrame, header: list[str]) -> DataFrame:
     """
     names = [plain(h) for h in header]
     ddl = ", ".join(f"`{n}` string" for n in names)
-    parsed = records.where(F.regexp_replace("record", '"', "") != ",".join(header)).select(
+    parsed = records.where(F.translate("record", '"', "") != ",".join(header)).select(
         "file", "seq", "n_lines", _field_count("record").alias("n_fields"),
         (F.pmod(F.length("record") - F.length(F.translate("record", '"', "")), F.lit(2)) == 1)
         .alias("open_quote"),

@@ -10,7 +10,7 @@ from tallyweave.operators.quality import schema_problems
 from tallyweave.session import written
 from tallyweave.sources import datasets, schemas
 from tallyweave.sources.delimited import (file_facts, logical_records, parse_records,
-                                          read_lines, repair_lines, typed_projection)
+                                          quote_events, read_lines, repair_lines, typed_projection)
 
 BODY = r'''transaction.id,memo,amount,cycle
 1,"ends in backslash\",5,2016
@@ -241,3 +241,11 @@ def test_register_and_parts(spark, tmp_path):
     (parts / "stray.txt").write_text("x")
     (parts / "left.parquet.tmp").write_text("x")
     assert datasets.read_parts(spark, str(parts)).count() == 10
+
+
+def test_events_are_staged(spark, tmp_path):
+    (tmp_path / "f_1996.csv").write_text('a,b\n1,"x\n2,y"\n3,z\n')
+    events = quote_events(repair_lines(read_lines(spark, str(tmp_path))), 2)
+    assert [r["kind"] for r in events.orderBy("seq").collect()] == ["O", "K"]
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan.lower() and "rlike" not in plan.lower()
