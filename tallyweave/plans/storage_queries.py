@@ -34,6 +34,9 @@ ORDERS_SCHEMA = StructType([StructField(n.replace(".", "_"), t, True, {"source_n
                             for n, t in _FIELDS])
 #: A line of text inside a memo that has the shape of a record.
 _LIKE_A_RECORD = "1,2.5,1996-01-01,3,1996,someone,plain"
+#: Keys in a file of damaged orders, at least, and most key ranges: files grow with the table, so
+#: that neither their number nor that of a stream's batches does.
+FILE_KEYS, KEY_RANGES = 50_000, 6
 _HEADER = "transaction.id,amount,date,bonica.cid,cycle,contributor.employer,contributor.memo"
 
 
@@ -46,6 +49,8 @@ def write_dirty_orders(spark, sf):
     """
     k = F.col("o_orderkey")
     o = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    last = o.agg(F.max(k)).first()[0] or 0
+    keys = max(FILE_KEYS, -(-(last + 1) // KEY_RANGES))
     o = o.withColumn("c", F.col("year") + F.col("year") % 2)
 
     def every(n):
@@ -66,7 +71,7 @@ def write_dirty_orders(spark, sf):
     line = F.when(every(23), line).otherwise(F.concat_ws(",", line, memo))
     line = F.when(F.col("c") == 1998, F.encode(line, "ISO-8859-1").cast("string")).otherwise(line)
     rows = o.select(F.concat(F.lit("orders_"), F.col("c").cast("string"), F.lit("-"),
-                             F.floor(k / 50000).cast("string")).alias("file"),
+                             F.floor(k / keys).cast("string")).alias("file"),
                     F.lit(1).alias("pos"), k.alias("key"), line.alias("value"))
     heads = rows.select("file").distinct().select("file", F.lit(0).alias("pos"),
                                                   F.lit(-1).alias("key"),

@@ -1,3 +1,4 @@
+import datetime
 import gzip
 import random
 import re
@@ -7,6 +8,7 @@ from pyspark.sql import Window, functions as F
 from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, StructType)
 
 from tallyweave.operators.quality import schema_problems
+from tallyweave.plans.storage_queries import write_dirty_orders
 from tallyweave.session import written
 from tallyweave.sources import datasets, schemas
 from tallyweave.sources.delimited import (file_facts, logical_records, parse_records,
@@ -249,3 +251,12 @@ def test_events_are_staged(spark, tmp_path):
     assert [r["kind"] for r in events.orderBy("seq").collect()] == ["O", "K"]
     plan = events._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp" not in plan.lower() and "rlike" not in plan.lower()
+
+
+def test_files_do_not_grow_in_number(spark, tmp_path):
+    rows = [(k, 1, 1.0, datetime.datetime(1996, 5, 1), "1-URGENT") for k in range(1, 9_000_000, 9_000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, "
+                          "o_orderdate timestamp, o_orderpriority string").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    files = spark.read.format("binaryFile").load(write_dirty_orders(spark, str(tmp_path)))
+    assert 1 < files.select("path").count() <= 6
