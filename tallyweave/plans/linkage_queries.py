@@ -9,6 +9,7 @@ from ..functions.text import non_empty, normalize_name, occupation_class
 from ..operators.linkage import (build_register, coverage_by_name, coverage_share, match_names,
                                  keep_accepted, review_queue, similar_pairs,
                                  threshold_sweep)
+from ..session import written
 from .bindings import (ENGINEER, MANAGER, company_names, register_rows, table)
 from .oracle_parts import COMPANIES, NAMES_TO_PARTS, REGISTER, matches_sql, norm_sql, r6
 
@@ -76,7 +77,7 @@ from companies left join matches on employer = employer_raw group by all"""
 def accepted_parts(spark, sf):
     """Inner join to accepted matches; each row at most once."""
     names, m = _matches(spark, sf)
-    kept = keep_accepted(names, m, "employer")
+    kept = keep_accepted(names, written(m, "matches"), "employer")
     return kept.select("p_partkey", "employer", "matched_name", "cik", "sic")
 
 

@@ -176,3 +176,10 @@ def test_fail_mode(spark):
     assert checks.first()["violations"] == 1
     with pytest.raises(CheckFailed, match="missing: 1"):
         enforce(checks)
+
+
+def test_accepted_names_are_matched_once(spark, con):
+    df = entry.queries()["accepted_matches"](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEval" not in plan and "MapInArrow" not in plan
+    assert compare(df, con, entry.oracle_sql()["accepted_matches"]) is None
