@@ -24,10 +24,13 @@ def multiplicity(df: DataFrame, key: str, expected: int) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != expected)
 
 
-def _cycle_sums(donations: DataFrame, types: Sequence[str] = CONTRIBUTION_TYPES,
+def cycle_sums(donations: DataFrame, types: Sequence[str] = CONTRIBUTION_TYPES,
                  donor: str = "donor_id", cycle: str = "cycle", amount: str = "amount",
                  score: str = "candidate_score", kind: str = "transaction_type") -> DataFrame:
-    """``weight`` and the parts of the weighted score sum (``_s_0..``) per donor and cycle."""
+    """``weight`` and the parts of the weighted score sum (``_s_0..``) per donor and cycle.
+
+    ``donations`` may be a stream: these are its running sums.
+    """
     weight = normalize_amount(finite(F.col(amount).cast("double")))
     ok = finite(F.col(score).cast("double")).isNotNull() & weight.isNotNull() & F.col(kind).isin(*types)
     w = F.when(ok, weight).otherwise(F.lit(0)).cast("bigint")
@@ -46,7 +49,7 @@ def cycle_totals(donations: DataFrame, types: Sequence[str] = CONTRIBUTION_TYPES
     A donation that does not qualify adds weight 0, so its cycle is still known as an own one; a
     score or amount that is no finite number is missing.
     """
-    return _cycle_sums(donations, types, donor, cycle, **cols).select(
+    return cycle_sums(donations, types, donor, cycle, **cols).select(
         donor, cycle, exact_total("_s").alias("weighted_sum"), "weight")
 
 
@@ -63,7 +66,13 @@ def dynamic_score(donations: DataFrame, types: Sequence[str] = CONTRIBUTION_TYPE
     donations of one donor in one cycle before ANSI overflow stops the job. ``carried`` observes
     ``n_rows``, the donations counted in their own cycle and in the next.
     """
-    own = _cycle_sums(donations, types, donor, cycle, **cols)
+    return scores_of_sums(cycle_sums(donations, types, donor, cycle, **cols), donor, cycle, step,
+                          own_cycles_only, carried)
+
+
+def scores_of_sums(own: DataFrame, donor: str = "donor_id", cycle: str = "cycle", step: int = 2,
+                   own_cycles_only: bool = True, carried: Observation | None = None) -> DataFrame:
+    """Scores from what ``cycle_sums`` returns, each row counted in its own cycle and the next."""
     both = (own.withColumn("_own", F.explode(F.array(F.lit(1), F.lit(0))))
             .withColumn(cycle, F.when(F.col("_own") == 1, F.col(cycle))
                         .otherwise(F.col(cycle) + step)))
@@ -84,7 +93,7 @@ def dynamic_score_framed(donations: DataFrame, types: Sequence[str] = CONTRIBUTI
 
     The window runs over donor-cycle totals (one row per cycle), never over donations.
     """
-    own = _cycle_sums(donations, types, donor, cycle, **cols)
+    own = cycle_sums(donations, types, donor, cycle, **cols)
     frame = Window.partitionBy(donor).orderBy(cycle).rangeBetween(-step, 0)
     out = own.select(donor, cycle, F.sum("weight").over(frame).alias("weight"),
                      *[F.sum(f"_s_{i}").over(frame).alias(f"_s_{i}") for i in range(PARTS)]

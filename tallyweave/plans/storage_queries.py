@@ -37,6 +37,8 @@ _LIKE_A_RECORD = "1,2.5,1996-01-01,3,1996,someone,plain"
 #: Keys in a file of damaged orders, at least, and most key ranges: files grow with the table, so
 #: that neither their number nor that of a stream's batches does.
 FILE_KEYS, KEY_RANGES = 50_000, 6
+#: Batches of the stream of line items, and rows of one of its files, about.
+BATCHES, ARRIVING_ROWS = 4, 1_000_000
 _HEADER = "transaction.id,amount,date,bonica.cid,cycle,contributor.employer,contributor.memo"
 
 
@@ -440,14 +442,24 @@ select bonica_cid, status, match_type, cik, ff12,
 from k"""
 
 
+def write_arriving(items, path):
+    """Line items as files to arrive in four batches; returns the files of a batch.
+
+    Files grow in number with the table, batches do not.
+    """
+    files = max(1, -(-items.count() // (BATCHES * ARRIVING_ROWS)))
+    items.repartition(BATCHES * files, "l_suppkey", "l_orderkey").write.parquet(path)
+    return files
+
+
 def stream_scores(spark, sf):
     """Line items arriving in four batches, against static orders and suppliers; the latest
     score per donor after updates from every batch."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice",
                                              "l_returnflag")
     arriving = scratch_path(spark, "arriving")
-    li.repartition(4, "l_suppkey").write.parquet(arriving)
-    stream = (spark.readStream.schema(li.schema).option("maxFilesPerTrigger", 1)
+    files = write_arriving(li, arriving)
+    stream = (spark.readStream.schema(li.schema).option("maxFilesPerTrigger", files)
               .parquet(arriving))
     o, s = table(spark, sf, "orders"), table(spark, sf, "supplier")
     year = F.year("o_orderdate").cast("bigint")

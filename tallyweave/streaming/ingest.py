@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..functions.numeric import PARTS, exact_sums, exact_total, finite, normalize_amount
-from ..operators.scoring import CONTRIBUTION_TYPES
-from ..session import written
+from ..operators.scoring import CONTRIBUTION_TYPES, cycle_sums, scores_of_sums
+from ..session import scratch_path
 from ..sources.datasets import convert_files, last_runs
 from ..sources.schemas import CONTRIBUTIONS
 
@@ -48,26 +47,14 @@ def stream_contributions(spark: SparkSession, pattern: str, root: str, ledger_pa
 
 
 def running_scores(donations: DataFrame, types: Sequence[str] = CONTRIBUTION_TYPES,
-                   donor: str = "donor_id", cycle: str = "cycle", amount: str = "amount",
-                   score: str = "candidate_score", kind: str = "transaction_type",
-                   step: int = 2) -> DataFrame:
-    """Streaming twin of ``dynamic_score``: totals per donor and cycle, updated with each batch.
+                   donor: str = "donor_id", cycle: str = "cycle", **cols: str) -> DataFrame:
+    """Streaming twin of ``dynamic_score``: sums per donor and cycle, updated with each batch.
 
-    State is one row per donor and cycle, with the exact parts of the weighted sum (``_s_0..``).
-    Cycles close by calendar, so there is no watermark.
+    State is one row per donor and own cycle, with the exact parts of the weighted sum
+    (``_s_0..``). As in ``dynamic_score``, what is carried into the next cycle is such a row, not
+    each donation: ``latest_scores`` does that. Cycles close by calendar, so there is no watermark.
     """
-    weight = normalize_amount(finite(F.col(amount).cast("double")))
-    ok = finite(F.col(score).cast("double")).isNotNull() & weight.isNotNull() & F.col(kind).isin(*types)
-    w = F.when(ok, weight).otherwise(F.lit(0)).cast("bigint")
-    rows = (donations.where(F.col(donor).isNotNull() & F.col(cycle).isNotNull())
-            .select(donor, F.col(cycle), w.alias("_w"),
-                    F.when(ok, F.col(score)).otherwise(F.lit(0.0)).alias("_x"),
-                    F.explode(F.array(F.lit(0), F.lit(step))).alias("_shift"))
-            .select(donor, (F.col(cycle) + F.col("_shift")).alias(cycle), "_w", "_x",
-                    (F.col("_shift") == 0).cast("int").alias("_own")))
-    return rows.groupBy(donor, cycle).agg(*exact_sums(F.col("_x"), "_s", F.col("_w")),
-                                          F.sum("_w").alias("weight"),
-                                          F.max("_own").alias("own_cycle"))
+    return cycle_sums(donations, types, donor, cycle, **cols).drop("_rows")
 
 
 def write_updates(totals: DataFrame, out: str, checkpoint: str, donor: str = "donor_id",
@@ -80,9 +67,12 @@ def write_updates(totals: DataFrame, out: str, checkpoint: str, donor: str = "do
     """
     bucket = F.pmod(F.xxhash64(donor), F.lit(buckets)).cast("int")
 
+    spark = totals.sparkSession  # a batch's own session plans without adaptive execution
+
     def save(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = written(batch.withColumn("bucket", bucket), "batch")
+        changed, path = batch.withColumn("bucket", bucket), scratch_path(spark, "batch")
+        changed.write.parquet(path)
+        new = spark.read.schema(changed.schema).parquet(path)
         touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # <= buckets
         if not touched:
             return
@@ -91,17 +81,15 @@ def write_updates(totals: DataFrame, out: str, checkpoint: str, donor: str = "do
             merged = new.unionByName(old.join(new.select(donor, cycle), [donor, cycle], "left_anti"))
         except AnalysisException:  # nothing there yet
             merged = new
-        (written(merged, "merged").hint("rebalance", "bucket").write.mode("overwrite")
+        # The old parts are read until the job is committed: new files are staged, then swapped in.
+        (merged.hint("rebalance", "bucket").write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out))
 
     return (totals.writeStream.outputMode("update").foreachBatch(save)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def latest_scores(spark: SparkSession, out: str, donor: str = "donor_id",
-                  cycle: str = "cycle") -> DataFrame:
-    """Current score per donor and cycle."""
-    total = exact_total("_s", [F.col(f"_s_{i}") for i in range(PARTS)])
-    return (spark.read.parquet(out).where((F.col("own_cycle") == 1) & (F.col("weight") > 0))
-            .select(donor, cycle, total.alias("weighted_sum"), "weight")
-            .withColumn("dynamic_score", F.col("weighted_sum") / F.col("weight").cast("double")))
+def latest_scores(spark: SparkSession, out: str, donor: str = "donor_id", cycle: str = "cycle",
+                  step: int = 2) -> DataFrame:
+    """Current score per donor and cycle, over the cycle itself and the one before."""
+    return scores_of_sums(spark.read.parquet(out), donor, cycle, step)

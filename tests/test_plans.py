@@ -12,6 +12,7 @@ from tallyweave.operators.linkage import accepted, build_register, keep_accepted
 from tallyweave.operators.scoring import dynamic_score
 from tallyweave.plans.bindings import (ENGINEER, MANAGER, TYPES, company_names, contributions,
                                        crosswalk, donations, register_rows)
+from tallyweave.plans import storage_queries
 from tallyweave.plans.panel import build_panel, cycles_needed
 from tallyweave.plans.storage_queries import ORDERS_SCHEMA
 from tallyweave import session
@@ -158,6 +159,36 @@ def test_current_scores_are_one_row_per_key(spark, tmp_path):
     assert got == {(r["donor_id"], r["cycle"]): r["dynamic_score"] for r in want.collect()}
 
 
+def test_running_sums_are_kept_once_and_carried_when_read(spark, tmp_path):
+    schema = "donor_id bigint, cycle bigint, amount double, candidate_score double, " \
+             "transaction_type string"
+    rows = [(i % 40, 2014 + 4 * (i % 2), 50.0 * i, (i % 11) / 7 - 1, "15") for i in range(200)]
+    rows += [(None, 2014, 100.0, 1.0, "15"), (1, None, 100.0, 1.0, "15"),
+             (2, 2016, None, 1.0, "15"), (3, 2016, 100.0, None, "15")]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in range(2):
+        spark.createDataFrame(rows[part::2], schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    query = write_updates(running_scores(stream), out, str(tmp_path / "check"), buckets=4)
+    query.awaitTermination()
+    own = {r[:2] for r in rows if None not in r[:2]}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == len(own)
+    assert {(r["donor_id"], r["cycle"]) for r in spark.read.parquet(out).collect()} == own
+    parts = sorted((tmp_path / "out").glob("bucket=*"))
+    assert len(parts) == 4 and all(len(list(p.glob("*.parquet"))) == 1 for p in parts)
+    want = dynamic_score(spark.createDataFrame(rows, schema))
+    assert sorted(latest_scores(spark, out).collect()) == sorted(want.collect())
+
+
+def test_arriving_files_grow_in_number_and_batches_do_not(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(storage_queries, "ARRIVING_ROWS", 100)
+    items = spark.range(2000).selectExpr("id as l_orderkey", "id % 3 as l_suppkey")
+    path = str(tmp_path / "arriving")
+    assert storage_queries.write_arriving(items, path) == 5
+    assert len(list((tmp_path / "arriving").glob("*.parquet"))) == 20
+    assert spark.read.parquet(path).count() == 2000
+
+
 def test_scratch_tables_can_be_dropped(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
     (tmp_path / "other").mkdir()
