@@ -66,7 +66,6 @@ def write_updates(totals: DataFrame, out: str, checkpoint: str, donor: str = "do
     are no increments, so a batch that runs again after a failure gives the same table.
     """
     bucket = F.pmod(F.xxhash64(donor), F.lit(buckets)).cast("int")
-
     spark = totals.sparkSession  # a batch's own session plans without adaptive execution
 
     def save(batch: DataFrame, number: int) -> None:
