@@ -14,6 +14,14 @@ from pyspark.sql.types import DoubleType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+_WIDTH = 64  # characters of a name that one machine word has a bit for
+_LOW = np.array([(1 << k) - 1 for k in range(_WIDTH + 1)], np.uint64)  # the lowest k bits
+#: For every place in the right string: the places within each reach of it.
+_WINDOW = np.array([[(1 << min(j + r + 1, _WIDTH)) - (1 << max(j - r, 0))
+                     for r in range(_WIDTH // 2)] for j in range(_WIDTH)], np.uint64)
+_ONE = np.uint64(1)
+
+
 def _code_points(strings: list[str], width: int) -> np.ndarray:
     """Rows of code points, padded with zeros."""
     out = np.zeros((len(strings), width), dtype=np.uint32)
@@ -37,11 +45,14 @@ def jaro_batch(left: list[str], right: list[str]) -> np.ndarray:
     sim[(la == 0) & (lb == 0)] = 1.0
     todo = np.flatnonzero((la > 0) & (lb > 0))
     # Rows of similar length go together, so that padding stays small.
-    todo = todo[np.argsort(np.maximum(la[todo], lb[todo]), kind="stable")]
-    for part in np.array_split(todo, max(1, -(-len(todo) // 2048))):
-        if len(part):
-            sim[part] = _jaro_block([left[i] for i in part], [right[i] for i in part],
-                                    la[part], lb[part])
+    longer = np.maximum(la[todo], lb[todo])
+    todo = todo[np.argsort(longer, kind="stable")]
+    short = int((longer <= _WIDTH).sum())
+    for some, block in ((todo[:short], _jaro_words), (todo[short:], _jaro_block)):
+        for part in np.array_split(some, max(1, -(-len(some) // 2048))):
+            if len(part):
+                sim[part] = block([left[i] for i in part], [right[i] for i in part],
+                                  la[part], lb[part])
     return sim
 
 
@@ -75,6 +86,41 @@ def _jaro_block(left, right, la, lb):
     return np.where(m == 0, 0.0, s)
 
 
+def _jaro_words(left, right, la, lb):
+    """:func:`_jaro_block` for strings of at most _WIDTH characters: one bit per character."""
+    a, b = _code_points(left, _WIDTH), _code_points(right, int(lb.max()))
+    seen = np.zeros(int(b.max()) + 1, bool)
+    seen[b] = True
+    kinds = np.flatnonzero(seen)
+    codes = (np.cumsum(seen) - 1)[np.ascontiguousarray(b.T)]
+    codes[np.arange(b.shape[1])[:, None] >= lb] = len(kinds)  # equals nothing
+    # where every character stands in every left string
+    places = np.zeros((len(kinds) + 1, len(la)), np.uint64)
+    for k, kind in enumerate(kinds):
+        places[k] = np.packbits((a == kind).ravel(), bitorder="little").view("<u8")
+    reach, rows = np.maximum(np.maximum(la, lb) // 2 - 1, 0), np.arange(len(la))
+    free = _LOW[la]
+    equal, hits = [], []
+    for j, code in enumerate(codes):
+        same = places[code, rows]
+        fits = same & free & _WINDOW[j][reach]
+        first = fits & (~fits + _ONE)
+        free ^= first
+        equal.append(same)
+        hits.append(first != 0)
+    taken = _LOW[la] & ~free
+    m = np.bitwise_count(taken).astype(np.int64)
+    moved = np.zeros(len(la), np.int64)
+    for same, hit in zip(equal, hits):  # the next matched character of both, in reading order
+        first = taken & (~taken + _ONE) & (hit * ~np.uint64(0))
+        moved += hit & (same & first == 0)
+        taken ^= first
+    moved //= 2
+    md = np.maximum(m, 1).astype(float)
+    s = (m / la + m / lb + (md - moved) / md) / 3.0
+    return np.where(m == 0, 0.0, s)
+
+
 def _distance(a: pa.Array, b: pa.Array) -> pa.Array:
     null = np.array(a.is_null()) | np.array(b.is_null())
     left = [x or "" for x in a.to_pylist()]

@@ -178,8 +178,8 @@ def long_names(spark, sf):
     """Names of 40 letters and more that are alike within 0.05."""
     p = table(spark, sf, "part").select(normalize_name(F.expr(_long_name("string"))).alias("norm"))
     p = p.where(F.length("norm") >= 40).distinct()
-    pairs = similar_pairs(p.withColumnRenamed("norm", "query_norm"), p, 0.05)
-    return pairs.where(F.col("query_norm") < F.col("norm")).select(
+    pairs = similar_pairs(p.withColumnRenamed("norm", "query_norm"), p, 0.05, ordered=True)
+    return pairs.select(
         "query_norm", "norm", round_half_up(F.col("distance")).alias("distance"))
 
 

@@ -125,3 +125,11 @@ def test_distribution_tails():
     assert chi2_upper(40.0, 5) == pytest.approx(1.4939e-07, rel=1e-3)
     assert t_two_sided(0.0, 5) == pytest.approx(1.0)
     assert math.isclose(f_upper(4.0, 1, 10), t_two_sided(2.0, 10), rel_tol=1e-12)
+
+
+def test_jaro_batch_around_64_characters():
+    rng = random.Random(4)
+    left = ["".join(rng.choice("abcé漢") for _ in range(rng.randint(55, 70))) for _ in range(600)]
+    right = [a[::-1] if rng.random() < 0.2 else a[rng.randint(0, 3):] + rng.choice(["", "b", "ca"])
+             for a in left]
+    assert list(jaro_batch(left, right)) == [plain_jaro(a, b) for a, b in zip(left, right)]
